@@ -42,7 +42,7 @@ BATCH = 1 << 20
 #: Classes of one rank in one batch above which they go straight to the last round.
 MANY = 256
 _POS = U((1 << 21) - 1)
-CONTEXT, SPAN, REQUEST, MANY_MARK, WINDOW = 0, 1, 2, 3, 4
+CONTEXT, SPAN, REQUEST, MANY_MARK, WINDOW, TEXT = 0, 1, 2, 3, 4, 5
 _BLOB = "part int, kind int, data binary"
 
 
@@ -172,93 +172,140 @@ def _scan(parts: int, whole: int) -> Callable:
     return lambda frames: _frames(rows(frames))
 
 
-def _classes(parts: int) -> Callable:
-    """Round one, at the groups of ranks."""
+class _Outbox:
+    """Entries of a task on their way to other parts: blobs are made of many groups' entries
+    together, so that their number follows the tasks and not the groups."""
+
+    def __init__(self, parts: int):
+        self.parts, self.held, self.size = parts, {}, 0
+
+    def put(self, kind: int, by: np.ndarray, *cols: np.ndarray) -> None:
+        if len(by):
+            self.held.setdefault(kind, []).append((_of_key(by, self.parts), *cols))
+            self.size += len(by)
 
-    def rows(f: pd.DataFrame) -> Iterator[tuple[int, int, bytes]]:
-        blobs = {k: list(x) for k, x in f.groupby("kind")["data"]}
-        key, lo, n = _unpack(blobs.get(SPAN, []), 3)
-        yield from _dealt(_of_key(key, parts), SPAN, key, lo, n)
-        key, lo, n, g = _unpack(blobs.get(REQUEST, []), 4)
-        yield from _dealt(_of_key(key, parts), REQUEST, key, lo, n, g)
-        (many,) = _unpack(blobs.get(MANY_MARK, []), 1)
-        g, c, key, lo, n = _unpack(blobs.get(CONTEXT, []), 5)
-        if not len(g):
+    def send(self, at_least: int = 0) -> Iterator[tuple[int, int, bytes]]:
+        if self.size <= at_least:
             return
-        order, new = _firsts((g, c, key, lo), (g, c))
-        lead = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
-        repeat = ~new & ((key[order] != key[lead]) | (lo[order] != lo[lead]))
-        dup = order[repeat]
-        yield from _dealt(_of_key(key[dup], parts), SPAN, key[dup], lo[dup], n[dup])
-        f1 = order[new]
-        _, at, times = np.unique(g[f1], return_inverse=True, return_counts=True)
-        ask = f1[(times[at] > 1) | np.isin(g[f1], many)]
-        yield from _dealt(_of_key(key[ask], parts), REQUEST, key[ask], lo[ask], n[ask], g[ask])
+        for kind, held in self.held.items():
+            to, *cols = (np.concatenate(x) for x in zip(*held, strict=True))
+            yield from _dealt(to, kind, *cols)
+        self.held, self.size = {}, 0
+
+
+def _by_part(frames: Iterator[pd.DataFrame]) -> Iterator[dict[int, list[bytes]]]:
+    """Of rows sorted by part: the blobs of each part, by kind."""
+    part, blobs = None, {}
+    for f in frames:
+        for p, kind, data in f[["part", "kind", "data"]].itertuples(index=False):
+            if p != part:
+                if blobs:
+                    yield blobs
+                part, blobs = p, {}
+            blobs.setdefault(kind, []).append(data)
+    if blobs:
+        yield blobs
 
-    return lambda f: pd.concat([*_frames(rows(f))] or [pd.DataFrame([], columns=["part", "kind", "data"])])
 
+def _classes(parts: int) -> Callable:
+    """Round one, at the groups of ranks."""
+
+    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[int, int, bytes]]:
+        box = _Outbox(parts)
+        for blobs in _by_part(frames):
+            key, lo, n = _unpack(blobs.get(SPAN, []), 3)
+            box.put(SPAN, key, key, lo, n)
+            key, lo, n, g = _unpack(blobs.get(REQUEST, []), 4)
+            box.put(REQUEST, key, key, lo, n, g)
+            (many,) = _unpack(blobs.get(MANY_MARK, []), 1)
+            g, c, key, lo, n = _unpack(blobs.get(CONTEXT, []), 5)
+            if len(g):
+                order, new = _firsts((g, c, key, lo), (g, c))
+                lead = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+                repeat = ~new & ((key[order] != key[lead]) | (lo[order] != lo[lead]))
+                dup = order[repeat]
+                box.put(SPAN, key[dup], key[dup], lo[dup], n[dup])
+                f1 = order[new]
+                _, at, times = np.unique(g[f1], return_inverse=True, return_counts=True)
+                ask = f1[(times[at] > 1) | np.isin(g[f1], many)]
+                box.put(REQUEST, key[ask], key[ask], lo[ask], n[ask], g[ask])
+            yield from box.send(BATCH)
+        yield from box.send()
 
-def _requested(f: pd.DataFrame) -> tuple[np.ndarray, ...]:
-    return tuple(_unpack(list(f["data"]), 4))
+    return lambda frames: _frames(rows(frames))
 
 
 def _windows(parts: int, whole: int) -> Callable:
-    """Round two, at the texts: ranks over the whole length for the windows asked for."""
+    """Round two, at the texts: ranks over the whole length for the windows asked for. Rows
+    come sorted by part, the requests of a part before its texts."""
     half = whole // 2
 
-    def of(docs: pd.DataFrame, asked: pd.DataFrame) -> Iterator[tuple[int, int, bytes]]:
-        if not len(asked) or not len(docs):
-            return
-        key, lo, n, g = _requested(asked)
-        order = np.lexsort((lo, key))
-        key, lo, n = key[order], lo[order], n[order]
-        out = []
-        size = 0
-        for k, text in docs.drop_duplicates("_key")[["_key", "_text"]].itertuples(index=False):
-            a, e = np.searchsorted(key, k), np.searchsorted(key, k, side="right")
-            if a == e:
-                continue
-            b = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-            # windows of all requests of this document, and their two half ranks
-            start = np.repeat(lo[a:e] - np.concatenate([[0], np.cumsum(n[a:e])[:-1]]), n[a:e]) + np.arange(n[a:e].sum())
-            start = np.unique(start)
-            for at in range(0, len(b), K.SLAB):
-                p = start[(start >= at) & (start < at + K.SLAB)]
-                if len(p):
-                    s = K.prefix_sums(b[at : at + K.SLAB + whole])
-                    q = p - at
-                    h1, h2 = K.range_hashes(s, q, q + half), K.range_hashes(s, q + half, q + whole)
-                    out.append((h1.view(np.int64), h2.view(np.int64), np.full(len(p), k, np.int64), p))
-                    size += len(p)
-            if size > BATCH:
-                yield from flush(out)
-                out, size = [], 0
-        if out:
-            yield from flush(out)
-
     def flush(out: list) -> Iterator[tuple[int, int, bytes]]:
         h1, h2, key, lo = (np.concatenate(x) for x in zip(*out, strict=True))
         order, new = _firsts((h1, h2, key, lo), (h1, h2))
         dup, first = order[~new], order[new]
-        yield from _dealt(_of_key(key[dup], parts), SPAN, key[dup], lo[dup], np.ones(len(dup), np.int64))
-        yield from _dealt(_of_key(h1[first] ^ h2[first], parts), WINDOW, h1[first], h2[first], key[first], lo[first])
+        box = _Outbox(parts)
+        box.put(SPAN, key[dup], key[dup], lo[dup], np.ones(len(dup), np.int64))
+        box.put(WINDOW, h1[first] ^ h2[first], h1[first], h2[first], key[first], lo[first])
+        yield from box.send()
+
+    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[int, int, bytes]]:
+        part, blobs, asked, last = None, [], None, None
+        out, size = [], 0
+        for f in frames:
+            for p, kind, data, k, text in f[["part", "kind", "data", "_key", "_text"]].itertuples(index=False):
+                if p != part:
+                    part, blobs, asked, last = p, [], None, None
+                if kind == REQUEST:
+                    blobs.append(data)
+                    continue
+                k = int(k)
+                if not blobs or k == last:
+                    continue  # nobody asks here, or the same document again
+                last = k
+                if asked is None:
+                    key, lo, n, _ = _unpack(blobs, 4)
+                    order = np.lexsort((lo, key))
+                    asked = key[order], lo[order], n[order]
+                key, lo, n = asked
+                a, e = np.searchsorted(key, k), np.searchsorted(key, k, side="right")
+                if a == e:
+                    continue
+                b = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+                m = n[a:e]
+                start = np.unique(np.repeat(lo[a:e] - np.append(0, np.cumsum(m)[:-1]), m) + np.arange(m.sum()))
+                for at in range(0, len(b), K.SLAB):
+                    q = start[(start >= at) & (start < at + K.SLAB)]
+                    if len(q):
+                        s = K.prefix_sums(b[at : at + K.SLAB + whole])
+                        h1, h2 = K.range_hashes(s, q - at, q - at + half), K.range_hashes(s, q - at + half, q - at + whole)
+                        out.append((h1.view(np.int64), h2.view(np.int64), np.full(len(q), k, np.int64), q))
+                        size += len(q)
+                if size > BATCH:
+                    yield from flush(out)
+                    out, size = [], 0
+        if out:
+            yield from flush(out)
 
-    return lambda docs, asked: pd.concat([*_frames(of(docs, asked))] or [pd.DataFrame([], columns=["part", "kind", "data"])])
+    return lambda frames: _frames(rows(frames))
 
 
 def _repeats(parts: int) -> Callable:
     """Round two, at the groups of windows."""
 
-    def rows(f: pd.DataFrame) -> Iterator[tuple[int, int, bytes]]:
-        blobs = {k: list(x) for k, x in f.groupby("kind")["data"]}
-        key, lo, n = _unpack(blobs.get(SPAN, []), 3)
-        yield from _dealt(_of_key(key, parts), SPAN, key, lo, n)
-        h1, h2, key, lo = _unpack(blobs.get(WINDOW, []), 4)
-        order, new = _firsts((h1, h2, key, lo), (h1, h2))
-        dup = order[~new]
-        yield from _dealt(_of_key(key[dup], parts), SPAN, key[dup], lo[dup], np.ones(len(dup), np.int64))
+    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[int, int, bytes]]:
+        box = _Outbox(parts)
+        for blobs in _by_part(frames):
+            key, lo, n = _unpack(blobs.get(SPAN, []), 3)
+            box.put(SPAN, key, key, lo, n)
+            h1, h2, key, lo = _unpack(blobs.get(WINDOW, []), 4)
+            order, new = _firsts((h1, h2, key, lo), (h1, h2))
+            dup = order[~new]
+            box.put(SPAN, key[dup], key[dup], lo[dup], np.ones(len(dup), np.int64))
+            yield from box.send(BATCH)
+        yield from box.send()
 
-    return lambda f: pd.concat([*_frames(rows(f))] or [pd.DataFrame([], columns=["part", "kind", "data"])])
+    return lambda frames: _frames(rows(frames))
 
 
 def removed_bytes(size: int, lo: np.ndarray, n: np.ndarray, whole: int) -> np.ndarray:
@@ -315,7 +362,7 @@ def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", thres
     """
     keep = [c for c in keep or [] if c not in (key, text)]
     spark = docs.sparkSession
-    parts = buckets(spark)
+    parts = buckets(spark, 2)
     # what is only carried along goes through Python as text, so that nulls change no type
     d = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"), *[F.col(c).cast("string").alias(f"_keep_{c}") for c in keep])
     ids = d.groupBy("_id").agg(F.count(F.lit(1)).alias("n"))
@@ -334,12 +381,17 @@ def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", thres
         d = d.withColumn("_key", F.col("_id").cast("long"))
     slim = d.filter(F.octet_length("_text") >= threshold).select("_key", "_text")
     scanned = slim.mapInPandas(_scan(parts, threshold), _BLOB)
-    first = settle(scanned.groupBy("part").applyInPandas(_classes(parts), _BLOB))
+    grouped = lambda df: df.repartition("part").sortWithinPartitions("part")
+    first = settle(grouped(scanned).mapInPandas(_classes(parts), _BLOB))
     hashed = _hashed_part(parts)
-    asked = first.filter(F.col("kind") == REQUEST).groupBy("part")
-    texts = slim.withColumn("part", hashed("_key")).groupBy("part")
-    windows = texts.cogroup(asked).applyInPandas(_windows(parts, threshold), _BLOB)
-    second = settle(windows.groupBy("part").applyInPandas(_repeats(parts), _BLOB))
+    none = lambda kind: F.lit(None).cast(kind)
+    asked = first.filter(F.col("kind") == REQUEST).select("part", "kind", "data", none("long").alias("_key"), none("string").alias("_text"))
+    texts = slim.select(hashed("_key").alias("part"), F.lit(TEXT).alias("kind"), none("binary").alias("data"), "_key", "_text")
+    both = asked.unionByName(texts).repartition("part").sortWithinPartitions("part", "kind", "_key")
+    # keys go through Python as text, as a null would turn a column of them into floats
+    both = both.withColumn("_key", F.col("_key").cast("string"))
+    windows = both.mapInPandas(_windows(parts, threshold), _BLOB)
+    second = settle(grouped(windows).mapInPandas(_repeats(parts), _BLOB))
     spans = first.filter(F.col("kind") == SPAN).unionByName(second.filter(F.col("kind") == SPAN)).select("part", "data")
     schema = T.StructType([T.StructField(c, T.StringType()) for c in ("_id", *[f"_keep_{c}" for c in keep])])
     for name, kind in (("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept_sha256", "string"), ("kept_text", "string")):
