@@ -1,25 +1,62 @@
-"""A training corpus from raw documents: five stages, each one operator over the whole table."""
+"""A training corpus from raw documents: five stages, each one operator over the whole table.
+
+Each stage takes (spark, docs, sf_dir) and returns the documents it leaves, with the columns
+of documents; the last returns tokens. Between stages the documents are written and reread.
+"""
 
 from __future__ import annotations
 
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
-#: No SQL can express the learned and hashed stages; the tests compare with brute force.
+from millrace.llm import bpe, forest, langid, mixing, queries, suffix
+from millrace.llm.sparkit import shared_dir
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the model is sure of; it learns from these documents."""
+    return langid.confident(docs, queries.language_model(docs))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return forest.without_near_duplicates(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the passages of 100 bytes or more that start earlier too."""
+    return suffix.without_repeats(docs)
+
+
+def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the target weight of its source asks, in global order."""
+    return mixing.mix_sources(docs).select(*docs.columns)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The tokens of each document."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe.encode(docs, path, public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("language ID", identify_language),
+    ("near-duplicates", drop_near_duplicates),
+    ("suffix-array dedup", cut_repeats),
+    ("mixing", mix_to_weights),
+    ("byte-level BPE", tokenize),
+]
+
+#: SQL can express neither learned nor iterative stages; the tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from millrace.llm.sparkit import shared_dir
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if k == len(STAGES) - 1:
-            return out
-        out.write.parquet(f"{base}/{k}")
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}")
         docs = spark.read.parquet(f"{base}/{k}")
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)

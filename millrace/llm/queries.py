@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, mixing, sharding, suffix
+from . import bpe, fingerprints, forest, langid, mixing, quality, rules, sharding, suffix, warc
 
 
 def _docs(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
@@ -19,6 +19,18 @@ def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(_docs(spark, sf_dir, "doc_id", "text"))
 
 
+def _remainder(m: int):
+    """crc32 of the document's number as text, modulo m."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % m
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir, "doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(_remainder(5) != 0)
+    got = quality.score(docs, quality.train(docs, labels))
+    return got.select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_docs(spark, sf_dir, "doc_id", "text"), 8)
 
@@ -34,11 +46,35 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_docs(spark, sf_dir, "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def language_model(docs: DataFrame) -> langid.Model:
+    """Learned from the documents whose crc32 isn't 2 modulo 4."""
+    return langid.train(docs.filter(_remainder(4) != 2))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir, "doc_id", "text", "lang")
+    got = langid.predict(docs, language_model(docs))
+    return got.select("doc_id", (_remainder(4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(_docs(spark, sf_dir, "doc_id", "source", "n_chars"))
     return mixed.select("doc_id", "source", "n_chars", F.round("mix_rate", 9).alias("mix_rate"), "mix_copies", "mix_copy", F.round("mix_order", 12).alias("mix_order"))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return rules.clean_lines(_docs(spark, sf_dir, "doc_id", "text"), columns=columns)
+
+
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.near_duplicates(_docs(spark, sf_dir, "doc_id", "text"), width=5, percent=75)
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 _ORACLES = {
     "op7_mixing": """
         WITH n AS (SELECT source, count(*) AS n FROM documents GROUP BY source),

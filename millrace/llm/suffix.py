@@ -407,3 +407,12 @@ def _hashed_part(parts: int) -> Callable:
         return pd.Series(_of_key(key.to_numpy(np.int64), parts).astype(np.int32))
 
     return hashed
+
+
+def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", size: str = "n_chars", threshold: int = 100) -> DataFrame:
+    """docs with all its columns, each text cut to what stays of it; a column `size`, if
+    there is one, holds the new number of characters."""
+    keep = [c for c in docs.columns if c not in (key, text, size)]
+    got = suffix_dedup(docs, key, text, threshold, keep).withColumnRenamed("kept_text", "_kept_text")
+    out = {key: F.col(key), text: F.col("_kept_text"), size: F.char_length("_kept_text").cast("long")}
+    return got.select(*[out.get(c, F.col(c)).alias(c) for c in docs.columns])
