@@ -381,11 +381,11 @@ def join_as_of(spark, sf_dir):  # J12
 # --- aggregates ------------------------------------------------------------------------------
 
 
-@query("""SELECT o_custkey, count(*) AS n, sum(round(o_totalprice * 100)::BIGINT)::BIGINT AS cents, round(avg(o_totalprice), 4) AS mean,
+@query("""SELECT o_custkey, count(*) AS n, sum(round(o_totalprice * 100)::BIGINT)::BIGINT AS cents, sum(round(o_totalprice * 100)::BIGINT)::DOUBLE / count(*) AS mean,
           min(o_totalprice) AS low, max(o_totalprice) AS high FROM orders GROUP BY o_custkey""")
 def agg_group_distinct(spark, sf_dir):  # A8
     p = F.col("o_totalprice")
-    return joins.group_by(_t(spark, sf_dir, "orders"), "o_custkey", n=F.count(F.lit(1)), cents=_cents(p), mean=F.round(F.avg(p), 4), low=F.min(p), high=F.max(p))
+    return joins.group_by(_t(spark, sf_dir, "orders"), "o_custkey", n=F.count(F.lit(1)), cents=_cents(p), mean=(_cents(p).cast("double") / F.count(F.lit(1))), low=F.min(p), high=F.max(p))
 
 
 @query("""SELECT k.x AS c_mktsegment, n FROM (VALUES ('BUILDING'), ('MACHINERY'), ('NONE SUCH')) k(x)
