@@ -27,7 +27,7 @@ class Schema:
     fields: list[Field] = field(default_factory=list)
 
     @classmethod
-    def of(cls, name: str, **kinds: str) -> Schema:
+    def of(cls, name: str, /, **kinds: str) -> Schema:
         """Schema.of("User", id="int", email="string?")"""
         return cls(name, [Field(k, v.rstrip("?"), v.endswith("?")) for k, v in kinds.items()])
 

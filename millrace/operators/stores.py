@@ -209,7 +209,8 @@ class Catalog:
         file reads as an empty store."""
         lines = self.spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
         keys = lines.select("v", F.posexplode(F.json_object_keys(F.to_json("v"))).alias("_seq", "_key"))
-        rows = keys.select("_key", F.col("_seq").cast("long"), F.get_json_object(F.to_json("v"), F.concat(F.lit("$['"), F.col("_key"), F.lit("']"))).alias("record"))
+        field = F.expr("get_json_object(to_json(v), concat('$[\\'', _key, '\\']'))")
+        rows = keys.select("_key", F.col("_seq").cast("long"), field.alias("record"))
         self.stores[name] = Store(name, rows)
         return self.stores[name]
 

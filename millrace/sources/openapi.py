@@ -125,10 +125,8 @@ def checks(c: Column, s: dict, path: str, t: T.DataType) -> list[tuple[str, str,
         if "maxItems" in s:
             out.append((path, f"more than {s['maxItems']} items", some & (F.size(c) > s["maxItems"])))
         if "items" in s:
-            for p, m, _ in checks(F.lit(None).cast(t.elementType), s["items"], path + "[]", t.elementType):
-                def bad(x, p=p, m=m, s=s, t=t):
-                    return next(b for q, w, b in checks(x, s["items"], path + "[]", t.elementType) if (q, w) == (p, m))
-                out.append((p, m, some & F.exists(c, lambda x, bad=bad: F.coalesce(bad(x), F.lit(False)))))
+            for i, (p, m, _) in enumerate(checks(F.lit(None).cast(t.elementType), s["items"], path + "[]", t.elementType)):
+                out.append((p, m, some & F.exists(c, _element_breaks(i, s["items"], path, t.elementType))))
     if isinstance(t, T.StructType):
         names = t.fieldNames()
         for r in s.get("required", []):
@@ -153,6 +151,11 @@ def checks(c: Column, s: dict, path: str, t: T.DataType) -> list[tuple[str, str,
     return out
 
 
+def _element_breaks(i: int, s: dict, path: str, t: T.DataType):
+    """Whether an array's element breaks the i-th rule of its schema."""
+    return lambda x: F.coalesce(checks(x, s, path + "[]", t)[i][2], F.lit(False))
+
+
 def violations(df: DataFrame, s: dict, key: str) -> DataFrame:
     """H7: (key, path, message), a row for each broken rule, in one pass without a shuffle."""
     record = F.struct(*[F.col(c) for c in df.columns])
