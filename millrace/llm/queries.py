@@ -76,6 +76,29 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ORACLES = {
+    "op9_minhash_near_dedup": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+        x AS (SELECT doc_id, unnest(s) AS g FROM s),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both_ FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+        l AS (SELECT a, b FROM p JOIN s sa ON a = sa.doc_id JOIN s sb ON b = sb.doc_id WHERE 100 * both_ >= 75 * (len(sa.s) + len(sb.s) - both_)),
+        e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        r AS (SELECT doc_id AS k, doc_id AS c FROM documents UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.k)
+        SELECT s.doc_id, any_value(len(s.s)) AS n_shingles, min(c) AS component_id, s.doc_id = min(c) AS kept
+        FROM s JOIN r ON r.k = s.doc_id GROUP BY s.doc_id
+    """,
+    "op10_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+        m AS (SELECT page_id, h, sha1(h) AS s, max(page_id) OVER (PARTITION BY h) AS top FROM p)
+        SELECT page_id, strlen(h) AS payload_bytes,
+               (SELECT string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v >> (15 - 5 * j)) % 32 + 1, 1), '' ORDER BY i, j)
+                FROM (SELECT i, ('0x' || substr(s, 5 * i + 1, 5))::BIGINT AS v FROM range(8) r(i)), range(4) q(j)) AS payload_digest,
+               CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> top THEN top END AS refers_to
+        FROM m
+    """,
     "op7_mixing": """
         WITH n AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
         t AS (SELECT sum(n)::DOUBLE AS total, sum(n ** 0.5) AS weights FROM n),
