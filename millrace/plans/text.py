@@ -285,6 +285,8 @@ class Reader:
             source = self.expression()
             self.need("{")
             return "match", source, self.items(self.arm, "}")
+        if word == "wait":
+            return "wait", self.options()
         raise SyntaxFault(f"line {self.now.line}: unknown step {word}")
 
     def arm(self) -> tuple:
@@ -415,8 +417,8 @@ class Compiler:
     """Runs a program's actions as DataFrame builders. `sources` are functions that give a
     request's rows; the last response of an action is a column of its frame."""
 
-    def __init__(self, program: Program, spark: SparkSession, stores: Catalog | None = None, sources: dict[str, Fetch] | None = None):
-        self.p, self.spark, self.sources = program, spark, sources or {}
+    def __init__(self, program: Program, spark: SparkSession, stores: Catalog | None = None, sources: dict[str, Fetch] | None = None, events: Callable[[SparkSession, str], DataFrame] | None = None):
+        self.p, self.spark, self.sources, self.events = program, spark, sources or {}, events
         self.stores = stores or Catalog(spark)
 
     def build(self, **kw) -> M.Mission:
@@ -637,6 +639,28 @@ class Compiler:
             got = got.unionByName(o)
         return got
 
+    def _wait(self, step, ctx, df, current):
+        """The first events of a path, those that come before the timeout; a filter is
+        asked of each body and keeps an event for which it has no value."""
+        o = step[1]
+        if self.events is None:
+            raise LookupError("no events are given")
+        e = self.events(self.spark, o["path"][1] if "path" in o else "")
+        limit = int(o["expectedEvents"][1]) if "expectedEvents" in o else 1
+        e = e.orderBy("receivedAt", "id").limit(limit)
+        if "timeout" in o:
+            start = e.agg(F.min("receivedAt").alias("_start"))
+            until = F.col("_start") + F.make_dt_interval(secs=F.lit(o["timeout"][1] / 1000))
+            e = e.crossJoin(F.broadcast(start)).filter(F.col("receivedAt") <= until).drop("_start")
+        e = e.withColumnRenamed("body", "response")
+        if "eventFilter" in o:
+            e = e.filter(F.coalesce(Semantics(e).truthy(self.expr(o["eventFilter"], e, "response")), F.lit(True)))
+        if "storage" in o:
+            held = o["storage"]
+            key = self.expr(held["key"], e, "response") if "key" in held else F.col("id")
+            self._put(held["target"][1], e.withColumn("_source", F.struct("response.*")), key)
+        return e.select("response")
+
     def _fetch(self, step, ctx, df, current):
         _, verb, target, opts = step
         name = opts["source"][1] if "source" in opts else target.split(".")[0] if verb == "call" else next(iter(self.p.sources), None)
@@ -647,7 +671,31 @@ class Compiler:
         return got.select(F.struct(*[F.col(c) for c in got.columns]).alias("response"))
 
 
-def run(text: str, spark: SparkSession, stores: dict[str, DataFrame] | None = None, sources: dict[str, Fetch] | None = None, **kw) -> M.Mission:
+def read_folder(files: dict[str, str]) -> Program:
+    """A mission of several files, by name: one named mission.* (or the only one with a
+    mission in it), the others with actions alone. Two actions of one name are a fault."""
+    root = next((n for n in sorted(files) if n.startswith("mission.")), None)
+    if root is None:
+        roots = [n for n, t in files.items() if any(x.text == "mission" for x in tokens(t)[:1])]
+        if len(roots) != 1:
+            raise SyntaxFault("a folder has one mission")
+        root = roots[0]
+    p = Reader(files[root]).mission()
+    for name in sorted(files):
+        if name == root:
+            continue
+        r = Reader(files[name])
+        while r.now.kind != "end":
+            r.need("action")
+            action = r.need("name")
+            if action in p.actions:
+                raise SyntaxFault(f"{name}: two actions named {action}")
+            p.actions[action] = r.block()
+    check_names(p)
+    return p
+
+
+def run(text: str, spark: SparkSession, stores: dict[str, DataFrame] | None = None, sources: dict[str, Fetch] | None = None, events: Callable[[SparkSession, str], DataFrame] | None = None, **kw) -> M.Mission:
     """Parse, compile and run a mission; its stores are in the result."""
-    c = Compiler(parse(text), spark, Catalog(spark, stores), sources)
+    c = Compiler(parse(text), spark, Catalog(spark, stores), sources, events)
     return c.build(**kw).run()

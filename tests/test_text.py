@@ -86,3 +86,25 @@ def test_expressions(spark, src, want):
     c = text.Compiler(text.Program("x"), spark)
     got = spark.range(1).select(c.expr(e, spark.range(1), None).alias("v")).first()[0]
     assert got == want or (want is None and got in (1.0, 5.0, 9.0))
+
+
+def test_wait_takes_the_first_events(spark):
+    rows = [(i, "2024-01-01 00:00:%02d" % i, (i, "ok" if i % 2 else "no")) for i in range(9)]
+
+    def events(s, path):
+        assert path == "/hook"
+        return s.createDataFrame(rows, "id int, receivedAt string, body struct<seq: int, kind: string>").withColumn("receivedAt", F.col("receivedAt").cast("timestamp"))
+
+    body = 'action A { wait { path: "/hook", expectedEvents: 6, timeout: 4000, eventFilter: .kind == "ok", storage: { target: other, key: .seq } } store response -> out { key: .seq } } run A }'
+    m = text.run(HEAD + body, spark, events=events)
+    assert sorted(r.seq for r in m.stores["out"].scan().collect()) == [1, 3]
+    assert sorted(r.seq for r in m.stores["other"].scan().collect()) == [1, 3]
+
+
+def test_a_mission_of_several_files():
+    p = text.read_folder({"b.txt": "action B { let x = 1 }", "mission.txt": HEAD + "action A { } run A then B }"})
+    assert list(p.actions) == ["A", "B"]
+    with pytest.raises(text.SyntaxFault):
+        text.read_folder({"b.txt": "action A { }", "mission.txt": HEAD + "action A { } run A }"})
+    with pytest.raises(text.SyntaxFault):
+        text.read_folder({"b.txt": "action A { }"})
