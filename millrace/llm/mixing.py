@@ -9,8 +9,6 @@ exploded and dealt out in the global order of another hash."""
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,21 +19,22 @@ def _uniform(*parts: Column) -> Column:
     return F.conv(F.substring(h, 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
-def _inverse_poisson(u: Column, rate: Column, most: int) -> Column:
-    """How many values of the distribution function are at most u. Summed term by term in
-    ascending order; `most` is beyond any count that 52 bits of u can ask for."""
-    start = F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("c"), F.lit(0).alias("n"))
+def _distribution(rate: Column) -> Column:
+    """Values of the Poisson distribution function from 0 on, each the sum of the terms so
+    far, as an array that goes beyond any count 52 bits of a uniform number can ask for."""
+    p = F.exp(-rate)
+    start = F.struct(p.alias("p"), F.array(p).alias("c"))
 
     def step(acc: Column, k: Column) -> Column:
-        p = acc["p"] * rate / k
-        more = u >= acc["c"]
-        return F.struct(F.when(more, p).otherwise(acc["p"]).alias("p"), F.when(more, acc["c"] + p).otherwise(acc["c"]).alias("c"), F.when(more, acc["n"] + 1).otherwise(acc["n"]).alias("n"))
+        q = acc["p"] * rate / k
+        return F.struct(q.alias("p"), F.concat(acc["c"], F.array(F.element_at(acc["c"], -1) + q)).alias("c"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, step, lambda acc: acc["n"])
+    most = F.ceil(rate + 12 * F.sqrt(rate) + 24).cast("int")
+    return F.aggregate(F.sequence(F.lit(1), most), start, step, lambda acc: acc["c"])
 
 
 def rates(docs: DataFrame, source: str, weights: dict[str, float] | None, power: float, ceiling: float) -> DataFrame:
-    """(source, rate) of every source. Target shares are `weights` (sources without one get
+    """(source, rate, distribution) of every source. Target shares are `weights` (sources without one get
     0), else each source's share of rows raised to `power` and normalised."""
     n = docs.groupBy(F.col(source).alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
     if weights is None:
@@ -48,7 +47,8 @@ def rates(docs: DataFrame, source: str, weights: dict[str, float] | None, power:
     total = n.agg(F.sum("_n").alias("_all"), F.sum("_w").alias("_ws"))
     rate = F.when(F.col("_ws") > 0, F.col("_w") / F.col("_ws") * F.col("_all") / F.col("_n")).otherwise(0.0)
     # one row of totals: a product with it multiplies nothing
-    return n.crossJoin(F.broadcast(total)).select("_s", F.least(rate, F.lit(ceiling)).alias("_rate"))
+    n = n.crossJoin(F.broadcast(total)).select("_s", F.least(rate, F.lit(ceiling)).alias("_rate"))
+    return n.withColumn("_cdf", _distribution(F.col("_rate")))
 
 
 def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5, seed: int = 7, key: str = "doc_id", source: str = "source", ceiling: float = 64.0, deal: bool = True) -> DataFrame:
@@ -69,8 +69,10 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, power:
     d = docs.select(*own).withColumn("_src", F.col(source))
     d = d.join(r, d["_src"].eqNullSafe(r["_s"])).drop("_s", "_src")
     k = F.coalesce(F.col(key).cast("string"), F.lit(""))
-    most = int(ceiling + 12 * math.sqrt(ceiling) + 24)
-    d = d.withColumn("mix_copies", _inverse_poisson(_uniform(F.lit(seed), k), F.col("_rate"), most))
-    d = d.filter(F.col("mix_copies") > 0).withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("mix_copies") - 1)))
+    # inversion: how many values of the source's distribution the document's number reaches
+    u = _uniform(F.lit(seed), k)
+    d = d.withColumn("_u", u).withColumn("mix_copies", F.size(F.filter("_cdf", lambda c: c <= F.col("_u")))).drop("_cdf", "_u")
+    copies = F.when(F.col("mix_copies") > 0, F.sequence(F.lit(0), F.col("mix_copies") - 1))
+    d = d.withColumn("mix_copy", F.explode(copies))
     d = d.withColumn("mix_order", _uniform(F.lit(f"{seed}:order"), k, F.col("mix_copy"))).withColumnRenamed("_rate", "mix_rate").select(*own, *names)
     return d.orderBy("mix_order", F.col(key), "mix_copy") if deal else d
