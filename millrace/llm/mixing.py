@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .sparkit import settle
+
 
 def _uniform(*parts: Column) -> Column:
     """A number in [0, 1) of 52 bits from the MD5 of the parts, joined by '|'."""
@@ -63,9 +65,9 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, power:
     """
     names = ["mix_rate", "mix_copies", "mix_copy", "mix_order"]
     own = [c for c in docs.columns if c not in names]
-    r = rates(docs, source, weights, power, ceiling)
-    # one row for each source: the join is broadcast only if Spark finds it small, and no
-    # source's rows are gathered for it
+    # one row for each source, as a table whose size Spark knows when it plans: it is
+    # broadcast under Spark's own limit, and then no source's rows are gathered for the join
+    r = settle(rates(docs, source, weights, power, ceiling))
     d = docs.select(*own).withColumn("_src", F.col(source))
     d = d.join(r, d["_src"].eqNullSafe(r["_s"])).drop("_s", "_src")
     k = F.coalesce(F.col(key).cast("string"), F.lit(""))
