@@ -32,7 +32,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the target weight of its source asks, in global order."""
-    return mixing.mix_sources(docs).select(*docs.columns)
+    return mixing.mix_sources(docs, ceiling=None).select(*docs.columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -58,7 +58,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix_sources(_docs(spark, sf_dir, "doc_id", "source", "n_chars"))
+    mixed = mixing.mix_sources(_docs(spark, sf_dir, "doc_id", "source", "n_chars"), ceiling=None)
     return mixed.select("doc_id", "source", "n_chars", F.round("mix_rate", 9).alias("mix_rate"), "mix_copies", "mix_copy", F.round("mix_order", 12).alias("mix_order"))
 
 

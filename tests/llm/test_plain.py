@@ -1,18 +1,22 @@
 """Sharding, mixing, rules and archives against straightforward versions."""
 
 import base64
+import decimal
 import gzip
 import hashlib
 import math
 import random
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import mixing, rules, sharding, warc
+import corpus_pipeline
+from millrace.llm import mixing, queries, rules, sharding, warc
 
 SCHEMA = "doc_id long, text string, source string, shard string"
 ROWS = [(i, f"text {i % 9} é", f"s{i % 3 if i % 4 else 0}", "clash") for i in range(300)] + [(None, "x", None, "c"), (500, None, "s0", "c"), (501, "", "s0", "c"), (7, "again", "s1", "c"), (2**60, "big", "s2", "c"), (-5, "neg", "s2", "c")]
@@ -84,6 +88,62 @@ def test_poisson_has_its_mean(spark):
     assert got["a"] == pytest.approx(10000, rel=0.05) and got["b"] == pytest.approx(10000, rel=0.05)
 
 
+def poisson_by_decimals(rate, u):
+    """The count of rational mean `rate` at which the distribution function passes u."""
+    with decimal.localcontext() as c:
+        c.prec = 80
+        rate, u = decimal.Decimal(rate.numerator) / rate.denominator, decimal.Decimal(u)
+        p = total = (-rate).exp()
+        k = 0
+        while u >= total:
+            k += 1
+            p *= rate / k
+            total += p
+        return k
+
+
+@pytest.mark.parametrize("tiny,big", [(3, 300), (2, 4000), (1, 9000)])
+def test_small_sources_reach_half_the_mix(spark, tiny, big):
+    """Rates of about 50, 1,000 and 4,500: over 64 copies, and means whose exp(-rate) vanishes."""
+    df = spark.range(tiny + big).select(F.col("id").alias("doc_id"), F.when(F.col("id") < tiny, "tiny").otherwise("big").alias("source"))
+    rows = mixing.mix_sources(df, {"tiny": 1.0, "big": 1.0}, ceiling=None).collect()
+    rate = Fraction(tiny + big, 2 * tiny)
+    got = {}
+    for r in rows:
+        if r.source == "tiny":
+            assert r.mix_rate == pytest.approx(float(rate), rel=1e-12)
+            got.setdefault(r.doc_id, []).append((r.mix_copy, r.mix_copies))
+    for i in range(tiny):
+        want = poisson_by_decimals(rate, int(hashlib.md5(f"7|{i}".encode()).hexdigest()[:13], 16) / 2**52)
+        assert sorted(got[i]) == [(j, want) for j in range(want)]
+    share = sum(map(len, got.values())) / len(rows)
+    assert share == pytest.approx(0.5, abs=0.08)
+    order = [r.mix_order for r in rows]
+    assert order == sorted(order)
+
+
+def test_op7_and_pipeline_cut_no_rate(spark, tmp_path):
+    df = spark.range(20001).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.when(F.col("id") < 1, "tiny").otherwise("big").alias("source"), F.lit(1).alias("n_chars"))
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    want = 20001 / (1 + math.sqrt(20000))  # the tiny source's share of roots, for its one row
+    got = queries.op7_mixing(spark, str(tmp_path)).filter("source = 'tiny'").collect()
+    assert len(got) == got[0].mix_copies == pytest.approx(want, abs=5 * math.sqrt(want)) and got[0].mix_rate == pytest.approx(want)
+    assert corpus_pipeline.mix_to_weights(spark, df, "").filter("source = 'tiny'").count() == len(got)
+
+
+def test_poisson_of_large_means():
+    rnd = random.Random(3)
+    rates = [0.0, 1e-9, 0.3, 1.0, 63.9, 64.1, 700.0, 999.0, 5000.0, 2e6]
+    table = mixing._distribution(pd.Series(rates))
+    for rate, low, cdf in zip(rates, table.low, table.cdf, strict=True):
+        assert len(cdf) < 24 * math.sqrt(rate) + 60 and cdf[-1] == 1 and (np.diff(cdf) >= 0).all()
+        u = np.array([rnd.random() for _ in range(4000)])
+        k = low + np.searchsorted(cdf, u, side="right")
+        assert abs(k.mean() - rate) <= 5 * math.sqrt(rate / 4000) + 1e-6
+        if rate >= 64:
+            assert k.var() == pytest.approx(rate, rel=0.15)
+
+
 def base_counts(text):
     text = text or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", text)
