@@ -142,7 +142,7 @@ def shingle_hashes(b: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarr
     left = at[row + 1] - np.arange(n)
     for j in range(width):
         term = np.zeros(n, dtype=U)
-        term[: n - j] = h[j:] * mul[j] if j else h * mul[0]
+        term[: max(0, n - j)] = h[j:] * mul[j] if j else h * mul[0]
         short = left <= j
         term[short] = 0
         acc += mix(term + U(j)) if j else term

@@ -71,6 +71,20 @@ def test_group_larger_than_a_block(spark, monkeypatch):
     check(spark, rows)
 
 
+@pytest.mark.parametrize("words", range(1, 7))
+@pytest.mark.parametrize("before", ["", "long " * 250000])
+def test_a_short_text_alone_in_its_slab(words, before):
+    text = " ".join(f"w{i}" for i in range(words))
+    together = list(forest.shingle_sets([text, "and some other words beside it"], 5))
+    got = list(forest.shingle_sets([before, text], 5) if before else forest.shingle_sets([text], 5))
+    assert len(got[-1]) == len(sets_of(text)) and (got[-1] == together[0]).all()
+
+
+@pytest.mark.parametrize("words", [2, 3])
+def test_a_table_of_one_short_row(spark, words):
+    check(spark, [(1, " ".join(f"w{i}" for i in range(words)))])
+
+
 def test_empty_table(spark):
     assert forest.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
