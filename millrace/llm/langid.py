@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import bytekit as K
 
-#: Documents to learn from, at most: those whose keys have the least hashes.
+#: Documents to learn from, at most: those whose keys and texts have the least hashes.
 SAMPLE = 4000
 BUCKETS, DIM, SIZES = 1 << 15, 16, (2, 3, 4)
 EPOCHS, RATE, REJECT = 4, 0.5, 0.001
@@ -145,13 +145,15 @@ def fit(examples: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 1) -> Mo
 
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model:
-    """Learn from at most `sample` rows of docs that have a language and a text."""
+    """Learn from at most `sample` rows of docs that have a language and a text: those with
+    the least hashes of key and text. Of equal rows one counts."""
     rows = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"), F.col(lang).alias("label")).filter("label is not null and _text is not null")
-    chosen = rows.select("_id").distinct().orderBy(F.xxhash64(F.col("_id").cast("string")), "_id").limit(sample)
-    # the sample's keys are bounded by its size
-    rows = rows.join(F.broadcast(chosen), "_id", "left_semi")
+    rows = rows.withColumn("_h", F.xxhash64(F.col("_id").cast("string"), "_text"))
+    chosen = rows.select("_h", "label").distinct().orderBy("_h", "label").limit(sample)
+    # the sample's hashes are bounded by its size, and so are its rows: of equal ones one
+    rows = rows.join(F.broadcast(chosen), ["_h", "label"], "left_semi").dropDuplicates(["_h", "label"])
     got = rows.mapInPandas(_featured, "label string, idx binary, cnt binary").toPandas()
-    examples = sorted((r.label, bytes(r.idx), bytes(r.cnt)) for r in got.itertuples(index=False))[: 2 * sample]
+    examples = sorted((r.label, bytes(r.idx), bytes(r.cnt)) for r in got.itertuples(index=False))
     return fit([(a, np.frombuffer(b, np.uint16).astype(np.int64), np.frombuffer(c, np.uint32).astype(float)) for a, b, c in examples])
 
 

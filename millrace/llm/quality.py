@@ -103,6 +103,10 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     chosen = chosen.groupBy("_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64(F.col("_id").cast("string")), "_id").limit(sample)
     # the sample is bounded by its size
     rows = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id")
+    # a key can have many rows: of equal ones one counts, and of the others `sample` at most
+    rows = rows.withColumn("_h", F.xxhash64(F.col("_id").cast("string"), "_text"))
+    least = rows.select("_h", "label").distinct().orderBy("_h", "label").limit(sample)
+    rows = rows.join(F.broadcast(least), ["_h", "label"], "left_semi").dropDuplicates(["_h", "label"])
     got = rows.select("label", "_text").mapInPandas(_featured, "label int, feat binary").toPandas()
     examples = sorted((int(r.label), bytes(r.feat)) for r in got.itertuples(index=False))
     return fit([(y, np.frombuffer(f, np.uint32).astype(np.int64)) for y, f in examples])

@@ -69,3 +69,25 @@ def test_language_of_odd_rows_and_nothing_learned(spark):
     none = langid.predict(docs, langid.train(docs.withColumn("lang", F.lit(None).cast("string")))).collect()
     assert all(r.rejected for r in none)
     assert langid.predict(docs.limit(0), model).count() == 0
+
+
+def repeated(spark, schema):
+    """One key on 60 rows of three languages, each of its own text, and 20 equal rows."""
+    rows = [(7, f"{w} {i}", w, "s", 0) for w in ("aaa", "bbb", "zzz") for i in range(20)]
+    return spark.createDataFrame(rows + [(8, "same", "aaa", "s", 0)] * 20, schema)
+
+
+def test_repeated_keys_are_sampled_by_row(spark, monkeypatch):
+    docs = repeated(spark, "doc_id long, text string, lang string, source string, n_chars int")
+    seen = []
+    monkeypatch.setattr(langid, "fit", seen.append)
+    langid.train(docs, sample=20)
+    langid.train(docs, sample=100)
+    assert [len(x) for x in seen] == [20, 61]
+    assert [{y for y, *_ in x} for x in seen] == [{"aaa", "bbb", "zzz"}] * 2
+    seen.clear()
+    monkeypatch.setattr(quality, "fit", seen.append)
+    labels = spark.createDataFrame([(7, 1), (8, 0)], "doc_id long, quality int")
+    quality.train(docs, labels, sample=20)
+    quality.train(docs, labels, sample=100)
+    assert [len(x) for x in seen] == [20, 61]
