@@ -36,9 +36,9 @@ def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The tokens of each document."""
+    """The tokens of each document, their number, and digests of them and of their text."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return bpe.encode(docs, path, public_tokenizers.PATTERN)
+    return bpe.encode(docs, path, public_tokenizers.PATTERN, columns=("n_tokens", "token_ids", "ids_sha256", "decoded_sha256"))
 
 
 STAGES = [

@@ -54,6 +54,13 @@ def test_pipeline_against_brute_force(spark, sf_dir):
     assert test_suffix.SCHEMA.startswith("doc_id")
 
 
+def test_the_last_stage_returns_the_tokens(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(20)
+    got = corpus_pipeline.tokenize(spark, docs, sf_dir).collect()
+    assert len(got) == 20 and all(len(r.token_ids.split()) == r.n_tokens for r in got)
+    assert all(hashlib.sha256(r.token_ids.encode()).hexdigest() == r.ids_sha256 for r in got)
+
+
 def test_stages_keep_the_columns_and_bear_an_empty_table(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     empty = docs.limit(0)
