@@ -76,7 +76,7 @@ def _signed(width: int) -> Callable:
                 n.append(len(s))
                 cls.append(set_class(s) if len(s) else None)
                 sig.append(signature(s).tobytes() if len(s) else None)
-            yield pd.DataFrame({"_id": f["_id"], "n": n, "cls": pd.array(cls, dtype="Int64"), "sig": sig})
+            yield pd.DataFrame({**{c: f[c] for c in f.columns if c != "_text"}, "n": n, "cls": pd.array(cls, dtype="Int64"), "sig": sig})
 
     return rows
 
@@ -252,11 +252,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     A null key can join a component, but names it only if there is no other; then it is kept.
     An empty table gives an empty result; columns not named are ignored.
     """
+    return _judged(docs, key, text, width, percent).select(F.col("_id").alias(key), F.col("n").alias("n_shingles"), "component_id", "kept")
+
+
+def _judged(docs: DataFrame, key: str, text: str, width: int, percent: int, hashed: bool = False) -> DataFrame:
+    """What `near_duplicates` says of each row: _id, n, component (null for an empty set),
+    component_id, kept, and if `hashed` the text's hash as _h."""
+    h = {"_h": F.xxhash64("_text")} if hashed else {}
     spark = docs.sparkSession
     parts = buckets(spark)
     d = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text"))
-    ids = d.select(F.col("_id").cast("string").alias("_id"), "_text")
-    signed = settle(ids.mapInPandas(_signed(width), "_id string, n long, cls long, sig binary").withColumn("_id", F.col("_id").cast("long")))
+    ids = d.select(F.col("_id").cast("string").alias("_id"), "_text", *[x.alias(c) for c, x in h.items()])
+    signed = settle(ids.mapInPandas(_signed(width), f"_id string, {'_h long, ' if hashed else ''}n long, cls long, sig binary").withColumn("_id", F.col("_id").cast("long")))
     classes = signed.filter("cls is not null").groupBy("cls").agg(F.min("_id").alias("_rep"), F.first("sig").alias("sig"))
     classes = settle(classes)
     labels = classes.select("cls", "sig").mapInPandas(_labels, "region long, deep long, cls long")
@@ -290,10 +297,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     named = classes.select("cls", "_rep").join(comp.withColumnRenamed("node", "cls"), "cls", "left")
     named = named.withColumn("component", F.coalesce("component", "cls"))
     least = named.groupBy("component").agg(F.min("_rep").alias("component_id"))
-    named = named.join(least, "component").select("cls", "component_id")
-    out = signed.select("_id", "n", "cls").join(named, "cls", "left")
+    named = named.join(least, "component").select("cls", "component", "component_id")
+    out = signed.select("_id", *h, "n", "cls").join(named, "cls", "left")
     cid = F.when(F.col("cls").isNull(), F.col("_id")).otherwise(F.col("component_id"))
-    return out.select(F.col("_id").alias(key), F.col("n").alias("n_shingles"), cid.alias("component_id"), F.col("_id").eqNullSafe(cid).alias("kept"))
+    return out.select("_id", *h, "n", "component", cid.alias("component_id"), F.col("_id").eqNullSafe(cid).alias("kept"))
 
 
 def _rest(large: DataFrame, links: DataFrame, place: Callable, confirm: Callable) -> DataFrame:
@@ -319,6 +326,11 @@ def _rest(large: DataFrame, links: DataFrame, place: Callable, confirm: Callable
 
 def without_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, of one document for each component: that of
-    the least key. Of rows with the same key and text one stays."""
-    kept = near_duplicates(docs, key, text).filter("kept").select(F.col(key).alias("_kept")).distinct()
-    return docs.join(kept, docs[key].eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates([key, text])
+    the least key, and of several texts of that key the one with the least hash. Of rows
+    with the same key and text one stays."""
+    kept = _judged(docs, key, text, 5, 75, hashed=True).filter("kept")
+    # a row without words is a component of its own
+    own = [F.when(F.col("component").isNull(), F.col(c)) for c in ("_id", "_h")]
+    kept = kept.groupBy("component", *own).agg(F.min(F.struct("_id", "_h")).alias("_row")).select("_row.*").distinct()
+    same = docs[key].eqNullSafe(kept["_id"]) & (F.xxhash64(docs[text]) == kept["_h"])
+    return docs.join(kept, same, "left_semi").dropDuplicates([key, text])

@@ -85,6 +85,18 @@ def test_a_table_of_one_short_row(spark, words):
     check(spark, [(1, " ".join(f"w{i}" for i in range(words)))])
 
 
+def test_one_row_of_each_component_stays_where_keys_repeat(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    near = lambda t: t + " more"
+    rows = [(1, a), (2, b), (2, near(a)), (3, near(b)), (None, near(a) + " x"), (None, "null key"), (4, ""), (4, " "), (4, ""), (5, "five words"), (5, "other"), (6, a)]
+    rows += [(0, "z " + " ".join(f"c{i}" for i in range(60))), (0, " ".join(f"c{i}" for i in range(60)))]
+    df = spark.createDataFrame([(i, t, "c", "c") for i, t in rows], SCHEMA)
+    got = sorted((str(r.doc_id), r.text) for r in forest.without_near_duplicates(df).collect())
+    zero = [t for i, t in got if i == "0"]
+    assert len(zero) == 1 and (0, zero[0]) in rows
+    assert [x for x in got if x[0] != "0"] == sorted([("1", a), ("2", b), ("None", "null key"), ("4", ""), ("4", " "), ("5", "five words"), ("5", "other")])
+
+
 def test_empty_table(spark):
     assert forest.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
