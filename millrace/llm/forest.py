@@ -6,8 +6,8 @@
    minima. Documents with a common prefix of four in some tree form a region; in the sorted
    order they are neighbours. A pair at the least similarity misses all 32 regions once in
    200,000 times; so a shorter prefix is not needed, and a longer one would lose links.
-3. Depth adapts to the region: where documents are dense, the common prefix of one order
-   says little, and the whole signatures are compared down to the last place. Neighbours in
+3. Depth is fixed at four minima. Where documents are dense, the common prefix of one order
+   says little, so the whole signatures are compared down to the last place. Neighbours in
    a region are candidates if at least `FLOOR` of all places agree, far below what a pair to
    be linked can show (four standard deviations). Sorted deeper labels put the likeliest
    into the same block of a region, and blocks that are joined already are not compared.
