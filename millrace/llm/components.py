@@ -2,66 +2,29 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sparkit import settle
-
-
-def _groups(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, ...]]:
-    """Of rows sorted by (u, v), frame by frame: u, v, the least v of each row's u, and
-    whether a row is the first of its u. Repeated rows are left out."""
-    last_u = last_v = least = None
-    for f in frames:
-        u, v = f["u"].to_numpy(np.int64), f["v"].to_numpy(np.int64)
-        if not len(u):
-            continue
-        start = np.append(True, u[1:] != u[:-1])
-        new = start | np.append(True, v[1:] != v[:-1])
-        going_on = last_u is not None and u[0] == last_u
-        if going_on:
-            start[0] = False
-            new[0] = v[0] != last_v
-        at = np.maximum.accumulate(np.where(np.append(True, u[1:] != u[:-1]), np.arange(len(u)), 0))
-        m = v[at]
-        if going_on:
-            m = np.where(at == 0, least, m)
-        last_u, last_v, least = u[-1], v[-1], m[-1]
-        yield u[new], v[new], m[new], start[new]
-
-
-def _large_star(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for u, v, m, _ in _groups(frames):
-        up = v > u
-        # handed on as (larger, smaller), the order of the next step
-        yield pd.DataFrame({"u": v[up], "v": np.minimum(m, u)[up]})
-
-
-def _small_star(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for u, v, m, first in _groups(frames):
-        other = v != m
-        yield pd.DataFrame({"a": np.append(m[first], m[other]), "b": np.append(u[first], v[other])})
+from .sparkit import drop, settle
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of `edges` (a long, b long): the component is named
-    by its least node. Loops and repeated edges are allowed; no edges give no rows.
+    by its least node. Loops, repeated edges and nulls are left out; no edges give no rows.
 
     Alternates two star steps until nothing changes, which takes about the logarithm of the
-    longest path: every node hands its larger neighbours, then its smaller ones, to the least
-    of its neighbours. A step is one shuffle by node: sorted, a node's first neighbour is its
-    least, so that rows stream through and a node of very many edges is nowhere held in
-    memory.
+    longest path. With edges kept as (smaller, larger), the large star hands every edge (a, b)
+    to the least smaller neighbour of a; the small star leaves each b with its least neighbour
+    and hands its other smaller neighbours to that. Each edge makes one edge, so a table of
+    edges never grows. The least neighbours are aggregated, which combines before the shuffle,
+    and are written as a table of one row for each node: joins with it are broadcast under
+    Spark's own limit and split by AQE at a node of very many edges beyond it.
     """
 
-    def step(df: DataFrame, star, schema: str) -> DataFrame:
-        return df.repartition("u").sortWithinPartitions("u", "v").mapInPandas(star, schema)
+    def least(e: DataFrame) -> DataFrame:
+        return settle(e.groupBy(F.col("b").alias("n")).agg(F.min("a").alias("m")))
 
-    e = settle(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    e = settle(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     before = None
     while True:
         h = F.xxhash64("a", "b")
@@ -69,7 +32,13 @@ def components(edges: DataFrame) -> DataFrame:
         if mark == before or not mark[0]:
             break
         before = mark
-        both = e.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e")).select("e.*")
-        e = settle(step(step(both, _large_star, "u long, v long"), _small_star, "a long, b long"))
+        m1 = least(e)
+        up = settle(e.join(m1, e["a"] == m1["n"], "left").select(F.coalesce("m", "a").alias("a"), "b"))
+        m2 = least(up)
+        other = F.col("a") != F.col("m")
+        low = up.join(m2, up["b"] == m2["n"]).select(F.col("m").alias("a"), F.when(other, F.col("a")).otherwise(F.col("b")).alias("b"))
+        after = settle(low.distinct())
+        drop(e, m1, up, m2)
+        e = after
     # stars now: each node but a component's least has one edge, to that
     return e.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(e.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())

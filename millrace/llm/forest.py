@@ -2,23 +2,26 @@
 
 1. A document's words make shingles; the set of their hashes is its class (equal sets link at
    similarity 1 and go on as one), and 128 minima over it are its signature.
-2. Forest: 32 trees, each a sorted order of the signatures that begins with four other
-   minima. Documents with a common prefix of four in some tree form a region; in the sorted
-   order they are neighbours. A pair at the least similarity misses all 32 regions once in
-   200,000 times; so a shorter prefix is not needed, and a longer one would lose links.
-3. Depth is fixed at four minima. Where documents are dense, the common prefix of one order
-   says little, so the whole signatures are compared down to the last place. Neighbours in
-   a region are candidates if at least `FLOOR` of all places agree, far below what a pair to
-   be linked can show (four standard deviations). Sorted deeper labels put the likeliest
-   into the same block of a region, and blocks that are joined already are not compared.
-   Connected candidates form a group.
-4. All pairs of a group are confirmed on the full sets: their intersections are counted by
-   one product of the documents' shingle matrix with itself. A group of more than `BLOCK`
-   documents is dealt at random into blocks, twice, which joins nearly all of its linked
-   documents to one component; the documents outside the largest are then compared with
-   all of the group, block by block. So every pair is compared in one block or lies in one
-   component already.
-5. Components of the confirmed links; the least key of each is its name.
+2. Forest: 32 orders of the signatures, each beginning with another minimum. Spark range-sorts
+   each order, so that documents of a long common prefix are neighbours and no task gets more
+   rows than others, however many share a prefix. A *region* is a run of neighbours of a common
+   prefix of `ROWS` minima. (A pair at the least similarity misses all 32 such regions once in
+   200,000 times; a shorter prefix isn't needed, a longer one would lose links.)
+3. Depth adapts: a region of at most `BLOCK` documents is one candidate group. A denser one is
+   cut where the common prefix of neighbours is shortest, up to `DEEPEST` minima deep, into
+   groups of at most `BLOCK`; consecutive groups share a document. Only what lies at the ends
+   of a task's slice is shuffled once more, to put regions together that a slice's end cuts.
+4. In a group, documents are candidates if at least `FLOOR` of all places of their signatures
+   agree, far below what a pair to be linked can show (four standard deviations).
+5. Connected candidates are confirmed on the full sets, all pairs of up to `BLOCK` documents
+   in a task: their intersections are counted by one product of the documents' shingle matrix
+   with itself. More of them are dealt at random into blocks, twice, which joins nearly all
+   linked documents to one component.
+6. Completion: in every region that was cut and every group that was dealt, the documents
+   outside the largest component are compared by signature with all others of another
+   component, block by block, and the pairs that agree are confirmed. So every pair that shares
+   a region is compared, or lies in one component already.
+7. Components of the confirmed links; the least key of each is its name.
 """
 
 from __future__ import annotations
@@ -27,20 +30,28 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytekit as K
 from .components import components
-from .sparkit import buckets, settle
+from .sparkit import dealt_over, drop, settle, settled_bytes
 
 U = np.uint64
 PERMUTATIONS, ROWS = 128, 4
 TREES = PERMUTATIONS // ROWS
+#: Minima that the sorted orders hold, and the longest common prefix they can tell.
+DEEPEST = 2 * ROWS
 #: Agreement of signatures below which a pair cannot reach similarity 0.75.
 FLOOR = 0.58
-#: Documents that are compared all with all in one task at a time.
+#: Documents that are compared all with all at a time.
 BLOCK = 256
+#: Groups of a region that stay in one task, where they share a name in the edges.
+TOGETHER = 6
+#: Pairs or rows that a task holds before it passes them on.
+HELD = 1 << 18
+SMALL, DENSE, OPEN, MARK = 0, 1, 2, 3
 _MUL = (K.splitmix(5, PERMUTATIONS) >> U(32)).astype(np.uint32) | np.uint32(1)
 _ADD = (K.splitmix(6, PERMUTATIONS) >> U(32)).astype(np.uint32)
 
@@ -82,52 +93,157 @@ def _signed(width: int) -> Callable:
 
 
 def _labels(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row for each class and order: the hash of the first `ROWS` minima, the next as they are."""
     for f in frames:
         if not len(f):
             continue
         sig = np.frombuffer(b"".join(f["sig"]), np.uint32).reshape(len(f), PERMUTATIONS)
         cls = f["cls"].to_numpy(np.int64)
         for t in range(TREES):
-            turned = np.roll(sig, -t * ROWS, axis=1).astype(U)
+            turned = np.roll(sig, -t * ROWS, axis=1)[:, :DEEPEST].astype(U)
             region = np.full(len(f), t + 1, U)
             for j in range(ROWS):
                 region = K.mix(region * U(3) + turned[:, j])
-            deep = (turned[:, ROWS] << U(32) | turned[:, ROWS + 1]).view(np.int64)
-            yield pd.DataFrame({"region": region.view(np.int64), "deep": deep, "cls": cls})
+            d1, d2 = ((turned[:, j] << U(32) | turned[:, j + 1]).view(np.int64) for j in (ROWS, ROWS + 2))
+            yield pd.DataFrame({"region": region.view(np.int64), "d1": d1, "d2": d2, "cls": cls})
 
 
-def _neighbours(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of sorted rows, those that share their region with the row before or after, numbered
-    by place in the region."""
-    last, place = None, 0  # the row not yet passed on, and its place
+def _common(x: np.ndarray) -> np.ndarray:
+    """Length of the common prefix, beyond the region's, of each row and the next."""
+    same = x[1:3, 1:] ^ x[1:3, :-1]
+    half, full = (same >> 32) == 0, same == 0
+    return half[0].astype(int) + full[0] + (full[0] & half[1]) + (full[0] & full[1])
+
+
+def _cut(x: np.ndarray, final: bool) -> tuple[list[np.ndarray], np.ndarray]:
+    """Pieces of the sorted rows of a dense region, cut where neighbours have least in
+    common, and what is left for later. A piece begins with the last row of the one before."""
+    out = []
+    while x.shape[1] > BLOCK:
+        low = BLOCK // 2
+        common = _common(x[:, low - 1 : BLOCK + 1])
+        c = low + int(np.flatnonzero(common == common.min())[-1])
+        out.append(x[:, :c])
+        x = x[:, c - 1 :]
+    if final:
+        out.append(x)
+        x = x[:, :0]
+    return out, x
+
+
+def _rows(x: np.ndarray, part, state: int) -> pd.DataFrame:
+    return pd.DataFrame({"region": x[0], "part": np.broadcast_to(np.int64(part), x.shape[1]), "d1": x[1], "d2": x[2], "cls": x[3], "state": np.full(x.shape[1], state)})
+
+
+_GROUPS = "region long, part long, d1 long, d2 long, cls long, state int"
+
+
+def _grouped(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of a slice of the sorted orders: the rows of regions of several documents, with the
+    group they belong to (region, part). Regions at the ends of the slice may go on elsewhere:
+    their rows are `OPEN`, or if they are dense already, a `MARK` is left for the rest."""
+    base = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
+    held, part, first = np.empty((4, 0), np.int64), base, True
+
+    def region(x: np.ndarray, part: int, is_open: bool) -> Iterator[pd.DataFrame]:
+        if part > base or x.shape[1] > BLOCK:
+            for k, piece in enumerate(_cut(x, True)[0]):
+                yield _rows(piece, part + k, DENSE)
+            if is_open:
+                yield _rows(x[:, :1], 0, MARK)
+        elif is_open:
+            yield _rows(x, 0, OPEN)
+        elif x.shape[1] > 1:
+            yield _rows(x, 0, SMALL)
+
     for f in frames:
-        r, c = f["region"].to_numpy(np.int64), f["cls"].to_numpy(np.int64)
-        if last is not None:
-            r, c = np.append(last[0], r), np.append(last[1], c)
-        if not len(r):
+        x = np.concatenate([held, f[["region", "d1", "d2", "cls"]].to_numpy(np.int64).T], axis=1)
+        if not x.shape[1]:
             continue
-        same = r[1:] == r[:-1]
-        begin = np.flatnonzero(np.append(True, ~same))
-        at = np.arange(len(r)) - np.repeat(begin, np.diff(np.append(begin, len(r))))
-        at[: begin[1] if len(begin) > 1 else len(r)] += place
-        keep = at > 0
-        keep[:-1] |= same
-        yield pd.DataFrame({"region": r[:-1], "place": at[:-1], "cls": c[:-1]})[keep[:-1]]
-        last, place = (r[-1], c[-1]), int(at[-1])
-    if last is not None and place:
-        yield pd.DataFrame({"region": [last[0]], "place": [place], "cls": [last[1]]})
-
-
-def _stars(label: np.ndarray, names: np.ndarray) -> list[tuple[int, int]]:
-    """Edges from the first of each label to its others."""
-    first: dict[int, int] = {}
-    out = []
-    for x, name in zip(label.tolist(), names.tolist(), strict=True):
-        if x in first:
-            out.append((first[x], name))
-        else:
-            first[x] = name
-    return out
+        start = np.flatnonzero(np.append(True, x[0, 1:] != x[0, :-1]))
+        last = start[-1]
+        if last:
+            # the region that began before this frame
+            yield from region(x[:, : start[1]], part, first)
+            part, first = base, False
+            size = np.diff(start)[1:]
+            inner = x[:, start[1] : last]
+            yield _rows(inner[:, np.repeat((size > 1) & (size <= BLOCK), size)], 0, SMALL)
+            for a, n in zip(start[1:-1][size > BLOCK], size[size > BLOCK], strict=True):
+                yield from region(x[:, a : a + n], base, False)
+        held = x[:, last:]
+        if held.shape[1] > 2 * BLOCK:
+            pieces, held = _cut(held, False)
+            for piece in pieces:
+                yield _rows(piece, part, DENSE)
+                part += 1
+    if held.shape[1]:
+        yield from region(held, part, True)
+
+
+def _rejoined(f: pd.DataFrame) -> pd.DataFrame:
+    """The rows that slices left open in one region, `2 * BLOCK` at most."""
+    mine = f[f["state"] == OPEN].sort_values(["d1", "d2", "cls"])
+    x = mine[["region", "d1", "d2", "cls"]].to_numpy(np.int64).T
+    if not len(mine):
+        return f.iloc[:0]
+    if len(mine) < len(f) or len(mine) > BLOCK:
+        return pd.concat([_rows(piece, -1 - (k << TOGETHER), DENSE) for k, piece in enumerate(_cut(x, True)[0])])
+    return _rows(x, 0, SMALL) if len(mine) > 1 else f.iloc[:0]
+
+
+def star_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from the least node of each component of a graph to its others."""
+    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(names))
+    while len(x):
+        lx, ly = label[x], label[y]
+        if (lx == ly).all():
+            break
+        low = np.minimum(lx, ly)
+        np.minimum.at(label, lx, low)
+        np.minimum.at(label, ly, low)
+        while (label[label] != label).any():
+            label = label[label]
+    leaf = np.flatnonzero(label != np.arange(len(names)))
+    return names[label[leaf]], names[leaf]
+
+
+class _Edges:
+    """Edges of a task on their way out, reduced to a spanning forest."""
+
+    def __init__(self) -> None:
+        self.a, self.b, self.n = [], [], 0
+
+    def put(self, a: np.ndarray, b: np.ndarray) -> None:
+        if len(a):
+            self.a.append(a)
+            self.b.append(b)
+            self.n += len(a)
+
+    def send(self, more_than: int = 0) -> Iterator[pd.DataFrame]:
+        if self.n > more_than:
+            a, b = star_forest(np.concatenate(self.a), np.concatenate(self.b))
+            yield pd.DataFrame({"a": a, "b": b})
+            self.a, self.b, self.n = [], [], 0
+
+
+def _whole(frames: Iterator[pd.DataFrame], by: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Of rows sorted by some columns, frames that hold whole groups of them, and where the
+    groups begin and end."""
+    held = None
+    for f in frames:
+        f = f if held is None else pd.concat([held, f], ignore_index=True)
+        if not len(f):
+            continue
+        key = f[by].to_numpy(np.int64)
+        start = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(axis=1)))
+        if len(start) > 1:
+            yield f.iloc[: start[-1]], start
+        held = f.iloc[start[-1] :]
+    if held is not None and len(held):
+        yield held, np.array([0, len(held)])
 
 
 def spread_labels(link: np.ndarray) -> np.ndarray:
@@ -144,44 +260,56 @@ def spread_labels(link: np.ndarray) -> np.ndarray:
     return label
 
 
-def _alike(sig: np.ndarray, least: float) -> np.ndarray:
-    """Component labels of the rows whose sketches agree in `least` places at least. Block
-    by block; two blocks that lie in one component already are not compared."""
-    n = len(sig)
-    label = np.arange(n)
-    for a in range(0, n, BLOCK):
-        for c in range(a, n, BLOCK):
-            x, y = sig[a : a + BLOCK], sig[c : c + BLOCK]
-            seen = label[a : a + BLOCK]
-            if c > a and (seen == seen[0]).all() and (label[c : c + BLOCK] == seen[0]).all():
-                continue
-            agree = np.zeros((len(x), len(y)), np.int16)
-            for j in range(PERMUTATIONS):
-                agree += x[:, j, None] == y[None, :, j]
-            link = agree >= least
-            for i in np.flatnonzero(link.any(axis=1)):
-                old = np.unique(label[np.append(a + i, c + np.flatnonzero(link[i]))])
-                if len(old) > 1:
-                    label[np.isin(label, old)] = old[0]
-    return label
+def _agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many places each sketch of x agrees with each of y."""
+    agree = np.zeros((len(x), len(y)), np.int16)
+    for j in range(PERMUTATIONS):
+        agree += x[:, j, None] == y[None, :, j]
+    return agree
 
 
-def _agreeing(floor: float) -> Callable:
-    """Candidate edges inside the regions of a bucket."""
+def _least_places() -> float:
+    # agreement of one byte of each minimum: chance adds (1 - similarity) / 256
+    return (FLOOR + (1 - FLOOR) / 256) * PERMUTATIONS
 
-    def rows(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.drop_duplicates(["region", "cls"]).sort_values(["region", "place", "cls"], kind="stable")
-        region, cls = f["region"].to_numpy(np.int64), f["cls"].to_numpy(np.int64)
-        sig = np.frombuffer(b"".join(f["sketch"]), np.uint8).reshape(len(f), PERMUTATIONS) if len(f) else None
-        cut = np.flatnonzero(np.append(True, region[1:] != region[:-1])) if len(f) else []
-        out = []
-        # agreement of one byte of each minimum: chance adds (1 - similarity) / 256
-        least = (floor + (1 - floor) / 256) * PERMUTATIONS
-        for a, e in zip(cut, np.append(cut[1:], len(f)), strict=True):
-            out += _stars(_alike(sig[a:e], least), cls[a:e])
-        return pd.DataFrame(list(dict.fromkeys(out)), columns=["a", "b"], dtype="int64")
 
-    return rows
+def _sketches(f: pd.DataFrame) -> np.ndarray:
+    return np.frombuffer(b"".join(f["sketch"]), np.uint8).reshape(len(f), PERMUTATIONS)
+
+
+def _agreeing(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Candidate edges inside the groups, which come in one piece each. Groups of equal size
+    are compared together."""
+    least, edges = _least_places(), _Edges()
+    for f, start in _whole(frames, ["region", "part"]):
+        sig, cls, size = _sketches(f), f["cls"].to_numpy(np.int64), np.diff(start)
+        for n in np.unique(size[size > 1]):
+            at = start[:-1][size == n]
+            if n > 16:
+                for a in at:
+                    i, j = np.nonzero(np.triu(_agreement(sig[a : a + n], sig[a : a + n]) >= least, 1))
+                    edges.put(cls[a + i], cls[a + j])
+                continue
+            for i in range(n - 1):
+                for j in range(i + 1, n):
+                    ok = at[(sig[at + i] == sig[at + j]).sum(axis=1) >= least]
+                    edges.put(cls[ok + i], cls[ok + j])
+        yield from edges.send(HELD)
+    yield from edges.send()
+
+
+def _across(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs of one document outside its set's largest component (side 1) and any document
+    of another component whose sketches agree."""
+    least = _least_places()
+    for f, start in _whole(frames, ["task"]):
+        sig, cls = _sketches(f), f["cls"].to_numpy(np.int64)
+        side, comp = f["side"].to_numpy(), f["component"].to_numpy(np.int64)
+        for a, e in zip(start[:-1], start[1:], strict=True):
+            x, y = a + np.flatnonzero(side[a:e] == 1), a + np.flatnonzero(side[a:e] == 0)
+            if len(x) and len(y):
+                i, j = np.nonzero((_agreement(sig[x], sig[y]) >= least) & (comp[x][:, None] != comp[y][None, :]))
+                yield pd.DataFrame({"a": cls[x[i]], "b": cls[y[j]]})
 
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
@@ -214,28 +342,28 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _confirmed(width: int, percent: int) -> Callable:
-    """Links among the documents of each task in a bucket, as stars of their components."""
-
-    def rows(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["task", "cls"], kind="stable")
-        task, cls = f["task"].to_numpy(np.int64), f["cls"].to_numpy(np.int64)
-        cut = np.flatnonzero(np.append(True, task[1:] != task[:-1])) if len(f) else []
-        text = f["_text"].tolist()
-        out = []
-        for a, e in zip(cut, np.append(cut[1:], len(f)), strict=True):
-            sets, names, had = [], [], set()
-            for s, c in zip(shingle_sets(text[a:e], width), cls[a:e].tolist(), strict=True):
-                if c not in had and len(s) and set_class(s) == c:
-                    had.add(c)
-                    sets.append(s)
-                    names.append(c)
-            if len(sets) < 2:
-                continue
-            both = intersections(sets)
-            size = np.diag(both)
-            link = 100 * both >= percent * (size[:, None] + size[None, :] - both)
-            out += _stars(spread_labels(link), np.array(names))
-        return pd.DataFrame(list(dict.fromkeys(out)), columns=["a", "b"], dtype="int64")
+    """Links among the documents of each task, as stars of their components."""
+
+    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        edges = _Edges()
+        for f, start in _whole(frames, ["task"]):
+            cls, text = f["cls"].to_numpy(np.int64), f["_text"].tolist()
+            for a, e in zip(start[:-1], start[1:], strict=True):
+                sets, names, had = [], [], set()
+                for s, c in zip(shingle_sets(text[a:e], width), cls[a:e].tolist(), strict=True):
+                    if c not in had and len(s) and set_class(s) == c:
+                        had.add(c)
+                        sets.append(s)
+                        names.append(c)
+                if len(sets) < 2:
+                    continue
+                both = intersections(sets)
+                size = np.diag(both)
+                label = spread_labels(100 * both >= percent * (size[:, None] + size[None, :] - both))
+                names = np.array(names)
+                edges.put(names[label], names)
+            yield from edges.send(HELD)
+        yield from edges.send()
 
     return rows
 
@@ -260,68 +388,97 @@ def _judged(docs: DataFrame, key: str, text: str, width: int, percent: int, hash
     component_id, kept, and if `hashed` the text's hash as _h."""
     h = {"_h": F.xxhash64("_text")} if hashed else {}
     spark = docs.sparkSession
-    parts = buckets(spark)
     d = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text"))
     ids = d.select(F.col("_id").cast("string").alias("_id"), "_text", *[x.alias(c) for c, x in h.items()])
     signed = settle(ids.mapInPandas(_signed(width), f"_id string, {'_h long, ' if hashed else ''}n long, cls long, sig binary").withColumn("_id", F.col("_id").cast("long")))
     classes = signed.filter("cls is not null").groupBy("cls").agg(F.min("_id").alias("_rep"), F.first("sig").alias("sig"))
     classes = settle(classes)
-    labels = classes.select("cls", "sig").mapInPandas(_labels, "region long, deep long, cls long")
-    ordered = labels.repartition(max(8, parts // 4), "region").sortWithinPartitions("region", "deep", "cls")
-    near = ordered.mapInPandas(_neighbours, "region long, place long, cls long")
-    sketch = F.regexp_replace(F.hex("sig"), "(..)......", "$1")  # one byte of each minimum
-    sketched = near.join(classes.select("cls", F.unhex(sketch).alias("sketch")), "cls")
-    bucket = F.pmod(F.xxhash64("region"), F.lit(parts)).cast("int")
-    edges = sketched.withColumn("bucket", bucket).groupBy("bucket").applyInPandas(_agreeing(FLOOR), "a long, b long")
-    groups = components(edges.distinct())
-    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    groups = settle(groups.join(sizes, "component").select(F.col("node").alias("cls"), F.col("component").alias("grp"), "size"))
-    reps = classes.select("cls", "_rep").join(groups, "cls")
-    wanted = d.join(reps, d["_id"].eqNullSafe(reps["_rep"])).select("cls", "grp", "size", "_text")
-    wanted = settle(wanted)
-
-    def confirm(tasks: DataFrame) -> DataFrame:
-        tasks = tasks.select("task", "cls", "_text").withColumn("bucket", F.pmod(F.xxhash64("task"), F.lit(parts)).cast("int"))
-        return settle(tasks.groupBy("bucket").applyInPandas(_confirmed(width, percent), "a long, b long"))
-
-    small = wanted.filter(F.col("size") <= BLOCK).withColumn("task", F.col("grp"))
-    large = wanted.filter(F.col("size") > BLOCK)
-    blocks = F.ceil(F.col("size") / BLOCK)
-    place = lambda salt: F.pmod(F.xxhash64("cls", F.lit(salt)), blocks)
+    groups, edges = _candidates(classes)
+
+    sketch = F.unhex(F.regexp_replace(F.hex("sig"), "(..)......", "$1"))  # one byte of each minimum
+    sketches = classes.select(F.col("cls").alias("_c"), sketch.alias("sketch"))
+
+    def confirm(members: DataFrame) -> DataFrame:
+        """Links among the documents of each task: members are (task, cls)."""
+        m = members.join(classes.select("cls", "_rep"), "cls")
+        texts = settle(d.join(m, d["_id"].eqNullSafe(m["_rep"])).select("task", "cls", "_text"))
+        dealt = texts.repartition(dealt_over(spark, settled_bytes(texts), 4 << 20), "task").sortWithinPartitions("task", "cls")
+        links = settle(dealt.mapInPandas(_confirmed(width, percent), "a long, b long"))
+        drop(texts)
+        return links
+
+    joined = components(edges)
+    sizes = joined.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    members = settle(joined.join(sizes, "component").select(F.col("node").alias("cls"), F.col("component").alias("grp"), "size"))
+    small = members.filter(F.col("size") <= BLOCK).select(F.col("grp").alias("task"), "cls")
+    large = members.filter(F.col("size") > BLOCK)
     twice = large.withColumn("salt", F.explode(F.array(F.lit(0), F.lit(1))))
-    twice = twice.withColumn("task", F.xxhash64("grp", "salt", F.pmod(F.xxhash64("cls", "salt"), blocks)))
-    links = confirm(small.select("task", "cls", "_text").unionByName(twice.select("task", "cls", "_text")))
-    if not large.select("cls").limit(1).isEmpty():
-        links = links.unionByName(_rest(large, links, place, confirm))
-    comp = components(links)
+    block = F.pmod(F.xxhash64("cls", "salt"), F.ceil(F.col("size") / BLOCK))
+    links = confirm(small.unionByName(twice.select(F.xxhash64("grp", "salt", block).alias("task"), "cls")))
+    sets = groups.filter(F.col("state") == DENSE).select(F.col("region").alias("set"), "cls").distinct()
+    sets = settle(sets.unionByName(large.select(F.col("grp").alias("set"), "cls")))
+    more = None if sets.limit(1).isEmpty() else _rest(sets, links, sketches, confirm)
+    comp = components(links if more is None else links.unionByName(more))
     named = classes.select("cls", "_rep").join(comp.withColumnRenamed("node", "cls"), "cls", "left")
-    named = named.withColumn("component", F.coalesce("component", "cls"))
+    named = settle(named.withColumn("component", F.coalesce("component", "cls")))
     least = named.groupBy("component").agg(F.min("_rep").alias("component_id"))
-    named = named.join(least, "component").select("cls", "component", "component_id")
-    out = signed.select("_id", *h, "n", "cls").join(named, "cls", "left")
+    # the component of a third of all rows is one key here: least has a row for each component
+    least = settle(least)
+    verdict = named.join(least, "component").select("cls", "component", "component_id")
+    out = signed.select("_id", *h, "n", "cls").join(verdict, "cls", "left")
     cid = F.when(F.col("cls").isNull(), F.col("_id")).otherwise(F.col("component_id"))
+    drop(groups, edges, members, sets, links, more)
     return out.select("_id", *h, "n", "component", cid.alias("component_id"), F.col("_id").eqNullSafe(cid).alias("kept"))
 
 
-def _rest(large: DataFrame, links: DataFrame, place: Callable, confirm: Callable) -> DataFrame:
-    """Links of the documents that the random blocks left outside their group's largest
-    component: each block of them is compared with each block of the whole group."""
+def _candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of the candidate groups, edges between candidates)."""
+    spark = classes.sparkSession
+    labels = classes.select("cls", "sig").mapInPandas(_labels, "region long, d1 long, d2 long, cls long")
+    order = ["region", "d1", "d2", "cls"]
+    n = dealt_over(spark, settled_bytes(classes) * TREES * 32 // (4 * PERMUTATIONS))
+    found = settle(labels.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInPandas(_grouped, _GROUPS))
+    at_ends = found.filter(F.col("state") >= OPEN).groupBy("region").applyInPandas(_rejoined, _GROUPS)
+    groups = settle(found.filter(F.col("state") < OPEN).unionByName(at_ends).select("region", "part", "cls", "state"))
+    drop(found)
+    sketch = F.unhex(F.regexp_replace(F.hex("sig"), "(..)......", "$1"))  # one byte of each minimum
+    with_sketch = groups.select("region", "part", "cls").join(classes.select("cls", sketch.alias("sketch")), "cls")
+    # comparing costs far more than a row's bytes tell
+    n = dealt_over(spark, settled_bytes(groups), 1 << 20)
+    dealt = with_sketch.repartition(n, "region", F.shiftright("part", TOGETHER)).sortWithinPartitions("region", "part", "cls")
+    return groups, settle(dealt.mapInPandas(_agreeing, "a long, b long"))
+
+
+def _rest(sets: DataFrame, links: DataFrame, sketches: DataFrame, confirm: Callable) -> DataFrame | None:
+    """Links that are still missing inside sets (set, cls) of documents: those outside a
+    set's largest component, block by block, against each block of the whole set. Only
+    sketches travel, and of the sets only those that are not one component already."""
+    spark = sets.sparkSession
     comp = components(links).withColumnRenamed("node", "cls")
-    own = large.select("cls", "grp", "size").join(comp, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    own = settle(own)
-    count = own.groupBy("grp", "component").agg(F.count(F.lit(1)).alias("m"))
-    main = count.groupBy("grp").agg(F.max_by("component", F.struct("m", "component")).alias("main"))
-    rest = own.join(main, "grp").filter("component <> main").select("cls", "grp", "size")
-    left = rest.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("rest_blocks"))
-    rest = settle(rest.join(left, "grp"))
-    if rest.limit(1).isEmpty():
-        return links.limit(0)
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    side = F.pmod(F.xxhash64("cls", F.lit(2)), F.col("rest_blocks"))
-    rest_rows = large.join(rest.select("cls", "rest_blocks"), "cls").withColumn("rb", side).withColumn("ab", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    all_rows = large.join(left, "grp").withColumn("ab", place(3).cast("int")).withColumn("rb", F.explode(F.sequence(F.lit(0), F.col("rest_blocks").cast("int") - 1)))
-    cols = [F.xxhash64("grp", F.col("rb").cast("int"), F.col("ab").cast("int")).alias("task"), "cls", "_text"]
-    return confirm(rest_rows.select(*cols).unionByName(all_rows.select(*cols)))
+    own = settle(sets.join(comp, "cls", "left").withColumn("component", F.coalesce("component", "cls")))
+    count = own.groupBy("set", "component").agg(F.count(F.lit(1)).alias("m"))
+    shape = count.groupBy("set").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.sum("m").alias("all"), F.max("m").alias("m"))
+    # one row for each set that is in several components
+    shape = settle(shape.filter("all > m").select("set", "main", F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("all") - F.col("m")) / BLOCK).cast("int").alias("rests")))
+    if shape.limit(1).isEmpty():
+        drop(own, shape)
+        return None
+    d = own.join(shape, "set")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    place = lambda salt, n: F.pmod(F.xxhash64("cls", F.lit(salt)), F.col(n)).cast("int")
+    rest = d.filter("component <> main").withColumn("rb", place(2, "rests")).withColumn("ab", each("blocks")).withColumn("side", F.lit(1))
+    every = d.withColumn("ab", place(3, "blocks")).withColumn("rb", each("rests")).withColumn("side", F.lit(0))
+    tasks = settle(rest.unionByName(every, allowMissingColumns=True).select(F.xxhash64("set", "rb", "ab").alias("task"), "side", "cls", "component"))
+    t = tasks.join(sketches, tasks["cls"] == sketches["_c"]).drop("_c")
+    dealt = t.repartition(dealt_over(spark, settled_bytes(tasks), 1 << 20), "task").sortWithinPartitions("task")
+    pairs = settle(dealt.mapInPandas(_across, "a long, b long").distinct())
+    several = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+    parts = settle(several)
+    p = pairs.join(parts, "a").select(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("parts"))).alias("task"), "a", "b")
+    members = p.select("task", F.col("a").alias("cls")).distinct().unionByName(p.select("task", F.col("b").alias("cls")))
+    found = confirm(members)
+    drop(own, shape, tasks, pairs, parts)
+    return found
 
 
 def without_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

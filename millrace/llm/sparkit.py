@@ -16,10 +16,12 @@ _own: list[str] = []
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; a temporary one only
-    where nothing is set, as in local tests."""
+    where nothing is set and driver and executors are one process, as in local tests."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="millrace-shared-"))
     return "file://" + _own[0]
@@ -46,7 +48,37 @@ def settle(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     with _releasing(spark):
         df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    where, fs = _file_system(spark, path)
+    fs.deleteOnExit(where)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def _file_system(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def settled_bytes(df: DataFrame) -> int:
+    """Bytes of a settled table as it lies on disk."""
+    where, fs = _file_system(df.sparkSession, df.settled_at)
+    return int(fs.getContentSummary(where).getLength())
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Delete settled tables that nothing reads any more. What is not dropped goes when the
+    driver ends."""
+    for df in tables:
+        if df is not None:
+            where, fs = _file_system(df.sparkSession, df.settled_at)
+            fs.delete(where, True)
+
+
+def dealt_over(spark: SparkSession, size: int, of: int = 16 << 20) -> int:
+    """Tasks for work on `size` bytes: one for each `of` bytes, and no fewer than the cluster
+    deals a shuffle over, so that a task's share stays bounded as the input grows."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), -(-size // of))
 
 
 def buckets(spark: SparkSession, per_partition: int = 4) -> int:
