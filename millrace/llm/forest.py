@@ -299,17 +299,17 @@ def _agreeing(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _across(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs of one document outside its set's largest component (side 1) and any document
-    of another component whose sketches agree."""
+    """Of each task the documents outside their set's largest part (side 1) and those of
+    another part (side 0) that have a pair whose sketches agree."""
     least = _least_places()
     for f, start in _whole(frames, ["task"]):
-        sig, cls = _sketches(f), f["cls"].to_numpy(np.int64)
-        side, comp = f["side"].to_numpy(), f["component"].to_numpy(np.int64)
+        sig, side, label = _sketches(f), f["side"].to_numpy(), f["label"].to_numpy(np.int64)
         for a, e in zip(start[:-1], start[1:], strict=True):
             x, y = a + np.flatnonzero(side[a:e] == 1), a + np.flatnonzero(side[a:e] == 0)
             if len(x) and len(y):
-                i, j = np.nonzero((_agreement(sig[x], sig[y]) >= least) & (comp[x][:, None] != comp[y][None, :]))
-                yield pd.DataFrame({"a": cls[x[i]], "b": cls[y[j]]})
+                pair = (_agreement(sig[x], sig[y]) >= least) & (label[x][:, None] != label[y][None, :])
+                both = np.append(x[pair.any(axis=1)], y[pair.any(axis=0)])
+                yield f.iloc[both][["task", "cls"]]
 
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
@@ -408,17 +408,21 @@ def _judged(docs: DataFrame, key: str, text: str, width: int, percent: int, hash
         return links
 
     joined = components(edges)
-    sizes = joined.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    sizes = settle(joined.groupBy("component").agg(F.count(F.lit(1)).alias("size")))
     members = settle(joined.join(sizes, "component").select(F.col("node").alias("cls"), F.col("component").alias("grp"), "size"))
     small = members.filter(F.col("size") <= BLOCK).select(F.col("grp").alias("task"), "cls")
     large = members.filter(F.col("size") > BLOCK)
     twice = large.withColumn("salt", F.explode(F.array(F.lit(0), F.lit(1))))
     block = F.pmod(F.xxhash64("cls", "salt"), F.ceil(F.col("size") / BLOCK))
     links = confirm(small.unionByName(twice.select(F.xxhash64("grp", "salt", block).alias("task"), "cls")))
-    sets = groups.filter(F.col("state") == DENSE).select(F.col("region").alias("set"), "cls").distinct()
-    sets = settle(sets.unionByName(large.select(F.col("grp").alias("set"), "cls")))
-    more = None if sets.limit(1).isEmpty() else _rest(sets, links, sketches, confirm)
-    comp = components(links if more is None else links.unionByName(more))
+    # what a cut region's groups kept apart, and what the blocks of a large group left apart
+    dense = groups.filter(F.col("state") == DENSE).select(F.col("region").alias("set"), "cls").distinct()
+    apart = dense.join(members.select("cls", "grp"), "cls", "left").select("set", "cls", F.coalesce("grp", "cls").alias("label"))
+    part = components(links)
+    inside = large.join(part, large["cls"] == part["node"], "left").select(F.col("grp").alias("set"), "cls", F.coalesce("component", "cls").alias("label"))
+    sets = settle(apart.unionByName(inside))
+    more = _rest(sets, sketches, confirm)
+    comp = part if more is None else components(links.unionByName(more))
     named = classes.select("cls", "_rep").join(comp.withColumnRenamed("node", "cls"), "cls", "left")
     named = settle(named.withColumn("component", F.coalesce("component", "cls")))
     least = named.groupBy("component").agg(F.min("_rep").alias("component_id"))
@@ -427,7 +431,7 @@ def _judged(docs: DataFrame, key: str, text: str, width: int, percent: int, hash
     verdict = named.join(least, "component").select("cls", "component", "component_id")
     out = signed.select("_id", *h, "n", "cls").join(verdict, "cls", "left")
     cid = F.when(F.col("cls").isNull(), F.col("_id")).otherwise(F.col("component_id"))
-    drop(groups, edges, members, sets, links, more)
+    drop(groups, edges, sizes, members, sets, links, more)
     return out.select("_id", *h, "n", "component", cid.alias("component_id"), F.col("_id").eqNullSafe(cid).alias("kept"))
 
 
@@ -449,35 +453,28 @@ def _candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return groups, settle(dealt.mapInPandas(_agreeing, "a long, b long"))
 
 
-def _rest(sets: DataFrame, links: DataFrame, sketches: DataFrame, confirm: Callable) -> DataFrame | None:
-    """Links that are still missing inside sets (set, cls) of documents: those outside a
-    set's largest component, block by block, against each block of the whole set. Only
-    sketches travel, and of the sets only those that are not one component already."""
+def _rest(sets: DataFrame, sketches: DataFrame, confirm: Callable) -> DataFrame | None:
+    """Links that are still missing inside sets (set, cls, label) of documents: those outside
+    a set's largest part, block by block, against each block of the whole set. Sets of one
+    part need nothing. Only sketches travel; texts follow for documents of agreeing pairs."""
     spark = sets.sparkSession
-    comp = components(links).withColumnRenamed("node", "cls")
-    own = settle(sets.join(comp, "cls", "left").withColumn("component", F.coalesce("component", "cls")))
-    count = own.groupBy("set", "component").agg(F.count(F.lit(1)).alias("m"))
-    shape = count.groupBy("set").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.sum("m").alias("all"), F.max("m").alias("m"))
-    # one row for each set that is in several components
-    shape = settle(shape.filter("all > m").select("set", "main", F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("all") - F.col("m")) / BLOCK).cast("int").alias("rests")))
+    count = sets.groupBy("set", "label").agg(F.count(F.lit(1)).alias("m"))
+    shape = count.groupBy("set").agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.sum("m").alias("all"), F.max("m").alias("m"))
+    # one row for each set that is in several parts
+    shape = settle(shape.filter("all > m").select(F.col("set").alias("s"), "main", F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("all") - F.col("m")) / BLOCK).cast("int").alias("rests")))
     if shape.limit(1).isEmpty():
-        drop(own, shape)
+        drop(shape)
         return None
-    d = own.join(shape, "set")
+    d = sets.join(shape, sets["set"] == shape["s"])
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     place = lambda salt, n: F.pmod(F.xxhash64("cls", F.lit(salt)), F.col(n)).cast("int")
-    rest = d.filter("component <> main").withColumn("rb", place(2, "rests")).withColumn("ab", each("blocks")).withColumn("side", F.lit(1))
+    rest = d.filter("label <> main").withColumn("rb", place(2, "rests")).withColumn("ab", each("blocks")).withColumn("side", F.lit(1))
     every = d.withColumn("ab", place(3, "blocks")).withColumn("rb", each("rests")).withColumn("side", F.lit(0))
-    tasks = settle(rest.unionByName(every, allowMissingColumns=True).select(F.xxhash64("set", "rb", "ab").alias("task"), "side", "cls", "component"))
+    tasks = settle(rest.unionByName(every).select(F.xxhash64("set", "rb", "ab").alias("task"), "side", "cls", "label"))
     t = tasks.join(sketches, tasks["cls"] == sketches["_c"]).drop("_c")
     dealt = t.repartition(dealt_over(spark, settled_bytes(tasks), 1 << 20), "task").sortWithinPartitions("task")
-    pairs = settle(dealt.mapInPandas(_across, "a long, b long").distinct())
-    several = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
-    parts = settle(several)
-    p = pairs.join(parts, "a").select(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("parts"))).alias("task"), "a", "b")
-    members = p.select("task", F.col("a").alias("cls")).distinct().unionByName(p.select("task", F.col("b").alias("cls")))
-    found = confirm(members)
-    drop(own, shape, tasks, pairs, parts)
+    found = confirm(dealt.mapInPandas(_across, "task long, cls long").distinct())
+    drop(shape, tasks)
     return found
 
 

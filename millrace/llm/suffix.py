@@ -1,25 +1,25 @@
 """Suffix-array dedup: removes every byte that a long enough earlier repeat covers.
 
-The order of suffixes matters only for their first `threshold` bytes, so prefix doubling
-can start at half of that length and needs one more round:
-
-1. Rank of a position: the hash of the `threshold / 2` bytes that start there. Positions
-   are chosen by content, one for each window of `threshold` bytes (the least rank in it),
-   so two equal windows always choose the same position in them. Neighbouring windows that
-   chose the same position form a *context*. Spark groups the ranks; a position whose rank
-   is unique drops out with all its windows, as in any prefix doubling.
-2. Contexts of one rank whose whole bytes are equal form a class: all but its first
-   occurrence repeat an earlier one. Only the first goes on, and only if its rank has
-   other classes too.
-3. What is left is ranked anew by the pair of ranks at offset 0 and `threshold / 2`, which
-   is the rank over `threshold` bytes: doubling has reached the threshold. All windows of
-   one rank but the first repeat an earlier one.
-
-A rank has 64 bits and is only ever compared together with a second one, so 128 bits decide.
-
-Skew: what repeats inside one batch of a task is settled there, before any shuffle. A rank
-with very many classes in one batch leaves a marker for its group and sends its contexts
-straight to step 3, which deals windows out by their own hash.
+Prefix doubling over the suffixes, of which only the first `threshold` bytes matter:
+
+1. The first rank of a position names the `START` bytes that begin there. Positions are chosen
+   by content, one for each window of `threshold` bytes (the least rank in it), so that two
+   equal windows always choose the same position in them. Neighbouring windows that chose the
+   same position form a *context*. Spark range-sorts (rank, context) and each task reranks its
+   slice: a position whose rank is unique drops out with all its windows; of contexts whose
+   whole bytes are equal all but the first repeat an earlier one, and the first goes on only
+   if its rank has other contexts too.
+2. The windows that are left are positions of their own now, each with its rank over `START`
+   bytes and the names of the pieces that follow at offsets START, 2 START, 4 START, ...
+3. Round by round Spark range-sorts the pairs (rank over k bytes, name of the k bytes at offset
+   k); the tasks rerank them, positions with a unique pair drop out, and k doubles, until the
+   threshold is reached. There all positions of one rank but the first repeat an earlier one.
+
+A name is a hash of 64 bits and never decides alone: two names at least do.
+
+Skew: what repeats inside one batch of a task is settled there, before any shuffle. Slices hold
+equally many rows, however many of them have one rank; a rank that goes on over several slices
+is put together from one row for either end of each slice.
 """
 
 from __future__ import annotations
@@ -29,73 +29,44 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bytekit as K
-from .sparkit import buckets, number_rows, settle
+from .sparkit import dealt_over, drop, number_rows, settle, settled_bytes
 
 U = np.uint64
-#: Contexts that a task holds before it passes them on.
+#: Entries that a task holds before it passes them on.
 BATCH = 1 << 20
-#: Classes of one rank in one batch above which they go straight to the last round.
-MANY = 256
+#: Length of the first rank.
+START = 50
 _POS = U((1 << 21) - 1)
-CONTEXT, SPAN, REQUEST, MANY_MARK, WINDOW, TEXT = 0, 1, 2, 3, 4, 5
-_BLOB = "part int, kind int, data binary"
+CONTEXT, SPAN, REQUEST, HEAD, TAIL = 0, 1, 2, 3, 4
+_ENTRY = "kind int, slice int, g long, c long, key long, lo long, n int"
 
 
-def _pack(*cols: np.ndarray) -> bytes:
-    """Columns of equal length as byte planes, which compress well where values are small."""
-    n = len(cols[0])
-    out = [np.int64(n).tobytes()]
-    for c in cols:
-        out.append(np.ascontiguousarray(c).view(np.uint8).reshape(n, 8).T.tobytes() if n else b"")
-    return b"".join(out)
+def pieces(threshold: int) -> list[tuple[int, int]]:
+    """The byte ranges of a position that the rounds name: the first rank's, then the piece
+    at each offset that doubling reaches, two pieces at least."""
+    out = [(0, min(START, max(1, threshold // 2)))]
+    while out[-1][1] < threshold:
+        k = out[-1][1]
+        out.append((k, min(2 * k, threshold)))
+    return out if len(out) > 1 else [*out, (threshold, threshold)]
 
 
-def _unpack(blobs: list[bytes], k: int) -> list[np.ndarray]:
-    cols: list[list[np.ndarray]] = [[] for _ in range(k)]
-    for blob in blobs:
-        n = int(np.frombuffer(blob, np.int64, 1)[0])
-        planes = np.frombuffer(blob, np.uint8, offset=8).reshape(k, 8, n)
-        for i in range(k):
-            cols[i].append(np.ascontiguousarray(planes[i].T).reshape(-1).view(np.int64))
-    return [np.concatenate(c) if c else np.empty(0, np.int64) for c in cols]
-
-
-def _dealt(parts: np.ndarray, kind: int, *cols: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
-    """One row for each part that has entries."""
-    if not len(parts):
-        return
-    order = np.argsort(parts, kind="stable")
-    p = parts[order]
-    cut = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
-    for a, e in zip(cut, np.append(cut[1:], len(p)), strict=True):
-        o = order[a:e]
-        yield int(p[a]), kind, _pack(*[c[o] for c in cols])
-
-
-def _frames(rows: Iterator[tuple[int, int, bytes]]) -> Iterator[pd.DataFrame]:
-    hold, size = [], 0
-    for r in rows:
-        hold.append(r)
-        size += len(r[2])
-        if size > 8 << 20:
-            yield pd.DataFrame(hold, columns=["part", "kind", "data"])
-            hold, size = [], 0
-    if hold:
-        yield pd.DataFrame(hold, columns=["part", "kind", "data"])
-
-
-def _of_key(key: np.ndarray, parts: int) -> np.ndarray:
-    return (K.mix(key.view(U)) % U(parts)).astype(np.int64)
+def _entries(kind: int, g=0, c=0, key=0, lo=0, n=1) -> pd.DataFrame:
+    rows = len(key)
+    wide = lambda x: np.broadcast_to(np.asarray(x, np.int64), rows)
+    where = TaskContext.get().partitionId() if TaskContext.get() else 0
+    return pd.DataFrame({"kind": np.full(rows, kind), "slice": np.full(rows, where), "g": wide(g), "c": wide(c), "key": wide(key), "lo": wide(lo), "n": wide(n)})
 
 
 def _contexts(b: np.ndarray, off: np.ndarray, whole: int) -> Iterator[tuple[np.ndarray, ...]]:
     """(rank, class, row, first window, windows) of every context, in pieces of bounded size."""
-    half = whole // 2
+    half = pieces(whole)[0][1]
     w = whole - half + 1
     size = np.diff(off)
     for at in range(0, max(1, len(b)), K.SLAB):
@@ -129,33 +100,20 @@ def _firsts(order_by: tuple[np.ndarray, ...], same: tuple[np.ndarray, ...]) -> t
     return order, new
 
 
-def _scan(parts: int, whole: int) -> Callable:
-    """Round one, at the tasks that read the texts."""
+def _scan(whole: int) -> Callable:
+    """Contexts, and spans of those that repeat inside a batch, where the texts are read."""
 
-    def batch(held: list[tuple[np.ndarray, ...]]) -> Iterator[tuple[int, int, bytes]]:
+    def batch(held: list[tuple[np.ndarray, ...]]) -> Iterator[pd.DataFrame]:
         g, c, key, lo, n = (np.concatenate(x) for x in zip(*held, strict=True))
         order, new = _firsts((g, c, key, lo), (g, c))
-        first = np.zeros(len(g), bool)
-        first[order[new]] = True
         # the same document may be here twice: its copies of a first context are no repeats
         lead = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
-        twin = np.zeros(len(g), bool)
-        twin[order] = (key[order] == key[lead]) & (lo[order] == lo[lead])
-        dup = np.flatnonzero(~first & ~twin)
-        yield from _dealt(_of_key(key[dup], parts), SPAN, key[dup], lo[dup], n[dup])
-        f = np.flatnonzero(first)
-        g, c, key, lo, n = g[f], c[f], key[f], lo[f], n[f]
-        rank, at, times = np.unique(g, return_inverse=True, return_counts=True)
-        hot = times > MANY
-        if hot.any():
-            r = np.flatnonzero(hot[at])
-            yield from _dealt(_of_key(key[r], parts), REQUEST, key[r], lo[r], n[r], g[r])
-            yield from _dealt(_of_key(rank[hot], parts), MANY_MARK, rank[hot])
-        r = np.flatnonzero(~hot[at])
-        g, c, key, lo, n = g[r], c[r], key[r], lo[r], n[r]
-        yield from _dealt(_of_key(g, parts), CONTEXT, g, c, key, lo, n)
-
-    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[int, int, bytes]]:
+        dup = order[~new & ((key[order] != key[lead]) | (lo[order] != lo[lead]))]
+        dup, f = np.sort(dup), np.sort(order[new])
+        yield _entries(SPAN, key=key[dup], lo=lo[dup], n=n[dup])
+        yield _entries(CONTEXT, g[f], c[f], key[f], lo[f], n[f])
+
+    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
         for f in frames:
             keys = f["_key"].to_numpy(np.int64)
@@ -169,117 +127,93 @@ def _scan(parts: int, whole: int) -> Callable:
         if size:
             yield from batch(held)
 
-    return lambda frames: _frames(rows(frames))
-
-
-class _Outbox:
-    """Entries of a task on their way to other parts: blobs are made of many groups' entries
-    together, so that their number follows the tasks and not the groups."""
-
-    def __init__(self, parts: int):
-        self.parts, self.held, self.size = parts, {}, 0
-
-    def put(self, kind: int, by: np.ndarray, *cols: np.ndarray) -> None:
-        if len(by):
-            self.held.setdefault(kind, []).append((_of_key(by, self.parts), *cols))
-            self.size += len(by)
-
-    def send(self, at_least: int = 0) -> Iterator[tuple[int, int, bytes]]:
-        if self.size <= at_least:
-            return
-        for kind, held in self.held.items():
-            to, *cols = (np.concatenate(x) for x in zip(*held, strict=True))
-            yield from _dealt(to, kind, *cols)
-        self.held, self.size = {}, 0
+    return rows
 
 
-def _by_part(frames: Iterator[pd.DataFrame]) -> Iterator[dict[int, list[bytes]]]:
-    """Of rows sorted by part: the blobs of each part, by kind."""
-    part, blobs = None, {}
+def _classes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Reranks a slice of contexts sorted by (g, c, key, lo). Repeats become spans, firsts
+    whose rank has others, or lies at an end of the slice, become requests. The first context
+    of the slice's first class is left open (HEAD), as its class may have begun before; that of
+    its last class is told (TAIL)."""
+    held = None  # the last row not passed on, which is the first of its class
+    alone = False  # whether its rank has no other context so far
+    lead = None  # the first row of the class
+    begun = False
     for f in frames:
-        for p, kind, data in f[["part", "kind", "data"]].itertuples(index=False):
-            if p != part:
-                if blobs:
-                    yield blobs
-                part, blobs = p, {}
-            blobs.setdefault(kind, []).append(data)
-    if blobs:
-        yield blobs
-
-
-def _classes(parts: int) -> Callable:
-    """Round one, at the groups of ranks."""
-
-    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[int, int, bytes]]:
-        box = _Outbox(parts)
-        for blobs in _by_part(frames):
-            key, lo, n = _unpack(blobs.get(SPAN, []), 3)
-            box.put(SPAN, key, key, lo, n)
-            key, lo, n, g = _unpack(blobs.get(REQUEST, []), 4)
-            box.put(REQUEST, key, key, lo, n, g)
-            (many,) = _unpack(blobs.get(MANY_MARK, []), 1)
-            g, c, key, lo, n = _unpack(blobs.get(CONTEXT, []), 5)
-            if len(g):
-                order, new = _firsts((g, c, key, lo), (g, c))
-                lead = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
-                repeat = ~new & ((key[order] != key[lead]) | (lo[order] != lo[lead]))
-                dup = order[repeat]
-                box.put(SPAN, key[dup], key[dup], lo[dup], n[dup])
-                f1 = order[new]
-                _, at, times = np.unique(g[f1], return_inverse=True, return_counts=True)
-                ask = f1[(times[at] > 1) | np.isin(g[f1], many)]
-                box.put(REQUEST, key[ask], key[ask], lo[ask], n[ask], g[ask])
-            yield from box.send(BATCH)
-        yield from box.send()
-
-    return lambda frames: _frames(rows(frames))
-
-
-def _windows(parts: int, whole: int) -> Callable:
-    """Round two, at the texts: ranks over the whole length for the windows asked for. Rows
-    come sorted by part, the requests of a part before its texts."""
-    half = whole // 2
-
-    def flush(out: list) -> Iterator[tuple[int, int, bytes]]:
-        h1, h2, key, lo = (np.concatenate(x) for x in zip(*out, strict=True))
-        order, new = _firsts((h1, h2, key, lo), (h1, h2))
-        dup, first = order[~new], order[new]
-        box = _Outbox(parts)
-        box.put(SPAN, key[dup], key[dup], lo[dup], np.ones(len(dup), np.int64))
-        box.put(WINDOW, h1[first] ^ h2[first], h1[first], h2[first], key[first], lo[first])
-        yield from box.send()
-
-    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[int, int, bytes]]:
-        part, blobs, asked, last = None, [], None, None
+        if not len(f):
+            continue
+        x = f[["g", "c", "key", "lo", "n"]].to_numpy(np.int64).T
+        if not begun:
+            yield _entries(HEAD, *x[:, :1])
+            lead, begun, alone = x[:, 0], True, False
+            x = x[:, 1:]
+            if not x.shape[1]:
+                continue
+        prev = np.concatenate([lead[:, None], x], axis=1)[:, :-1]
+        same_rank = x[0] == prev[0]
+        new = ~(same_rank & (x[1] == prev[1]))
+        # the leading row of each row's class
+        at = np.maximum.accumulate(np.where(new, np.arange(len(new)), -1))
+        first = np.where(at >= 0, x[:, np.maximum(at, 0)], lead[:, None])
+        repeat = ~new & ((x[2] != first[2]) | (x[3] != first[3]))
+        yield _entries(SPAN, key=x[2, repeat], lo=x[3, repeat], n=x[4, repeat])
+        # of the first rows, those whose rank has another context before or after them
+        p = np.flatnonzero(new)
+        if len(p):
+            y = x[:, p]
+            before = np.concatenate([[same_rank[p[0]]], y[0, 1:] == y[0, :-1]])
+            after = np.append(y[0, 1:] == y[0, :-1], False)
+            if held is not None and (before[0] or not alone):
+                yield _entries(REQUEST, *held[:, None])
+            go = (before | after)[:-1]
+            yield _entries(REQUEST, *y[:, :-1][:, go])
+            held, alone = y[:, -1], not before[-1]
+        lead = first[:, -1] if not new[-1] else x[:, -1]
+    if begun:
+        if held is not None:
+            yield _entries(REQUEST, *held[:, None])
+        yield _entries(TAIL, *np.asarray(lead)[:, None])
+
+
+def _windows(whole: int) -> Callable:
+    """Names of the pieces of the windows asked for. Rows come sorted by key, the requests of a
+    document before its text. Windows that repeat inside a batch are settled here."""
+    cuts = pieces(whole)
+    names = [f"h{i}" for i in range(len(cuts))]
+
+    def flush(out: list) -> Iterator[pd.DataFrame]:
+        *h, key, lo = (np.concatenate(x) for x in zip(*out, strict=True))
+        order, new = _firsts((*h, key, lo), tuple(h))
+        for kind, rows in ((SPAN, order[~new]), (CONTEXT, order[new])):
+            yield pd.DataFrame({"kind": np.full(len(rows), kind), "key": key[rows], "lo": lo[rows], **{c: x[rows] for c, x in zip(names, h, strict=True)}})
+
+    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        asked, at, done = [], None, False  # ranges of windows asked for, of which key, and whether it was served
         out, size = [], 0
         for f in frames:
-            for p, kind, data, k, text in f[["part", "kind", "data", "_key", "_text"]].itertuples(index=False):
-                if p != part:
-                    part, blobs, asked, last = p, [], None, None
-                if kind == REQUEST:
-                    blobs.append(data)
+            keys, kind = f["_key"].to_numpy(np.int64), f["kind"].to_numpy()
+            los, ns, text = f["lo"].to_numpy(np.int64), f["n"].to_numpy(np.int64), f["_text"].tolist()
+            # runs of one document's requests, and single texts
+            cut = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (kind[1:] != REQUEST)) if len(f) else [])
+            for a, e in zip(cut, np.append(cut[1:], len(f)), strict=True):
+                k = int(keys[a])
+                if k != at:
+                    asked, at, done = [], k, False
+                if kind[a] == REQUEST:
+                    asked.append((los[a:e], ns[a:e]))
                     continue
-                k = int(k)
-                if not blobs or k == last:
+                if not asked or done:
                     continue  # nobody asks here, or the same document again
-                last = k
-                if asked is None:
-                    key, lo, n, _ = _unpack(blobs, 4)
-                    order = np.lexsort((lo, key))
-                    asked = key[order], lo[order], n[order]
-                key, lo, n = asked
-                a, e = np.searchsorted(key, k), np.searchsorted(key, k, side="right")
-                if a == e:
-                    continue
-                b = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-                m = n[a:e]
-                start = np.unique(np.repeat(lo[a:e] - np.append(0, np.cumsum(m)[:-1]), m) + np.arange(m.sum()))
-                for at in range(0, len(b), K.SLAB):
-                    q = start[(start >= at) & (start < at + K.SLAB)]
+                done = True
+                lo, n = (np.concatenate(x) for x in zip(*asked, strict=True))
+                start = np.unique(np.repeat(lo - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum()))
+                b = np.frombuffer(text[a].encode("utf-8", "surrogatepass"), np.uint8)
+                for piece in range(0, len(b), K.SLAB):
+                    q = start[np.searchsorted(start, piece) : np.searchsorted(start, piece + K.SLAB)]
                     if len(q):
-                        s = K.prefix_sums(b[at : at + K.SLAB + whole])
-                        h1, h2 = K.range_hashes(s, q - at, q - at + half), K.range_hashes(s, q - at + half, q - at + whole)
-                        out.append((h1.view(np.int64), h2.view(np.int64), np.full(len(q), k, np.int64), q))
+                        s = K.prefix_sums(b[piece : piece + K.SLAB + whole])
+                        h = [K.range_hashes(s, q - piece + i, q - piece + j).view(np.int64) for i, j in cuts]
+                        out.append((*h, np.full(len(q), k, np.int64), q))
                         size += len(q)
                 if size > BATCH:
                     yield from flush(out)
@@ -287,25 +221,68 @@ def _windows(parts: int, whole: int) -> Callable:
         if out:
             yield from flush(out)
 
-    return lambda frames: _frames(rows(frames))
+    return rows
 
 
-def _repeats(parts: int) -> Callable:
-    """Round two, at the groups of windows."""
+def _reranked(names: list[str]) -> Callable:
+    """Reranks a slice of positions sorted by (rank, name, key, lo): the new rank tells slice
+    and number of the pair in it. first: the pair's first row here; several: the pair has
+    several rows here. One more row for either end of the slice has kind HEAD or TAIL."""
+    cols = ["rank", "name", "key", "lo", *names]
 
-    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[int, int, bytes]]:
-        box = _Outbox(parts)
-        for blobs in _by_part(frames):
-            key, lo, n = _unpack(blobs.get(SPAN, []), 3)
-            box.put(SPAN, key, key, lo, n)
-            h1, h2, key, lo = _unpack(blobs.get(WINDOW, []), 4)
-            order, new = _firsts((h1, h2, key, lo), (h1, h2))
-            dup = order[~new]
-            box.put(SPAN, key[dup], key[dup], lo[dup], np.ones(len(dup), np.int64))
-            yield from box.send(BATCH)
-        yield from box.send()
+    def frame(x: np.ndarray, kind: int, new_rank: np.ndarray, first: np.ndarray, several: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"kind": np.full(x.shape[1], kind), "new_rank": new_rank, "first": first, "several": several, **dict(zip(cols, x, strict=True))})
 
-    return lambda frames: _frames(rows(frames))
+    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        base = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
+        held, joined, number = None, False, base  # the last row, whether the row before has its pair, its rank
+        for f in frames:
+            if not len(f):
+                continue
+            x = f[cols].to_numpy(np.int64).T
+            if held is None:
+                yield frame(x[:, :1], HEAD, np.array([base]), np.array([True]), np.array([False]))
+            else:
+                x = np.concatenate([held, x], axis=1)
+            same = (x[0, 1:] == x[0, :-1]) & (x[1, 1:] == x[1, :-1])
+            new = np.append(not joined, ~same)
+            rank = number + np.append(0, np.cumsum(~same))
+            several = ~new | np.append(same, False)
+            yield frame(x[:, :-1], CONTEXT, rank[:-1], new[:-1], several[:-1])
+            held, joined, number = x[:, -1:], not new[-1], int(rank[-1])
+        if held is not None:
+            yield frame(held, CONTEXT, np.array([number]), np.array([not joined]), np.array([joined]))
+            yield frame(held, TAIL, np.array([number]), np.array([True]), np.array([False]))
+
+    return rows
+
+
+def _doubled(windows: DataFrame, rounds: int, size: int) -> DataFrame:
+    """(key, lo) of the positions that repeat an earlier one over the whole threshold. windows
+    has key, lo and the names h0, h1, ... of the pieces; h0 is the first rank; size tells its
+    bytes."""
+    spark = windows.sparkSession
+    at = windows.select(F.col("h0").alias("rank"), F.col("h1").alias("name"), "key", "lo", *[f"h{i}" for i in range(2, rounds + 1)])
+    old = None
+    for k in range(1, rounds + 1):
+        names = [f"h{i}" for i in range(k + 1, rounds + 1)]
+        order = ["rank", "name", "key", "lo"]
+        schema = "kind int, new_rank long, first boolean, several boolean, rank long, name long, key long, lo long" + "".join(f", {c} long" for c in names)
+        dealt = at.repartitionByRange(dealt_over(spark, size), *order).sortWithinPartitions(*order)
+        got = settle(dealt.mapInPandas(_reranked(names), schema))
+        size = settled_bytes(got)
+        # pairs that go on over several slices: two rows a slice, so their number follows the tasks
+        ends = got.filter(F.col("kind") != CONTEXT).groupBy(F.col("rank").alias("r"), F.col("name").alias("m"))
+        ends = ends.agg(F.min("new_rank").alias("true_rank"), F.max("new_rank").alias("_last")).filter("true_rank <> _last").drop("_last")
+        drop(old)
+        old, rows = got, got.filter(F.col("kind") == CONTEXT)
+        rows = rows.join(F.broadcast(ends), (rows["rank"] == ends["r"]) & (rows["name"] == ends["m"]), "left")
+        rank = F.coalesce("true_rank", "new_rank")
+        if k == rounds:
+            return rows.filter(~F.col("first") | (rank != F.col("new_rank"))).select("key", "lo")
+        left = rows.filter(F.col("several") | F.col("true_rank").isNotNull())
+        at = left.select(rank.alias("rank"), F.col(names[0]).alias("name"), "key", "lo", *names[1:])
+    raise AssertionError
 
 
 def removed_bytes(size: int, lo: np.ndarray, n: np.ndarray, whole: int) -> np.ndarray:
@@ -326,27 +303,46 @@ def cut_text(text: str, gone: np.ndarray) -> str:
 
 
 def _apply(whole: int, columns: list[str]) -> Callable:
-    def of(docs: pd.DataFrame, spans: pd.DataFrame) -> pd.DataFrame:
-        key, lo, n = _unpack(list(spans["data"]), 3)
-        order = np.argsort(key, kind="stable")
-        key, lo, n = key[order], lo[order], n[order]
+    """Cuts the texts. Rows come sorted by key, the spans of a document before its rows."""
+
+    def of(f: pd.DataFrame, lo: np.ndarray, n: np.ndarray) -> pd.DataFrame:
         out = []
-        for k, text in docs[["_key", "_text"]].itertuples(index=False):
+        for text in f["_text"]:
             raw = (text or "").encode("utf-8", "surrogatepass")
-            a, e = np.searchsorted(key, k), np.searchsorted(key, k, side="right")
-            if a == e:
-                gone = np.zeros(len(raw), bool)
-            else:
-                gone = removed_bytes(len(raw), lo[a:e], n[a:e], whole)
+            gone = removed_bytes(len(raw), lo, n, whole) if len(lo) else np.zeros(len(raw), bool)
             b = np.frombuffer(raw, np.uint8)
-            runs = int(np.count_nonzero(gone & ~np.concatenate([[False], gone[:-1]]))) if len(gone) else 0
-            kept = b[~gone].tobytes()
+            runs = int(np.count_nonzero(gone & ~np.concatenate([[False], gone[:-1]]))) if len(lo) else 0
+            kept = b[~gone].tobytes() if runs else raw
             clean = None if text is None else cut_text(text, gone) if runs else text
-            out.append((len(raw), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest(), clean))
-        got = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"], index=docs.index)
-        return pd.concat([docs, got], axis=1)[columns]
+            out.append((len(raw), int(gone.sum()) if runs else 0, runs, hashlib.sha256(kept).hexdigest(), clean))
+        got = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"], index=f.index)
+        return pd.concat([f, got], axis=1)[columns]
 
-    return of
+    none = np.empty(0, np.int64)
+
+    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, spans = None, []
+        for f in frames:
+            keys, kind = f["_key"].to_numpy(np.int64), f["kind"].to_numpy()
+            los, ns = f["lo"].to_numpy(np.int64), f["n"].to_numpy(np.int64)
+            cut = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (kind[1:] != kind[:-1])) if len(f) else [])
+            plain = []  # documents without spans go through together
+            out = []
+            for a, e in zip(cut, np.append(cut[1:], len(f)), strict=True):
+                if keys[a] != key:
+                    key, spans = keys[a], []
+                if kind[a] == SPAN:
+                    spans.append((los[a:e], ns[a:e]))
+                elif spans:
+                    out.append(of(f.iloc[a:e], *(np.concatenate(x) for x in zip(*spans, strict=True))))
+                else:
+                    plain.append(np.arange(a, e))
+            if plain:
+                out.append(of(f.iloc[np.concatenate(plain)], none, none))
+            if out:
+                yield pd.concat(out)
+
+    return rows
 
 
 def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = 100, keep: list[str] | None = None) -> DataFrame:
@@ -362,7 +358,6 @@ def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", thres
     """
     keep = [c for c in keep or [] if c not in (key, text)]
     spark = docs.sparkSession
-    parts = buckets(spark, 2)
     # what is only carried along goes through Python as text, so that nulls change no type
     d = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"), *[F.col(c).cast("string").alias(f"_keep_{c}") for c in keep])
     ids = d.groupBy("_id").agg(F.count(F.lit(1)).alias("n"))
@@ -380,33 +375,50 @@ def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", thres
     else:
         d = d.withColumn("_key", F.col("_id").cast("long"))
     slim = d.filter(F.octet_length("_text") >= threshold).select("_key", "_text")
-    scanned = slim.mapInPandas(_scan(parts, threshold), _BLOB)
-    grouped = lambda df: df.repartition("part").sortWithinPartitions("part")
-    first = settle(grouped(scanned).mapInPandas(_classes(parts), _BLOB))
-    hashed = _hashed_part(parts)
+    size = d.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+
+    scanned = settle(slim.mapInPandas(_scan(threshold), _ENTRY))
+    order = ["g", "c", "key", "lo"]
+    contexts = scanned.filter(F.col("kind") == CONTEXT)
+    dealt = contexts.repartitionByRange(dealt_over(spark, settled_bytes(scanned)), *order).sortWithinPartitions(*order)
+    classed = settle(dealt.mapInPandas(_classes, _ENTRY))
+    first = settle(scanned.filter(F.col("kind") == SPAN).unionByName(classed).unionByName(_heads(classed)).filter(F.col("kind").isin(SPAN, REQUEST)).select("kind", "key", "lo", "n"))
+    drop(scanned, classed)
+
     none = lambda kind: F.lit(None).cast(kind)
-    asked = first.filter(F.col("kind") == REQUEST).select("part", "kind", "data", none("long").alias("_key"), none("string").alias("_text"))
-    texts = slim.select(hashed("_key").alias("part"), F.lit(TEXT).alias("kind"), none("binary").alias("data"), "_key", "_text")
-    both = asked.unionByName(texts).repartition("part").sortWithinPartitions("part", "kind", "_key")
-    # keys go through Python as text, as a null would turn a column of them into floats
-    both = both.withColumn("_key", F.col("_key").cast("string"))
-    windows = both.mapInPandas(_windows(parts, threshold), _BLOB)
-    second = settle(grouped(windows).mapInPandas(_repeats(parts), _BLOB))
-    spans = first.filter(F.col("kind") == SPAN).unionByName(second.filter(F.col("kind") == SPAN)).select("part", "data")
+    asked = first.filter(F.col("kind") == REQUEST).select("kind", F.col("key").alias("_key"), "lo", "n", none("string").alias("_text"))
+    texts = slim.select(F.lit(REQUEST + 1).alias("kind"), "_key", F.lit(0).cast("long").alias("lo"), F.lit(0).alias("n"), "_text")
+    tasks = dealt_over(spark, size)
+    both = asked.unionByName(texts).repartition(tasks, "_key").sortWithinPartitions("_key", "kind")
+    rounds = len(pieces(threshold)) - 1
+    named = settle(both.mapInPandas(_windows(threshold), "kind int, key long, lo long" + "".join(f", h{i} long" for i in range(rounds + 1))))
+    repeats = settle(_doubled(named.filter(F.col("kind") == CONTEXT), rounds, settled_bytes(named)))
+    singles = named.filter(F.col("kind") == SPAN).select("key", "lo").unionByName(repeats)
+    spans = first.filter(F.col("kind") == SPAN).select("key", "lo", "n").unionByName(singles.withColumn("n", F.lit(1)))
+    spans = settle(spans)
+    drop(first, named, repeats)
+
     schema = T.StructType([T.StructField(c, T.StringType()) for c in ("_id", *[f"_keep_{c}" for c in keep])])
     for name, kind in (("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept_sha256", "string"), ("kept_text", "string")):
         schema = schema.add(name, kind)
-    final = d.withColumn("_id", F.col("_id").cast("string")).withColumn("part", hashed("_key")).groupBy("part").cogroup(spans.groupBy("part")).applyInPandas(_apply(threshold, schema.fieldNames()), schema)
+    given = d.withColumn("_id", F.col("_id").cast("string")).select(F.lit(SPAN + 1).alias("kind"), F.lit(0).cast("long").alias("lo"), F.lit(0).alias("n"), *d.columns)
+    cuts = spans.select(F.lit(SPAN).alias("kind"), "lo", "n", F.col("key").alias("_key"))
+    together = given.unionByName(cuts, allowMissingColumns=True).repartition(tasks, "_key").sortWithinPartitions("_key", "kind")
+    final = together.mapInPandas(_apply(threshold, schema.fieldNames()), schema)
     back = [F.col(f"_keep_{c}").cast(docs.schema[c].dataType).alias(c) for c in keep]
     return final.select(F.col("_id").cast(docs.schema[key].dataType).alias(key), *back, *schema.fieldNames()[1 + len(keep) :])
 
 
-def _hashed_part(parts: int) -> Callable:
-    @F.pandas_udf("int")
-    def hashed(key: pd.Series) -> pd.Series:
-        return pd.Series(_of_key(key.to_numpy(np.int64), parts).astype(np.int32))
-
-    return hashed
+def _heads(classed: DataFrame) -> DataFrame:
+    """What became of the first context of each slice: it repeats one of an earlier slice, is
+    that context once more (a repeated row), or is the first of its class and asks."""
+    ends = classed.filter(F.col("kind").isin(HEAD, TAIL))
+    least = ends.groupBy("g", "c").agg(F.min(F.struct("key", "lo", "slice")).alias("_least"))
+    # two rows for each slice: their number follows the tasks
+    heads = classed.filter(F.col("kind") == HEAD).join(F.broadcast(least), ["g", "c"])
+    same = (F.col("key") == F.col("_least.key")) & (F.col("lo") == F.col("_least.lo"))
+    kind = F.when(~same, F.lit(SPAN)).when(F.col("slice") == F.col("_least.slice"), F.lit(REQUEST)).otherwise(F.lit(HEAD))
+    return heads.withColumn("kind", kind).select(*classed.columns)
 
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", size: str = "n_chars", threshold: int = 100) -> DataFrame:

@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import pytest
+
 from millrace.llm import suffix
 
 SCHEMA = "doc_id long, text string, lang string, n_chars long"
@@ -23,10 +25,10 @@ def brute(rows, whole=100):
     return out
 
 
-def check(spark, rows):
+def check(spark, rows, whole=100):
     df = spark.createDataFrame([(i, t, "en", None) for i, t in rows], SCHEMA)
-    got = suffix.suffix_dedup(df, keep=["lang", "n_chars"]).collect()
-    want = brute(rows)
+    got = suffix.suffix_dedup(df, threshold=whole, keep=["lang", "n_chars"]).collect()
+    want = brute(rows, whole)
     assert len(got) == len(rows)
     by = {}
     for r in got:
@@ -72,11 +74,22 @@ def test_repeated_rows_ties_nulls_and_empty(spark):
     assert suffix.suffix_dedup(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def test_hot_rank_goes_straight_to_the_last_round(spark, monkeypatch):
-    monkeypatch.setattr(suffix, "MANY", 2)
+@pytest.mark.parametrize("whole", [1, 2, 7, 64, 130, 1000])
+def test_any_threshold_in_as_many_rounds_as_it_takes(spark, whole):
+    assert suffix.pieces(whole)[-1][1] == whole and len(suffix.pieces(whole)) == {1: 2, 2: 2, 7: 3, 64: 2, 130: 3, 1000: 6}[whole]
+    rnd = random.Random(whole)
+    prose = lambda n: "".join(rnd.choice("abcdé \n") for _ in range(n))
+    p = prose(3 * whole)
+    rows = [(i, prose(rnd.randrange(2 * whole)) + p[rnd.randrange(whole) :][: rnd.randrange(whole, 2 * whole + 1)] + prose(9)) for i in range(25)]
+    check(spark, [*rows, (30, p), (31, p), (31, p), (32, "z" * (2 * whole + 1)), (33, "")], whole)
+
+
+def test_one_rank_over_many_slices(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "dealt_over", lambda *_: 23)
     rnd = random.Random(6)
     mid = "".join(rnd.choice("abc ") for _ in range(70))
     rows = [(i, "".join(rnd.choice("abc ") for _ in range(80)) + mid + ("q" * 40 if i % 3 else "r" * 45)) for i in range(40)]
+    rows += [(100 + i, mid + "s" * 200) for i in range(30)] + [(100, mid + "s" * 200)] * 5
     check(spark, rows)
 
 
