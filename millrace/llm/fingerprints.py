@@ -7,7 +7,7 @@ its vector (`combine`). A vector has three groups of lanes:
 
 * 16 lanes modulo 2**32, hashed from the whole paragraph: equality.
 * 1 lane modulo 2**32: the number of the paragraph's word pairs.
-* 128 lanes modulo 2**16: how many of its word pairs hash to a value with that bit set.
+* 128 lanes modulo 2**32: how many of its word pairs hash to a value with that bit set.
   Centred by half the number of pairs these sums are a random projection of the document's
   word pairs, so that the cosine of two fingerprints estimates how alike two texts are.
 
@@ -21,10 +21,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sparkit import buckets, range_bounds, range_bucket, settle
+from .sparkit import buckets, byte_bounds, range_bucket, settle
 
 DENSE, BITS = 16, 128
-_U32, _U16 = 0xFFFFFFFF, 0xFFFF
+_U32 = 0xFFFFFFFF
 #: Where words end inside a paragraph.
 _SPACES = r"[\x20\x09-\x0D]+"
 
@@ -68,7 +68,7 @@ def vectors(df: DataFrame, keys: list[str], texts: dict[str, str]) -> DataFrame:
     got = rows.groupBy(*keys, "_which", "_dense").agg(*sums)
     lanes = [F.col("n").bitwiseAND(F.lit(_U32))]
     for b in range(BITS // 2):
-        lanes += [F.col(f"b{b}").bitwiseAND(F.lit(_U16)), F.shiftrightunsigned(f"b{b}", 32).bitwiseAND(F.lit(_U16))]
+        lanes += [F.col(f"b{b}").bitwiseAND(F.lit(_U32)), F.shiftrightunsigned(f"b{b}", 32)]
     got = got.select(*keys, "_which", F.concat("_dense", F.array(*lanes)).alias("_lanes"))
     return got.groupBy(*keys).agg(*[F.max(F.when(F.col("_which") == i, F.col("_lanes"))).alias(name) for i, name in enumerate(texts)])
 
@@ -78,15 +78,12 @@ WIDTH = DENSE + 1 + BITS
 
 def combine(a: Column, b: Column, sign: int = 1) -> Column:
     """Lanes of a with the paragraphs of b inserted (sign 1) or deleted (sign -1)."""
-    both = F.arrays_zip(a.alias("a"), b.alias("b"), F.sequence(F.lit(0), F.lit(WIDTH - 1)).alias("i"))
-    return F.transform(both, lambda x: F.pmod(x["a"] + sign * x["b"], F.when(x["i"] <= DENSE, F.lit(1 << 32)).otherwise(F.lit(1 << 16))))
+    return F.transform(F.arrays_zip(a.alias("a"), b.alias("b")), lambda x: F.pmod(x["a"] + sign * x["b"], F.lit(1 << 32)))
 
 
 def as_text(lanes: Column) -> Column:
     """Lower-case hex of all lanes, in order."""
-    wide = F.transform(F.slice(lanes, 1, DENSE + 1), lambda x: _hex(x, 8))
-    narrow = F.transform(F.slice(lanes, DENSE + 2, BITS), lambda x: _hex(x, 4))
-    return F.array_join(F.concat(wide, narrow), "")
+    return F.array_join(F.transform(lanes, lambda x: _hex(x, 8)), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -106,13 +103,15 @@ def likeness(a: Column, b: Column) -> Column:
 
 def _ordered(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     """df with _range, _at (from 1) and _next (the text of the row that follows in
-    descending key, null at the end of a range), dealt out once by key range; and (_range,
-    _head), the first text of the range that follows, the last range being followed by the
-    first. Equal keys are ordered by text; null keys come last."""
-    bounds = range_bounds(df, key, buckets(df.sparkSession, 2))
+    descending key, null at the end of a range), dealt out once by key range, of about equally
+    many bytes each; and (_range, _head), the first text of the range that follows, the last
+    range being followed by the first. Equal keys are ordered by text; null keys come last."""
+    n = buckets(df.sparkSession, 2)
+    bounds = byte_bounds(df, key, F.octet_length(text) + 64, n)
     d = df.withColumn("_range", range_bucket(F.col(key), bounds))
     w = Window.partitionBy("_range").orderBy(F.col(key).desc_nulls_last(), F.col(text))
-    rows = d.select("*", F.row_number().over(w).alias("_at"), F.lead(text).over(w).alias("_next"))
+    # a task for each range: hashed, some tasks would get several
+    rows = d.repartitionByRange(n, "_range").select("*", F.row_number().over(w).alias("_at"), F.lead(text).over(w).alias("_next"))
     # one row for each range: their number follows the partitions, not the rows
     tops = d.groupBy("_range").agg(F.max(key).alias("_top"))
     ring = Window.partitionBy(F.lit(0)).orderBy(F.col("_range").desc())
@@ -139,8 +138,10 @@ def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: str = "text")
     d = docs.select(F.col(key).cast("long").alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     d, heads = _ordered(d, "_id", "_text")
     # one text for each range
-    heads = settle(vectors(heads.withColumn("_same", F.col("_head")), ["_range", "_same"], {"_hv": "_head"}).select("_range", F.col("_same").alias("_head"), "_hv"))
-    d = d.join(heads.select("_range", "_head"), "_range").withColumn("_next", F.coalesce("_next", "_head"))
+    heads = settle(heads)
+    # a range's number alone goes with the rows of its text's pairs
+    sums = settle(vectors(heads, ["_range"], {"_hv": "_head"}))
+    d = d.join(heads, "_range").withColumn("_next", F.coalesce("_next", "_head"))
     n = F.char_length("_text")
     m = F.floor(n / 3).cast("int")
     sub = lambda c, at, size: F.substring(F.col(c) if isinstance(c, str) else c, at, size)
@@ -157,7 +158,7 @@ def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: str = "text")
     for c in ("_a", "_e"):
         v = v.withColumn(c, F.when(F.col("_s").isNull(), F.col(c)).otherwise(combine(F.col("_s"), F.col(c))))
     after = F.lead("_a").over(Window.partitionBy("_range").orderBy("_at"))
-    v = v.withColumn("_b", after).join(heads.select("_range", "_hv"), "_range").withColumn("_b", F.coalesce("_b", "_hv"))
+    v = v.withColumn("_b", after).join(sums, "_range").withColumn("_b", F.coalesce("_b", "_hv"))
     a, e, b = F.col("_a"), F.col("_e"), F.col("_b")
     return v.select(
         F.col("_id").alias(key),

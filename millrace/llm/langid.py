@@ -68,8 +68,10 @@ def _featured(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         idx, cnt = [], []
         for a, e, b, off in K.slabs(f["_text"]):
             bucket, row = subwords(b, off)
+            order = np.argsort(row, kind="stable")
+            bucket, at = bucket[order], np.searchsorted(row[order], np.arange(e - a + 1))
             for i in range(e - a):
-                u, c = np.unique(bucket[row == i], return_counts=True)
+                u, c = np.unique(bucket[at[i] : at[i + 1]], return_counts=True)
                 idx.append(u.astype(np.uint16).tobytes())
                 cnt.append(c.astype(np.uint32).tobytes())
         yield pd.DataFrame({"label": f["label"], "idx": idx, "cnt": cnt})
@@ -193,7 +195,9 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
 
 
 def confident(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, that the model doesn't reject."""
+    """The rows of docs, with all their columns, that the model doesn't reject. Null texts and
+    those without a letter are rejected; repeated rows are judged alike; an empty table stays
+    empty; extra columns are carried along, whatever their names."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")

@@ -64,14 +64,14 @@ def rates(docs: DataFrame, source: str, weights: dict[str, float] | None, power:
     return n.withColumn("_poisson", poisson("_rate"))
 
 
-def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5, seed: int = 7, key: str = "doc_id", source: str = "source", ceiling: float | None = 64.0, deal: bool = True) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5, seed: int = 7, key: str = "doc_id", source: str = "source", ceiling: float | None = None, deal: bool = True) -> DataFrame:
     """All columns of docs, once for each copy, with mix_rate, mix_copies, mix_copy (from
     0) and mix_order; documents with no copy are left out. Rows come in the order of
     mix_order, dealt out in ranges of it, unless `deal` is false.
 
     A null source is a source of its own. A null key draws as the empty string. Rows with
-    equal keys draw alike and are each replicated. Rates are held at `ceiling` at most, and
-    sources that this cuts miss their weights; with None no rate is cut. An empty table gives
+    equal keys draw alike and are each replicated. No rate is cut, unless a `ceiling` is given:
+    sources that it cuts miss their weights. An empty table gives
     an empty result. A column of docs that has one of the names given here is replaced by it;
     columns whose names differ from it are kept, clashing or not.
     """

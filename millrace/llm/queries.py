@@ -58,13 +58,14 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix_sources(_docs(spark, sf_dir, "doc_id", "source", "n_chars"), ceiling=None)
-    return mixed.select("doc_id", "source", "n_chars", F.round("mix_rate", 9).alias("mix_rate"), "mix_copies", "mix_copy", F.round("mix_order", 12).alias("mix_order"))
+    """Whole documents are replicated and dealt out; of each copy's text its digest is told."""
+    mixed = mixing.mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return mixed.select("doc_id", "source", "n_chars", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"), F.round("mix_rate", 9).alias("mix_rate"), "mix_copies", "mix_copy", F.round("mix_order", 12).alias("mix_order"))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
-    return rules.clean_lines(_docs(spark, sf_dir, "doc_id", "text"), columns=columns)
+    return rules.clean_lines(_docs(spark, sf_dir, "doc_id", "text", "source"), columns=columns)
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,19 +103,19 @@ _ORACLES = {
     "op7_mixing": """
         WITH n AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
         t AS (SELECT sum(n)::DOUBLE AS total, sum(n ** 0.5) AS weights FROM n),
-        r AS (SELECT source, least(n ** 0.5 / weights * total / n, 64.0) AS rate FROM n, t),
-        d AS (SELECT doc_id, d.source, n_chars, rate,
+        r AS (SELECT source, n ** 0.5 / weights * total / n AS rate FROM n, t),
+        d AS (SELECT doc_id, d.source, n_chars, md5(coalesce(text, '')) AS text_md5, rate,
                      ('0x' || substr(md5('7|' || doc_id), 1, 13))::BIGINT::DOUBLE / 4503599627370496 AS u
               FROM documents d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
-        f AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c
-              FROM (SELECT source, k, exp(-rate + k * ln(rate) - lgamma(k + 1)) AS p
-                    FROM r, generate_series(0, 60) AS g(k))),
-        c AS (SELECT doc_id, d.source, n_chars, rate, count(*) AS copies
+        g AS (SELECT source, rate, unnest(range(0, (rate + 12 * sqrt(rate) + 24)::BIGINT)) AS k FROM r),
+        f AS (SELECT source, k, sum(exp(-rate + k * ln(rate) - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS c FROM g),
+        c AS (SELECT doc_id, d.source, n_chars, text_md5, rate, count(*) AS copies
               FROM d JOIN f ON d.source IS NOT DISTINCT FROM f.source AND f.c <= d.u
-              GROUP BY ALL)
-        SELECT doc_id, source, n_chars, round(rate, 9) AS mix_rate, copies::INT AS mix_copies, k::INT AS mix_copy,
+              GROUP BY ALL),
+        x AS (SELECT *, unnest(range(0, copies)) AS k FROM c)
+        SELECT doc_id, source, n_chars, text_md5, round(rate, 9) AS mix_rate, copies::INT AS mix_copies, k::INT AS mix_copy,
                round(('0x' || substr(md5('7:order|' || doc_id || '|' || k), 1, 13))::BIGINT::DOUBLE / 4503599627370496, 12) AS mix_order
-        FROM c, generate_series(0, 60) AS g(k) WHERE k < copies
+        FROM x
     """,
 }
 

@@ -37,21 +37,20 @@ def _jumps(shards: int):
     return of
 
 
-
-
 def shard(docs: DataFrame, shards: int = 8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """For each row: key, size, text_crc32, law ('key'), shard, slot, grown_shard.
 
     size is the UTF-8 length of the text plus 1 (null: 1). The shard depends on the key and
     `shards` only; grown_shard is the one for a shard more. slot counts the rows of a shard
-    from 0 in ascending key without a gap; rows of equal keys share a shard and take slots
-    in no fixed order among themselves. A null key counts as key 0 and comes first. An empty
-    table gives an empty result; columns not named are ignored.
+    from 0 in ascending key without a gap; rows of equal keys share a shard and take slots in
+    the order of size, CRC and a hash of the text, so that only equal texts could swap. Keys
+    are integers; a null key counts as key 0 and comes first. An empty table gives an empty
+    result; columns not named are ignored.
     """
-    d = docs.select(F.col(key).alias("_id"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("_size"), F.coalesce(F.crc32(F.col(text).cast("binary")), F.lit(0)).cast("long").alias("_crc"))
+    d = docs.select(F.col(key).alias("_id"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("_size"), F.coalesce(F.crc32(F.col(text).cast("binary")), F.lit(0)).cast("long").alias("_crc"), F.xxhash64(text).alias("_tie"))
     k = F.coalesce(F.col("_id").cast("long"), F.lit(0).cast("long"))
     d = d.withColumn("_shard", _jumps(shards)(k)).withColumn("_grown", _jumps(shards + 1)(k)).withColumn("_ord", F.col("_id").cast("long"))
-    d = number_rows(d, "_ord", ["_shard"], "_slot")
+    d = number_rows(d, "_ord", ["_shard"], "_slot", ["_size", "_crc", "_tie"])
     return d.select(
         F.col("_id").alias(key),
         (F.col("_size") + 1).alias("size"),

@@ -7,7 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession, Window
 from pyspark.sql import functions as F
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -45,16 +45,26 @@ def settle(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: the lineage is cut, a lost executor
     costs no recomputation of what came before, and earlier shuffle files can go."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    with _releasing(spark):
-        df.write.parquet(path)
-    where, fs = _file_system(spark, path)
-    fs.deleteOnExit(where)
+    path = shared_path(spark)
+    written(df.write.format("parquet"), spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out.settled_at = path
     return out
 
 
+def shared_path(spark: SparkSession) -> str:
+    """A new place in the shared folder."""
+    return f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+
+
+def written(writer: DataFrameWriter, spark: SparkSession, path: str) -> None:
+    """Write to a place that goes when the driver ends."""
+    with _releasing(spark):
+        writer.save(path)
+    where, fs = _file_system(spark, path)
+    fs.deleteOnExit(where)
+
+
 def _file_system(spark: SparkSession, path: str):
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -98,6 +108,21 @@ def range_bounds(df: DataFrame, col: str, n: int) -> list[int]:
     return sorted({int(np.floor(x)) for x in got})
 
 
+def byte_bounds(df: DataFrame, col: str, size: Column, n: int) -> list[int]:
+    """At most n - 1 cut points of an integer column between which the sums of `size` are about
+    equal: rows are summed in four times as many ranges, and neighbouring ranges put together."""
+    fine = range_bounds(df, col, 4 * n)
+    sums = df.groupBy(range_bucket(F.col(col), fine).alias("_range")).agg(F.sum(size).alias("_size"))
+    # one row for each range
+    of = {r["_range"]: r["_size"] or 0 for r in sums.collect()}
+    share, full, out = max(1, sum(of.values()) / n), 0, []
+    for i, bound in enumerate(fine):
+        full += of.get(i, 0)
+        if full + of.get(i + 1, 0) / 2 >= share * (len(out) + 1):
+            out.append(bound)
+    return out
+
+
 def range_bucket(col, bounds: list[int]):
     """Number of cut points below a value, found in two steps of about sqrt(n) comparisons;
     null values come before all others."""
@@ -112,8 +137,8 @@ def range_bucket(col, bounds: list[int]):
     return F.coalesce(F.greatest(group - 1, F.lit(0)) * step + inside, F.lit(0))
 
 
-def number_rows(df: DataFrame, order: str, within: list[str], out: str) -> DataFrame:
-    """Gapless numbers from 0 in the order of an integer column, separately for each value
+def number_rows(df: DataFrame, order: str, within: list[str], out: str, ties: list[str] | None = None) -> DataFrame:
+    """Gapless numbers from 0 in the order of an integer column and of `ties`, separately for each value
     of `within`, without bringing such a group together: rows are numbered inside ranges of
     the order column, and each range starts where the ranges before it end."""
     n = buckets(df.sparkSession, 1)
@@ -123,7 +148,7 @@ def number_rows(df: DataFrame, order: str, within: list[str], out: str) -> DataF
     before = Window.partitionBy(*within).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.withColumn("_start", F.coalesce(F.sum("_rows").over(before), F.lit(0))).drop("_rows")
     starts = starts.select(*[F.col(c).alias(f"_w_{c}") for c in within], F.col("_range").alias("_w__range"), "_start")
-    inner = Window.partitionBy(*within, "_range").orderBy(F.col(order).asc_nulls_first())
+    inner = Window.partitionBy(*within, "_range").orderBy(F.col(order).asc_nulls_first(), *(ties or []))
     numbered = part.withColumn("_in", F.row_number().over(inner) - 1)
     on = [numbered[c].eqNullSafe(starts[f"_w_{c}"]) for c in [*within, "_range"]]
     # the table of starts has one row per group and range: bounded by the bucket count

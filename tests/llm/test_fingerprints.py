@@ -1,3 +1,4 @@
+import functools
 import hashlib
 import re
 
@@ -22,6 +23,7 @@ def xx_int(v, seed):
     return xxhash.xxh64_intdigest(v.to_bytes(4, "little"), seed)
 
 
+@functools.cache
 def brute(text):
     dense, n, bits = [0] * P.DENSE, 0, [0] * P.BITS
     for par in text.split("\n"):
@@ -37,7 +39,18 @@ def brute(text):
                 h = h1 if b >= 32 else h0
                 bits[2 * b] += h >> (b % 32) & 1
                 bits[2 * b + 1] += h >> (b % 32) >> 32 & 1
-    return "".join(f"{x % 2**32:08x}" for x in [*dense, n]) + "".join(f"{x % 2**16:04x}" for x in bits)
+    return "".join(f"{x % 2**32:08x}" for x in [*dense, n, *bits])
+
+
+def like(a, b):
+    """Likeness of two fingerprints, from their text."""
+    if a == b:
+        return 1.0
+    x, y = ([int(v[i : i + 8], 16) for i in range(0, len(v), 8)][P.DENSE :] for v in (a, b))
+    x, y = ([2 * v - n for v in rest] for n, *rest in (x, y))
+    dot = lambda p, q: sum(u * v for u, v in zip(p, q))
+    norm = (dot(x, x) * dot(y, y)) ** 0.5
+    return min(1.0, max(0.0, dot(x, y) / norm)) if norm else 0.0
 
 
 def edits(rows):
@@ -54,10 +67,21 @@ def test_matches_brute_force(spark):
     got = P.fingerprint_edits(df).collect()
     want = sorted((str(i), len(t), hashlib.sha256(e.encode()).hexdigest(), brute(t), brute(e)) for i, t, e, _ in edits(rows))
     assert sorted((str(r.doc_id), r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) for r in got) == want
-    for r in got:
-        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
-        if r.fingerprint == r.edited_fingerprint:
-            assert r.near_edited == 1
+    near = sorted((str(i), round(like(brute(t), brute(e)), 9), round(like(brute(t), brute(n)), 9)) for i, t, e, n in edits(rows))
+    assert sorted((str(r.doc_id), round(r.near_edited, 9), round(r.near_next, 9)) for r in got) == near
+
+
+def test_likeness_of_very_long_texts(spark):
+    """More word pairs than 16 bits count: unrelated texts stay unlike, a half-changed one is half alike."""
+    rows = [(i, " ".join(f"{c}{k * 7919 % 99991}" for k in range(40_000))) for i, c in ((3, "a"), (2, "b"))]
+    rows.append((1, "same pair " * 40_000))
+    got = {r.doc_id: r for r in P.fingerprint_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {i: (brute(t), brute(e), brute(n)) for i, t, e, n in edits(rows)}
+    for i, (own, edited, after) in want.items():
+        r = got[i]
+        assert (r.fingerprint, r.edited_fingerprint) == (own, edited)
+        assert r.near_edited == pytest.approx(like(own, edited), abs=1e-9) and r.near_next == pytest.approx(like(own, after), abs=1e-9)
+    assert got[3].near_next < 0.5
 
 
 def test_order_of_paragraphs_insertion_and_deletion(spark):

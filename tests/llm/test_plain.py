@@ -8,11 +8,13 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 from fractions import Fraction
 
 import numpy as np
 import pandas as pd
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -64,7 +66,7 @@ def test_mixing(spark):
         for r in ROWS:
             n[r[2]] = n.get(r[2], 0) + 1
         w = {s: math.sqrt(c) if weights is None else weights.get(s, 0.0) for s, c in n.items()}
-        rate = {s: min(64.0, w[s] / sum(w.values()) * len(ROWS) / n[s]) for s in n}
+        rate = {s: w[s] / sum(w.values()) * len(ROWS) / n[s] for s in n}
         want = []
         for i, _, s, _ in ROWS:
             u = int(hashlib.md5(f"7|{'' if i is None else i}".encode()).hexdigest()[:13], 16) / 2**52
@@ -148,9 +150,9 @@ def base_counts(text):
     text = text or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", text)
     grams = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
-    hit = set()
+    hit, times = set(), Counter(grams)
     for i, g in enumerate(grams):
-        if grams.count(g) > 1:
+        if times[g] > 1:
             hit |= {i, i + 1, i + 2}
     lines, dup = [], 0
     for x in text.split("\n"):
@@ -188,6 +190,48 @@ def test_documents_that_lose_too_much_are_rejected():
     assert not bad["kept"] and not bad["base_failed"] and bad["clean_text"] == text
 
 
+def verdict(rows):
+    """The verdict straight from the rules, over all rows (source, text)."""
+    word = re.compile(r"[^\x20\x09-\x0D]+")
+    lines_of = lambda t: [x for x in (t or "").split("\n") if word.search(x)]
+    held = {}
+    for s, t in rows:
+        own = sorted({(xxhash.xxh64_intdigest(x.encode(), 42) ^ 1 << 63, x) for x in lines_of(t)})
+        for x in own if len(own) > 1 else []:
+            held.setdefault((s, x[1]), set()).add((own[1] if x == own[0] else own[0], tuple(own)))
+    shared = {k for k, v in held.items() if len(v) >= 10 and len({c for c, _ in v}) >= 0.5 * len(v)}
+    out = []
+    for s, t in rows:
+        lost = total = 0
+        for x in lines_of(t):
+            w = word.findall(x)
+            phrases = sum(len(m[0]) for m in rules.BOILERPLATE.finditer(x))
+            ended = any(v.endswith(rules.ENDS) for v in w)
+            symbols = sum(bool(rules.SYMBOLS.search(v)) for v in w) > 0.3 * len(w)
+            links = sum(v in rules.NAVIGATION for v in w) > 0.2 * len(w)
+            echo = len(w) > 3 and sum(a == b for a, b in zip(w, w[1:])) > 0.3 * len(w)
+            loud = len(w) > 3 and sum(v.isupper() for v in w) > 0.5 * len(w)
+            bad = not ended or symbols or links or echo or loud or phrases > 0.05 * len(x) or (s, x) in shared
+            total, lost = total + len(x), lost + bad * len(x)
+        out.append((not base_counts(t)[-1] and 2 * lost <= total, round(lost / total, 9) if total else 0.0))
+    return out
+
+
+def test_verdict_and_learned_boilerplate(spark):
+    rnd = random.Random(9)
+    prose = lambda n: " ".join(f"w{rnd.randrange(3000)}" for _ in range(n)) + "."
+    footer = "Tous droits réservés, et une longue ligne de pied de page qui revient partout. " * 4
+    rows = [("a", prose(70) + "\n" + footer) for _ in range(14)] + [("b", prose(70) + "\n" + footer) for _ in range(9)]
+    copies = prose(60) + "\n" + prose(40) + "\n" + prose(30)
+    rows += [("a", copies)] * 20 + [("a", copies.replace("w1", "v1", i)) for i in range(5)]
+    rows += [(None, prose(40) + "\n" + footer + "\n" + prose(30)) for _ in range(12)]
+    rows += [("a", None), ("a", ""), (None, "\u00a0\n" + prose(60)), ("c", prose(80) + " privacy policy and more."), ("c", "click here. " + prose(50)), ("c", prose(200_000))]
+    df = spark.createDataFrame([(i, t, s, True) for i, (s, t) in enumerate(rows)], "doc_id long, text string, source string, kept boolean")
+    got = {r.doc_id: (r.kept, round(r.lost_share, 9)) for r in rules.clean_lines(df).collect()}
+    assert [got[i] for i in range(len(rows))] == verdict(rows)
+    assert not any(got[i][0] for i in range(14) if 2 * len(footer) > len(rows[i][1])) and all(got[i][0] for i in range(14, 40))
+
+
 def test_quality_labels_agree(spark):
     d = "/root/testdata/sf0.01"
     got = rules.clean_lines(spark.read.parquet(f"{d}/documents.parquet")).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").filter("not base_failed").collect()
