@@ -224,10 +224,12 @@ def _windows(whole: int) -> Callable:
     return rows
 
 
-def _reranked(names: list[str]) -> Callable:
+def _reranked(names: list[str], last: bool) -> Callable:
     """Reranks a slice of positions sorted by (rank, name, key, lo): the new rank tells slice
     and number of the pair in it. first: the pair's first row here; several: the pair has
-    several rows here. One more row for either end of the slice has kind HEAD or TAIL."""
+    several rows here. One more row for either end of the slice has kind HEAD or TAIL. Rows
+    go on that may matter: those of pairs with several rows, in the last round all but their
+    first, and those of pairs that may have begun or may go on in another slice."""
     cols = ["rank", "name", "key", "lo", *names]
 
     def frame(x: np.ndarray, kind: int, new_rank: np.ndarray, first: np.ndarray, several: np.ndarray) -> pd.DataFrame:
@@ -248,7 +250,8 @@ def _reranked(names: list[str]) -> Callable:
             new = np.append(not joined, ~same)
             rank = number + np.append(0, np.cumsum(~same))
             several = ~new | np.append(same, False)
-            yield frame(x[:, :-1], CONTEXT, rank[:-1], new[:-1], several[:-1])
+            go = np.flatnonzero((~new if last else several)[:-1] | (rank[:-1] == base))
+            yield frame(x[:, go], CONTEXT, rank[go], new[go], several[go])
             held, joined, number = x[:, -1:], not new[-1], int(rank[-1])
         if held is not None:
             yield frame(held, CONTEXT, np.array([number]), np.array([not joined]), np.array([joined]))
@@ -269,7 +272,7 @@ def _doubled(windows: DataFrame, rounds: int, size: int) -> DataFrame:
         order = ["rank", "name", "key", "lo"]
         schema = "kind int, new_rank long, first boolean, several boolean, rank long, name long, key long, lo long" + "".join(f", {c} long" for c in names)
         dealt = at.repartitionByRange(dealt_over(spark, size), *order).sortWithinPartitions(*order)
-        got = settle(dealt.mapInPandas(_reranked(names), schema))
+        got = settle(dealt.mapInPandas(_reranked(names, k == rounds), schema))
         size = settled_bytes(got)
         # pairs that go on over several slices: two rows a slice, so their number follows the tasks
         ends = got.filter(F.col("kind") != CONTEXT).groupBy(F.col("rank").alias("r"), F.col("name").alias("m"))
