@@ -47,6 +47,12 @@ class Semantics:
             yes = c.isNotNull()
         return F.coalesce(yes, F.lit(False))
 
+    def holds(self, c) -> Column:
+        """A condition for `filter`, which drops NULL as it drops false: a comparison stays as
+        it is, so that Spark can push it into the scan."""
+        c = _col(c)
+        return c if isinstance(self.type_of(c), T.BooleanType) else self.truthy(c)
+
     def number(self, c) -> Column:
         """Numbers stay, booleans are 0 or 1, text is parsed ('' and blanks are 0).
         Anything else raises, or is NULL when lenient."""
@@ -121,8 +127,16 @@ class Semantics:
         return "number" if isinstance(t, _NUMERIC) else type(t).__name__
 
     def compare(self, a, op: str, b, native: bool = False) -> Column:
-        """Numeric order. With `native`, dates and text are ordered as such."""
+        """Numeric order. With `native`, dates and text are ordered as such. Of two numbers
+        the comparison stands alone, and a null one raises behind it unless lenient; in a
+        filter Spark may drop such a row before that."""
         a, b = _col(a), _col(b)
+        if isinstance(self.type_of(a), _NUMERIC) and isinstance(self.type_of(b), _NUMERIC):
+            plain = {"<": a < b, ">": a > b, "<=": a <= b, ">=": a >= b}[op]
+            if self.lenient:
+                return plain
+            missing = a.isNull() | b.isNull()
+            return plain & F.when(missing, F.raise_error(F.lit("value is not a number")).cast("boolean")).otherwise(F.lit(True))
         if native and self._kind(self.type_of(a)) == self._kind(self.type_of(b)):
             x, y = a, b
         else:
@@ -132,7 +146,9 @@ class Semantics:
     def both(self, a, b) -> Column:
         """Right value if the left is truthy, else false (right side as a truth value
         where the types differ)."""
-        b = _col(b)
+        a, b = _col(a), _col(b)
+        if isinstance(self.type_of(a), T.BooleanType) and isinstance(self.type_of(b), T.BooleanType):
+            return F.coalesce(a, F.lit(False)) & b  # either side can reach a scan
         right = b if isinstance(self.type_of(b), T.BooleanType) else self.truthy(b)
         return F.when(self.truthy(a), right).otherwise(F.lit(False))
 

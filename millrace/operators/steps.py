@@ -21,8 +21,9 @@ def _cond(df: DataFrame, p: Predicate) -> Column:
 
 
 def where(df: DataFrame, predicate: Predicate) -> DataFrame:
-    """Rows whose predicate is truthy."""
-    return df.filter(_cond(df, predicate))
+    """Rows whose predicate is truthy. Comparisons of numbers reach the scan."""
+    s = Semantics(df)
+    return df.filter(s.holds(predicate(s) if callable(predicate) else predicate))
 
 
 def project(df: DataFrame, spread: bool = False, **fields: Column | Callable[[Semantics], Column]) -> DataFrame:

@@ -6,6 +6,7 @@ Last write wins by `_seq`, never by the order in which Spark happens to see rows
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -197,8 +198,20 @@ class Catalog:
         return sorted(self.stores)
 
     def save(self, name: str, path: str) -> None:
-        """As parquet; an interrupted write leaves the old table in place."""
-        self[name]._some().write.mode("overwrite").parquet(path)
+        """As parquet, into a new folder that then takes the old one's place, so that
+        an interrupted write leaves the old table and a store may be saved to where it was
+        loaded from. The store reads the saved table from then on."""
+        new, old = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}", f"{path.rstrip('/')}.old-{uuid.uuid4().hex}"
+        self[name]._some().write.parquet(new)
+        jvm = self.spark._jvm.org.apache.hadoop.fs
+        to = jvm.Path(path)
+        fs = to.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if fs.exists(to):
+            fs.rename(to, jvm.Path(old))
+        if not fs.rename(jvm.Path(new), to):
+            raise OSError(f"cannot put {new} at {path}")
+        fs.delete(jvm.Path(old), True)
+        self.load(name, path)
 
     def load(self, name: str, path: str) -> Store:
         self.stores[name] = Store(name, self.spark.read.parquet(path))
@@ -207,6 +220,10 @@ class Catalog:
     def load_json_object(self, name: str, path: str) -> Store:
         """A JSON file that holds one object of records by key. A missing or corrupt
         file reads as an empty store."""
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        if not where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where):
+            self.stores[name] = Store(name, self.spark.createDataFrame([], "_key string, _seq long, record string"))
+            return self.stores[name]
         lines = self.spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
         keys = lines.select("v", F.posexplode(F.json_object_keys(F.to_json("v"))).alias("_seq", "_key"))
         field = F.expr("get_json_object(to_json(v), concat('$[\\'', _key, '\\']'))")

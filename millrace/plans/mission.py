@@ -159,8 +159,12 @@ class Mission:
         action = self.actions[name]
         for n in range(1, action.backoff.attempts + 2):
             ctx = Context(self)
+            run = action.mock if self.dry_run else action.run
+            if run is None:  # P13: a dry run does nothing that it has no mock for
+                self.emit("action.planned", {"name": name})
+                return ctx
             try:
-                ctx.response = (action.mock or action.run)(ctx) if self.dry_run else action.run(ctx)
+                ctx.response = run(ctx)
             except Skip:
                 pass
             except Retry:
@@ -179,6 +183,9 @@ class Mission:
 
     def _apply(self, ctx: Context) -> None:
         for w in ctx.writes:
+            if self.dry_run:
+                self.emit("store.planned", {"store": w.store})
+                continue
             self.stores.write(w.store, w.df, w.key, w.seq, w.upsert, w.partial)
 
     def audit(self) -> DataFrame:

@@ -18,11 +18,13 @@ turns into an equi-join, one over a field is an explode. A match runs each arm o
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,6 +32,8 @@ from pyspark.sql import types as T
 from ..functions import Semantics, catalog
 from ..operators.schema import Field, Schema
 from ..operators.stores import Catalog, Store
+from ..sources.openapi import mock_rows, mock_value
+from ..sources.paging import Cursor, Endpoint, Offset, Page
 from . import mission as M
 from . import schedule as S
 
@@ -73,7 +77,7 @@ class Program:
 
 
 # Binding powers: how tightly an operator holds what stands left and right of it.
-_BINDS = {"?": 1, "or": 2, "??": 2, "and": 3, "==": 5, "!=": 5, "<": 5, ">": 5, "<=": 5, ">=": 5, "is": 5, "in": 5, "contains": 5, "startsWith": 5, "endsWith": 5, "+": 7, "-": 7, "*": 8, "/": 8, "%": 8}
+_BINDS = {"?": 1, "or": 2, "??": 2, "and": 3, "==": 5, "!=": 5, "<": 5, ">": 5, "<=": 5, ">=": 5, "is": 5, "in": 5, "contains": 5, "startsWith": 5, "endsWith": 5, "+": 7, "-": 7, "*": 8, "/": 8, "%": 8, "..": 6, "[": 10}
 _VERBS = ("get", "post", "put", "patch", "delete", "GET", "POST", "PUT", "PATCH", "DELETE")
 
 
@@ -240,6 +244,12 @@ class Reader:
 
     def step(self) -> tuple:
         word = self.need("name")
+        if word == "delete" and self.now.kind == "name" and self.t[self.i + 1].text == "[":
+            name = self.need("name")
+            self.need("[")
+            key = self.expression()
+            self.need("]")
+            return "remove", name, key
         if word in _VERBS or word == "call":
             if word == "call":
                 target = self.need("name")
@@ -271,7 +281,10 @@ class Reader:
                 self.need("assume")
                 return self.expression()
 
-            return "validate", source, self.items(one, "}")
+            rules = self.items(one, "}")
+            return "validate", source, rules, self.block() if self.take("or") else None
+        if word == "clear":
+            return "clear", self.need("name")
         if word == "store":
             self.take("each")
             source = self.expression()
@@ -317,7 +330,12 @@ class Reader:
             if not power or power <= least:
                 return left
             self.i += 1
-            if op == "?":
+            if op == "[":
+                left = ("at", left, self.expression())
+                self.need("]")
+            elif op == "..":
+                left = ("range", left, self.expression(power))
+            elif op == "?":
                 yes = self.expression()
                 self.need(":")
                 left = ("if", left, yes, self.expression())
@@ -346,6 +364,12 @@ class Reader:
             return e
         if self.take("["):
             return "array", self.items(self.expression, "]")
+        if self.take("if"):
+            cond = self.expression()
+            self.need("then")
+            yes = self.expression()
+            self.need("else")
+            return "if", cond, yes, self.expression()
         if self.at("{"):
             return "object", self.fields()
         if self.take("."):
@@ -367,9 +391,14 @@ class Reader:
             source = self.prefix()
             return "any", source, self.expression() if self.take("where") else None
         if self.take("("):
-            return "call", name, self.items(self.expression, ")")
+            return "call", name, self.items(self.argument, ")")
         return self.path(name)
 
+    def argument(self) -> tuple:
+        """A collection may be narrowed where it is handed on."""
+        e = self.expression()
+        return ("filter", e, self.expression()) if self.take("where") else e
+
     def path(self, name: str) -> tuple:
         while self.at(".") and self.t[self.i + 1].kind == "name":
             self.i += 1
@@ -393,6 +422,14 @@ def check_names(p: Program) -> None:
                 steps(s[4], action)
             elif s[0] == "store" and s[2] not in p.stores:
                 raise SyntaxFault(f"{action}: unknown store {s[2]}")
+            elif s[0] in ("clear", "remove") and s[1] not in p.stores:
+                raise SyntaxFault(f"{action}: unknown store {s[1]}")
+            elif s[0] == "validate" and s[3]:
+                steps(s[3], action)
+            elif s[0] == "fetch":
+                named = s[3]["source"][1] if "source" in s[3] else s[2].split(".")[0] if s[1] == "call" else None
+                if named is not None and named not in p.sources:
+                    raise SyntaxFault(f"{action}: unknown source {named}")
             elif s[0] == "apply" and s[1] not in p.transforms:
                 raise SyntaxFault(f"{action}: unknown transform {s[1]}")
             elif s[0] == "match":
@@ -418,11 +455,17 @@ class Compiler:
     request's rows; the last response of an action is a column of its frame."""
 
     def __init__(self, program: Program, spark: SparkSession, stores: Catalog | None = None, sources: dict[str, Fetch] | None = None, events: Callable[[SparkSession, str], DataFrame] | None = None):
-        self.p, self.spark, self.sources, self.events = program, spark, sources or {}, events
+        self.p, self.spark, self.sources, self.events, self.dry_run = program, spark, sources or {}, events, False
         self.stores = stores or Catalog(spark)
 
     def build(self, **kw) -> M.Mission:
-        actions = [M.Action(n, lambda ctx, b=b: self.run(b, ctx, self.spark.range(1).drop("id"), None)) for n, b in self.p.actions.items()]
+        self.dry_run = kw.get("dry_run", False)
+        if self.dry_run:  # what a dry run writes is seen by its later steps and by nobody else
+            given = self.stores
+            self.stores = Catalog(self.spark)
+            self.stores.stores = dict(given.stores)
+        start = lambda b: lambda ctx: self.run(b, ctx, self.spark.range(1).drop("id"), None)
+        actions = [M.Action(n, start(b), mock=start(b)) for n, b in self.p.actions.items()]
         stages = [M.Stage(names, None if cond is None else (lambda m, c=cond: self.constant(c))) for names, cond in self.p.stages]
         return M.Mission(self.p.name, self.spark, actions, stages, self.stores, **kw)
 
@@ -487,6 +530,17 @@ class Compiler:
             other = next((go(r) for p, r in e[2] if p == ("name", "_")), None)
             arms = [(go(p), go(r)) for p, r in e[2] if p != ("name", "_")]
             return s.cases(arms, other) if e[1] is None else s.match(go(e[1]), arms, other)
+        if kind == "at":
+            a, i = go(e[1]), go(e[2])
+            if isinstance(s.type_of(a), T.ArrayType):
+                return F.get(a, s.number(i).cast("int"))
+            return a[e[2][1]]
+        if kind == "range":
+            return F.sequence(*[s.number(go(x)).cast("long") for x in e[1:]])
+        if kind == "filter":
+            a = go(e[1])
+            elem = df.select("*", a[0].alias("_element"))
+            return F.filter(a, lambda x: F.coalesce(self._over(e[2], elem, x), F.lit(False)))
         if kind == "any":
             a = go(e[1])
             if e[2] is None:
@@ -563,6 +617,13 @@ class Compiler:
 
     def _validate(self, step, ctx, df, current):
         d = self._bind(df, step[1], current, "_source")
+        if step[3] is not None:
+            # Rows that fail go through the other steps and no further
+            good = F.lit(True)
+            for e in step[2]:
+                good = good & Semantics(d).truthy(self.expr(e, d, "_source"))
+            self.run(step[3], ctx, d.filter(~good).drop("_source"), current)
+            return d.filter(good).drop("_source")
         ok = F.lit(True)
         for k, e in enumerate(step[2]):
             good = Semantics(d).truthy(self.expr(e, d, "_source"))
@@ -581,6 +642,15 @@ class Compiler:
         self._put(name, d, key, **flags)
         return df
 
+    def _clear(self, step, ctx, df, current):
+        self.stores.stores[step[1]] = self.stores[step[1]].clear()
+        return df
+
+    def _remove(self, step, ctx, df, current):
+        keys = df.select(self.expr(step[2], df, current).alias("_gone"))
+        self.stores.stores[step[1]] = self.stores[step[1]].delete(keys, F.col("_gone"))
+        return df
+
     def _put(self, name: str, d: DataFrame, key: Column | None, partial: bool | None = None, upsert: bool = False) -> None:
         """Writes the records in _source; later steps see them."""
         given = [] if key is None else [key.alias("_given")]
@@ -601,8 +671,8 @@ class Compiler:
             if not isinstance(Semantics(df).type_of(a), T.ArrayType):
                 raise TypeError(f"for {var}: not a collection")
             d = df.withColumn("_item", F.explode(a)).drop("response")
-        if cond is not None:
-            d = d.filter(Semantics(d).truthy(self.expr(cond, d, "_item")))
+        for c in _conjuncts(cond) if cond is not None else []:
+            d = d.filter(Semantics(d).holds(self.expr(c, d, "_item")))
         self.run(body, ctx, d.drop(var).withColumnRenamed("_item", var), var)
         return df
 
@@ -666,11 +736,62 @@ class Compiler:
         name = opts["source"][1] if "source" in opts else target.split(".")[0] if verb == "call" else next(iter(self.p.sources), None)
         if name not in self.sources:
             raise LookupError(f"no reader is given for source {name}")
+        if isinstance(self.sources[name], Endpoint):
+            return self._ask(self.sources[name], verb, target, opts, df, current)
         path = target if verb == "call" else target[1]
+        if self.dry_run:
+            # A reader says by `sample` what a dry run sees; without it nothing is asked
+            sample = getattr(self.sources[name], "sample", None)
+            if sample is None:
+                return df.limit(0).withColumn("response", F.struct())
+            got = mock_rows(self.spark, sample, 1)
+            return got.select(F.struct(*[F.col(c) for c in got.columns]).alias("response"))
         got = self.sources[name](self.spark, {"verb": verb, "path": path, "options": opts, "frame": df})
         return got.select(F.struct(*[F.col(c) for c in got.columns]).alias("response"))
 
 
+    def _ask(self, source: Endpoint, verb: str, target, opts: dict, df: DataFrame, current: str | None) -> DataFrame:
+        """A request for each row of df, with its own path and parameters; requests run
+        where the rows are, a batch of rows at a time."""
+        paging = None
+        if "paginate" in opts:
+            _, kind, args = opts["paginate"]
+            param, size = args[0][1], int(args[1][1])
+            paging = Cursor(param, size, args[2][1]) if kind == "cursor" else {"offset": Offset, "page": Page}[kind](param, size)
+        kind = f"array<struct<{source.record}>>" if paging else f"struct<{source.record}>"
+        d = df if df.columns else self.spark.range(1).select(F.lit(0).alias("_row"))
+        if self.dry_run:
+            answer = mock_value(source.sample or {"type": "object"})
+            body = F.lit(json.dumps([answer] if paging else answer))
+        else:
+            scope = {}
+            for name in re.findall(r"\{([^}]+)\}", target[1]):
+                got = self.name(name, d, current)
+                if got is not None:
+                    scope[name] = got
+            path = self._path(target[1], d, scope)
+            params = F.to_json(self.record(opts["params"], d, current)) if opts.get("params") else F.lit(None).cast("string")
+            ask = source.ask(verb, paging)
+
+            @F.pandas_udf("string")
+            def answers(paths: pd.Series, given: pd.Series) -> pd.Series:
+                return pd.Series([ask(p, g) for p, g in zip(paths, given, strict=True)], dtype=object)
+
+            body = answers.asNondeterministic()(path, params)
+        return d.withColumn("response", F.from_json(body, kind)).drop("_row")
+
+    def _path(self, template: str, d: DataFrame, scope: dict[str, Column]) -> Column:
+        s, parts = Semantics(d), []
+        for k, piece in enumerate(re.split(r"\{([^}]+)\}", template)):
+            parts.append(F.lit(piece) if k % 2 == 0 else s.string(scope[piece], "") if piece in scope else F.lit(""))
+        return F.concat(*parts)
+
+
+def _conjuncts(e: tuple) -> list[tuple]:
+    """The parts of a condition that must all hold."""
+    return [*_conjuncts(e[2]), *_conjuncts(e[3])] if e[:2] == ("op", "and") else [e]
+
+
 def read_folder(files: dict[str, str]) -> Program:
     """A mission of several files, by name: one named mission.* (or the only one with a
     mission in it), the others with actions alone. Two actions of one name are a fault."""

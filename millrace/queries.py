@@ -14,7 +14,7 @@ from .functions.semantics import resolve
 from .operators import joins, steps
 from .operators.schema import Schema, variant_matches
 from .operators.stores import Catalog, Store
-from .plans import Action, Mission, Stage, mission, schedule
+from .plans import Action, Mission, Stage, mission, schedule, text
 from .sources import openapi, paging, sync
 from .streaming import breaker, waits
 
@@ -260,10 +260,10 @@ def store_partial_default_key(spark, sf_dir):  # K5, K6
     return Store("s").set(n, seq="id", partial=True).scan()
 
 
-@query("""SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)""")
-def store_delete(spark, sf_dir):  # K9
+@query("""SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_totalprice > 400000)""")
+def store_delete(spark, sf_dir):  # K9: customers without a large order
     s = Store("c").set(_t(spark, sf_dir, "customer").select("c_custkey", "c_name"), F.col("c_custkey"), "c_custkey")
-    return s.delete(_t(spark, sf_dir, "orders"), F.col("o_custkey")).scan().select("c_custkey")
+    return s.delete(_t(spark, sf_dir, "orders").filter("o_totalprice > 400000"), F.col("o_custkey")).scan().select("c_custkey")
 
 
 @query("""SELECT o_orderkey, coalesce(n, 0) AS lines FROM (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')
@@ -340,9 +340,9 @@ def join_semi(spark, sf_dir):  # J7
     return joins.exists(_t(spark, sf_dir, "customer"), _t(spark, sf_dir, "orders"), [("c_custkey", "o_custkey")]).select("c_custkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)")
 def join_anti(spark, sf_dir):  # J8, D4
-    return joins.missing(_t(spark, sf_dir, "customer"), _t(spark, sf_dir, "orders"), [("c_custkey", "o_custkey")]).select("c_custkey")
+    return joins.missing(_t(spark, sf_dir, "customer"), _t(spark, sf_dir, "orders").filter("o_totalprice > 400000"), [("c_custkey", "o_custkey")]).select("c_custkey")
 
 
 @query("""SELECT c_custkey, o_orderkey AS first_order FROM customer LEFT JOIN (SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders GROUP BY 1) ON o_custkey = c_custkey""")
@@ -458,9 +458,9 @@ def set_intersect(spark, sf_dir):  # U4
     return _t(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k")).intersect(_t(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k")))
 
 
-@query("(SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders)")
+@query("(SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")
 def set_except(spark, sf_dir):  # U4
-    return _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).subtract(_t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")))
+    return _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).subtract(_t(spark, sf_dir, "orders").filter("o_totalprice > 400000").select(F.col("o_custkey").alias("k")))
 
 
 @query("SELECT o_orderkey, o_orderdate::VARCHAR AS day FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 50")
@@ -479,18 +479,18 @@ _PAGES = "SELECT p_partkey, (row_number() OVER (ORDER BY p_partkey) - 1) // 50 A
 
 @query(_PAGES)
 def paginate_offset(spark, sf_dir):  # S4, S5
-    p = _t(spark, sf_dir, "part")
-    first = p.agg(F.min("p_partkey").alias("f"))
-    d = p.crossJoin(F.broadcast(first)).withColumn("n", F.col("p_partkey") - F.col("f"))
-    return paging.number_pages(d, "n", 50).select("p_partkey", "page")
+    return paging.number_pages(_t(spark, sf_dir, "part"), "p_partkey", 50).select("p_partkey", "page")
+
+
+@query("SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // 100 AS page FROM orders WHERE o_orderstatus = 'F'")
+def paginate_page(spark, sf_dir):  # S5 over keys with gaps
+    return paging.number_pages(_t(spark, sf_dir, "orders").filter("o_orderstatus = 'F'"), "o_orderkey", 100).select("o_orderkey", "page")
 
 
 @query(f"""WITH p AS ({_PAGES.replace('p_partkey,', 'p_partkey, p_size,')}), s AS (SELECT min(page) AS stop FROM (SELECT page FROM p GROUP BY page HAVING sum(p_size) > 1400))
-          SELECT p_partkey, page FROM p, s WHERE page < coalesce(stop, 1000000) AND page < 100""")
+          SELECT p_partkey, page FROM p, s WHERE page < coalesce(stop, 1000000)""")
 def paginate_until(spark, sf_dir):  # S8
-    p = _t(spark, sf_dir, "part")
-    first = p.agg(F.min("p_partkey").alias("f"))
-    d = paging.number_pages(p.crossJoin(F.broadcast(first)).withColumn("n", F.col("p_partkey") - F.col("f")), "n", 50)
+    d = paging.number_pages(_t(spark, sf_dir, "part"), "p_partkey", 50)
     return paging.stop_before(d, F.sum("p_size") > 1400).select("p_partkey", "page")
 
 
@@ -670,3 +670,53 @@ def progress_rollup(spark, sf_dir):  # P3, P10, A16
     except ValueError:
         pass
     return mission.progress(m.audit())
+
+
+# --- missions as text ------------------------------------------------------------------------
+
+
+class _Echo:
+    """Stands for an HTTP client: what it answers follows from the path alone."""
+
+    def request(self, verb, path, params=None, body=None):
+        key = int(path.rsplit("/", 1)[1])
+        return {"id": key, "double": 2 * key, "tier": "even" if key % 2 == 0 else "odd"}
+
+
+def _mission(spark, body: str, stores: dict, out: str = "out", **kw) -> DataFrame:
+    names = " ".join(f'store {n}: memory("{n}")' for n in sorted({*stores, "out", "rest"}))
+    return text.run(f"mission Q {{ source API {{ base: \"http://x\" }} {names} action A {{ {body} }} run A }}", spark, stores, **kw).stores[out].scan()
+
+
+@query("""SELECT c_custkey AS id, 2 * c_custkey AS double, CASE WHEN c_custkey % 2 = 0 THEN 'even' ELSE 'odd' END AS tier FROM customer""")
+def api_enrichment_join(spark, sf_dir):  # J6, S1, S3: a request for each row
+    c = _t(spark, sf_dir, "customer").select("c_custkey")
+    api = paging.Endpoint(_Echo(), "id long, double long, tier string")
+    got = _mission(spark, 'for c in cust { get "/customers/{c.c_custkey}" store { id: c.c_custkey, double: response.double, tier: response.tier } -> out { key: .id } }', {"cust": c}, sources={"API": api})
+    return got.select("id", "double", "tier")
+
+
+@query("""SELECT c_custkey AS id, 'string' AS tier FROM customer""")
+def dry_run_mock(spark, sf_dir):  # P13, S10: nothing is asked, answers are samples
+    c = _t(spark, sf_dir, "customer").select("c_custkey")
+    sample = {"type": "object", "properties": {"tier": {"type": "string"}}}
+    api = paging.Endpoint(None, "tier string", sample)
+    got = _mission(spark, 'for c in cust { get "/customers/{c.c_custkey}" store { id: c.c_custkey, tier: response.tier } -> out { key: .id } }', {"cust": c}, sources={"API": api}, dry_run=True)
+    return got.select("id", "tier")
+
+
+@query("""SELECT o_orderkey AS id FROM orders WHERE NOT (o_totalprice > 200000 AND o_orderstatus <> 'P')""")
+def validate_or(spark, sf_dir):  # R10 in a mission: what fails goes elsewhere
+    o = _t(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    body = 'for o in ord { validate o { assume .o_totalprice > 200000, assume .o_orderstatus != "P" } or { store { id: o.o_orderkey } -> rest { key: .id } } store { id: o.o_orderkey } -> out { key: .id } }'
+    return _mission(spark, body, {"ord": o}, out="rest").select("id")
+
+
+@query("""SELECT o_orderkey AS id, n, big, CASE WHEN n > 3 THEN 'many' ELSE 'few' END AS kind, q AS first_q
+          FROM (SELECT l_orderkey AS o_orderkey, count(*) AS n, count(*) FILTER (l_quantity > 30) AS big, first(l_quantity ORDER BY l_linenumber, l_quantity) AS q FROM lineitem GROUP BY 1)""")
+def collection_where(spark, sf_dir):  # R17, E26: narrowed collections, an index, if-then-else
+    line = F.struct("l_linenumber", "l_quantity")
+    o = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    body = "for o in ord { store { id: o.l_orderkey, n: count(o.lines), big: count(o.lines where .l_quantity > 30), kind: if count(o.lines) > 3 then \"many\" else \"few\", first_line: o.lines[0] } -> out { key: .id } }"
+    got = _mission(spark, body, {"ord": o})
+    return got.select("id", F.col("n").cast("long").alias("n"), F.col("big").cast("long").alias("big"), "kind", F.col("first_line.l_quantity").alias("first_q"))

@@ -14,8 +14,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
-#: Pages that one scan reads at most.
+from ..functions.numbering import number_rows
+
+#: Pages that one scan reads at most, unless it says otherwise; more are an error, never lost.
 MAX_PAGES = 100
+
+
+class TooManyPages(RuntimeError):
+    """A scan has more pages than it may read."""
+
+
 Fetch = Callable[[dict], object]
 
 
@@ -26,6 +34,30 @@ def rows_of(page: object) -> list:
     return next((v for v in page.values() if isinstance(v, list)), [])
 
 
+@dataclass
+class Endpoint:
+    """A source that is asked over HTTP: how, and the DDL type of what it answers. `record` is
+    the type of one row (`a long, b string`) for paginated answers, or of a whole answer.
+    `sample` gives dry runs their answer instead."""
+
+    client: object
+    record: str
+    sample: dict | None = None
+
+    def ask(self, verb: str, paging: Offset | Page | Cursor | None) -> Callable[[str, str | None], str | None]:
+        """JSON of the answer to (path, params as JSON); of a paginated one all rows."""
+
+        def one(path: str, params: str | None) -> str | None:
+            given = json.loads(params) if params else {}
+            if paging is None:
+                got = self.client.request(verb, path, given)
+            else:
+                got = list(read_pages(lambda q: self.client.request(verb, path, q), paging, params=given))
+            return None if got is None else json.dumps(got)
+
+        return one
+
+
 @dataclass
 class Offset:
     """param = page number * size; another page follows a full one."""
@@ -72,9 +104,11 @@ class Cursor:
         return bool(v), None if not v else str(int(v)) if isinstance(v, float) and v.is_integer() else str(v)
 
 
-def read_pages(fetch: Fetch, paging: Offset | Page | Cursor, until: Callable[[object], bool] | None = None, params: dict | None = None, first: int = 0, most: int = MAX_PAGES) -> Iterator[object]:
-    """All rows, page by page. `until` is asked before a page's rows are taken."""
-    cursor = None
+def read_pages(fetch: Fetch, paging: Offset | Page | Cursor, until: Callable[[object], bool] | None = None, params: dict | None = None, first: int = 0, most: int = MAX_PAGES, last: bool = True) -> Iterator[object]:
+    """All rows, page by page. `until` is asked before a page's rows are taken. If a page
+    says that there is more after `most` pages, that raises, unless `last` is false: then
+    another partition reads what follows."""
+    cursor, more = None, False
     for n in range(first, first + most):
         page = fetch({**(params or {}), **paging.query(n, cursor)})
         if until and until(page):
@@ -84,11 +118,13 @@ def read_pages(fetch: Fetch, paging: Offset | Page | Cursor, until: Callable[[ob
         more, cursor = paging.more(page, rows)
         if not more:
             return
+    if more and last:
+        raise TooManyPages(f"more than {most} pages")
 
 
 class _Range(InputPartition):
-    def __init__(self, first: int, most: int):
-        self.first, self.most = first, most
+    def __init__(self, first: int, most: int, last: bool = True):
+        self.first, self.most, self.last = first, most, last
 
 
 class PagedSource(DataSource):
@@ -115,9 +151,9 @@ class _Reader(DataSourceReader):
         splits = int(self.options.get("splits", 1))
         pages = int(self.options.get("pages", MAX_PAGES))
         if self.options.get("paging", "page") == "cursor":
-            return [_Range(0, MAX_PAGES)]
+            return [_Range(0, pages)]
         each = -(-pages // splits)
-        return [_Range(a, min(each, pages - a)) for a in range(0, pages, each)]
+        return [_Range(a, min(each, pages - a), a + each >= pages) for a in range(0, pages, each)]
 
     def read(self, part: _Range) -> Iterator[tuple]:
         from .resilience import Client
@@ -128,7 +164,7 @@ class _Reader(DataSourceReader):
         paging = {"offset": lambda: Offset(param, size), "page": lambda: Page(param, size), "cursor": lambda: Cursor(param, size, o.get("cursorpath", o.get("cursorPath", "next")))}[o.get("paging", "page")]()
         names = self.schema.fieldNames()
         fetch = lambda q: client.request("get", o.get("path", "/"), q)
-        for row in read_pages(fetch, paging, params=json.loads(o.get("params", "{}")), first=part.first, most=part.most):
+        for row in read_pages(fetch, paging, params=json.loads(o.get("params", "{}")), first=part.first, most=part.most, last=part.last):
             yield (json.dumps(row),) if names == ["value"] else tuple(row.get(n) if isinstance(row, dict) else None for n in names)
 
 
@@ -136,16 +172,16 @@ class _Reader(DataSourceReader):
 
 
 def number_pages(df: DataFrame, order: str, size: int) -> DataFrame:
-    """S4, S5 over a table whose order column counts its rows from 0 without a gap: the page
-    of each row, without a global window."""
-    return df.withColumn("page", F.floor(F.col(order) / size).cast("long"))
+    """S4, S5 over a table in the order of a numeric column, gaps or not: the page of each
+    row, without a global window."""
+    return number_rows(df, order, "_number").withColumn("page", F.floor(F.col("_number") / size).cast("long")).drop("_number")
 
 
-def stop_before(df: DataFrame, until: Column, most: int = MAX_PAGES) -> DataFrame:
+def stop_before(df: DataFrame, until: Column) -> DataFrame:
     """S8 over rows with `page`: pages before the first for which `until`, an aggregate over
-    a page's rows, holds; its own rows are dropped, and so is what is beyond the cap."""
+    a page's rows, holds; its own rows are dropped."""
     stop = df.groupBy("page").agg(until.alias("_u")).filter("_u").agg(F.min("page").alias("_stop"))
-    return df.crossJoin(F.broadcast(stop)).filter((F.col("page") < F.coalesce("_stop", F.lit(1 << 62))) & (F.col("page") < most)).drop("_stop")
+    return df.crossJoin(F.broadcast(stop)).filter(F.col("page") < F.coalesce("_stop", F.lit(1 << 62))).drop("_stop")
 
 
 def keyset_page(df: DataFrame, key: str, after, size: int) -> DataFrame:

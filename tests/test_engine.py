@@ -110,7 +110,10 @@ def test_paging():
     assert take(pages(), paging.Offset("offset", 3)) == list(range(6))
     assert take(pages(7), paging.Page("page", 3)) == list(range(7))
     assert take(pages(9), paging.Offset("offset", 3), until=lambda p: p["items"][0]["id"] == 6) == list(range(6))
-    assert len(take(pages(10**6), paging.Page("page", 3))) == 300
+    # pages beyond the limit are an error, unless the caller stops there knowingly
+    with pytest.raises(paging.TooManyPages):
+        take(pages(10**6), paging.Page("page", 3))
+    assert len(take(pages(10**6), paging.Page("page", 3), last=False)) == 300
 
     def cursor(q):
         n = int(q.get("after", 0))
@@ -314,3 +317,45 @@ def test_collect_stream(spark, tmp_path):
     q.awaitTermination(120)
     got = spark.table("collected").collect()
     assert [(r.registration, r.n, sorted(r.bodies), r.complete) for r in got] == [("a", 2, ["1", "2"], True)]
+
+
+def test_comparisons_reach_the_scan(spark, sf_dir, capsys):
+    from millrace import queries
+
+    for name, want in (("for_where_filter", "GreaterThanOrEqual(l_quantity,30.0)"), ("flagship_orders", "PushedFilters: [IsNotNull")):
+        queries.QUERIES[name](spark, sf_dir).explain("formatted")
+        assert want in capsys.readouterr().out, name
+
+
+def test_more_pages_than_allowed_are_an_error():
+    from millrace.sources import paging
+
+    pages = lambda q: {"rows": [{"n": q["page"]}] * 2}
+    with pytest.raises(paging.TooManyPages):
+        list(paging.read_pages(pages, paging.Page("page", 2), most=3))
+    assert len(list(paging.read_pages(pages, paging.Page("page", 2), most=3, last=False))) == 6
+
+
+def test_pages_of_keys_with_gaps(spark):
+    from millrace.sources import paging
+
+    d = spark.range(0, 1000, 10).select(F.col("id").alias("k"))
+    assert {r.page: r["count"] for r in paging.number_pages(d, "k", 50).groupBy("page").count().collect()} == {0: 50, 1: 50}
+
+
+def test_a_store_is_saved_to_where_it_came_from(spark, tmp_path):
+    from millrace.operators.stores import Catalog
+
+    c = Catalog(spark, {"s": spark.createDataFrame([(1, "a")], "id long, v string")})
+    for _ in range(2):
+        c.save("s", f"{tmp_path}/s")
+        assert [r.v for r in c["s"].scan().collect()] == ["a"]
+    assert c.load_json_object("none", f"{tmp_path}/missing.json").scan().count() == 0
+
+
+def test_dry_run_asks_and_writes_nothing(spark):
+    from millrace.plans.mission import Action, Mission, Stage
+
+    ran, seen = [], []
+    m = Mission("m", spark, [Action("A", lambda ctx: ran.append(1))], [Stage(["A"])], dry_run=True, on_event=lambda k, i: seen.append(k)).run()
+    assert not ran and "action.planned" in seen and m.state[0]["status"] == "completed"
