@@ -22,7 +22,9 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 ENDS = (".", "!", "?", "…", '"', "'", "”", "’", "»", ")", ":", ";", "。", "！", "？")
 NAVIGATION = ("|", "»", ">", "›", "•", "·", "/")
-BOILERPLATE = re.compile(r"lorem ipsum|all rights reserved|terms of (use|service)|privacy policy|cookie policy|use cookies|enable javascript|click here|sign up|log ?in to|subscribe to|read more|share this", re.I)
+BOILERPLATE = re.compile(r"lorem ipsum|all rights reserved|terms of (use|service)|privacy policy|cookie policy|use cookies|enable javascript|click here|sign up|log ?in to|subscribe to|read more|share this", re.I | re.A)
+#: What a text in lower case holds if it holds one of these phrases.
+KEYS = ("lorem ipsum", "all rights reserved", "terms of ", "privacy policy", "cookie policy", "use cookies", "enable javascript", "click here", "sign up", "in to", "subscribe to", "read more", "share this")
 
 #: Shares of a line's words above which it fails, of its characters that phrases may take, and
 #: of a text that may be lost.
@@ -31,9 +33,9 @@ MAX_SYMBOLS, MAX_NAVIGATION, MAX_SHOUTED, MAX_ECHOED, MAX_PHRASES, MAX_LOST = 0.
 SHARED, COMPANIONS = 10, 0.5
 
 
-def line_fault(line: str, words: list[str], learned: bool = False) -> str | None:
+def line_fault(line: str, words: list[str], learned: bool = False, phrases: bool = True) -> str | None:
     """The first rule that a line with words fails, or None; learned: the corpus has shown it
-    to be boilerplate."""
+    to be boilerplate; phrases: the text may hold one of the phrases."""
     n = len(words)
     if not n:
         return None
@@ -45,7 +47,7 @@ def line_fault(line: str, words: list[str], learned: bool = False) -> str | None
         return "repetition"
     if n > 3 and sum(w.isupper() for w in words) > MAX_SHOUTED * n:
         return "shouting"
-    if learned or BOILERPLATE.search(line) and sum(len(m[0]) for m in BOILERPLATE.finditer(line)) > MAX_PHRASES * len(line):
+    if learned or phrases and sum(len(m[0]) for m in BOILERPLATE.finditer(line)) > MAX_PHRASES * len(line):
         return "boilerplate"
     # prose that was cut short still has a sentence's end inside
     if not words[-1].endswith(ENDS) and not any(w.endswith(ENDS) for w in words):
@@ -77,12 +79,14 @@ def judge(text: str | None, learned: frozenset[int] = frozenset()) -> dict:
     repeat = sum(covered)
     failed = n < 50 or 100 * repeat > 50 * n
     kept, faults, lost, total = [], {}, 0, 0
+    low = text.lower()
+    phrases = any(k in low for k in KEYS)
     for i, (x, w) in enumerate(lines):
         if not w:
             kept.append(x)
             continue
         total += len(x)
-        fault = line_fault(x, WORD.findall(x), i in learned)
+        fault = line_fault(x, WORD.findall(x), i in learned, phrases)
         if fault is None:
             kept.append(x)
         else:
