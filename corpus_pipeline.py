@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns the documents it leaves, with the columns
 of documents; the last returns tokens. Between stages the documents are written and reread.
+
+Odd rows: a null text, or one without a letter, has no language and goes in the first stage.
+Repeated rows of a document are one near-duplicate group, of which one stays; of several texts
+under one key, or under the null key, each is judged by itself. A null source is a source of its
+own. Texts of any length go through whole. Extra columns are carried to the last stage but one,
+whatever their names. An empty table stays empty through all stages.
 """
 
 from __future__ import annotations
@@ -32,7 +38,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the target weight of its source asks, in global order."""
-    return mixing.mix_sources(docs, ceiling=None).select(*docs.columns)
+    return mixing.mix_sources(docs).select(*docs.columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
