@@ -481,7 +481,8 @@ def _rest(sets: DataFrame, sketches: DataFrame, confirm: Callable) -> DataFrame
 def without_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, of one document for each component: that of
     the least key, and of several texts of that key the one with the least hash. Of rows
-    with the same key and text one stays."""
+    with the same key and text one stays. Null and wordless texts are components of their own
+    and stay; an empty table stays empty. Keys are integers."""
     kept = _judged(docs, key, text, 5, 75, hashed=True).filter("kept")
     # a row without words is a component of its own
     own = [F.when(F.col("component").isNull(), F.col(c)) for c in ("_id", "_h")]

@@ -356,8 +356,8 @@ def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", thres
     in a document with a smaller key, or before it in the same document. Null text counts
     as empty. A text shorter than the threshold stays whole. Rows with the same key and the
     same text are one document and share a result; rows with the same key and different
-    texts are ordered by text. A null key comes before all others. An empty table gives an
-    empty result. Columns not named are ignored, whatever their names.
+    texts are ordered by their SHA-256. A null key comes before all others. An empty table gives an
+    empty result. Columns not named are ignored, whatever their names. Keys are integers.
     """
     keep = [c for c in keep or [] if c not in (key, text)]
     spark = docs.sparkSession
@@ -426,7 +426,8 @@ def _heads(classed: DataFrame) -> DataFrame:
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", size: str = "n_chars", threshold: int = 100) -> DataFrame:
     """docs with all its columns, each text cut to what stays of it; a column `size`, if
-    there is one, holds the new number of characters."""
+    there is one, holds the new number of characters. A null text stays null and its size null;
+    null keys, repeated rows and an empty table as in `suffix_dedup`."""
     keep = [c for c in docs.columns if c not in (key, text, size)]
     got = suffix_dedup(docs, key, text, threshold, keep).withColumnRenamed("kept_text", "_kept_text")
     out = {key: F.col(key), text: F.col("_kept_text"), size: F.char_length("_kept_text").cast("long")}
