@@ -386,13 +386,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 def _judged(docs: DataFrame, key: str, text: str, width: int, percent: int, hashed: bool = False) -> DataFrame:
     """What `near_duplicates` says of each row: _id, n, component (null for an empty set),
     component_id, kept, and if `hashed` the text's hash as _h."""
-    h = {"_h": F.xxhash64("_text")} if hashed else {}
+    h = ["_h"] if hashed else []
     spark = docs.sparkSession
     d = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text"))
-    ids = d.select(F.col("_id").cast("string").alias("_id"), "_text", *[x.alias(c) for c, x in h.items()])
-    signed = settle(ids.mapInPandas(_signed(width), f"_id string, {'_h long, ' if hashed else ''}n long, cls long, sig binary").withColumn("_id", F.col("_id").cast("long")))
-    classes = signed.filter("cls is not null").groupBy("cls").agg(F.min("_id").alias("_rep"), F.first("sig").alias("sig"))
-    classes = settle(classes)
+    d = d.withColumn("_h", F.xxhash64("_text"))
+    ids = d.select(F.col("_id").cast("string").alias("_id"), "_text", "_h")
+    signed = settle(ids.mapInPandas(_signed(width), "_id string, _h long, n long, cls long, sig binary").withColumn("_id", F.col("_id").cast("long")))
+    # a class is named by its least key; its texts are those of one (key, hash)
+    source = F.min(F.struct("_id", "_h")).alias("_source")
+    classes = settle(signed.filter("cls is not null").groupBy("cls").agg(F.min("_id").alias("_rep"), source, F.first("sig").alias("sig")))
     groups, edges = _candidates(classes)
 
     sketch = F.unhex(F.regexp_replace(F.hex("sig"), "(..)......", "$1"))  # one byte of each minimum
@@ -400,14 +402,19 @@ def _judged(docs: DataFrame, key: str, text: str, width: int, percent: int, hash
 
     def confirm(members: DataFrame) -> DataFrame:
         """Links among the documents of each task: members are (task, cls)."""
-        m = members.join(classes.select("cls", "_rep"), "cls")
-        texts = settle(d.join(m, d["_id"].eqNullSafe(m["_rep"])).select("task", "cls", "_text"))
+        texts = settle(members.join(pool, "cls").select("task", "cls", "_text"))
         dealt = texts.repartition(dealt_over(spark, settled_bytes(texts), 4 << 20), "task").sortWithinPartitions("task", "cls")
         links = settle(dealt.mapInPandas(_confirmed(width, percent), "a long, b long"))
         drop(texts)
         return links
 
     joined = components(edges)
+    dense = groups.filter(F.col("state") == DENSE).select(F.col("region").alias("set"), "cls").distinct()
+    # whatever is to be confirmed comes from here: all texts travel once, not once a round
+    wanted = joined.select(F.col("node").alias("cls")).unionByName(dense.select("cls")).distinct()
+    w = wanted.join(classes.select("cls", "_source"), "cls").select("cls", F.col("_source._id").alias("_w"), F.col("_source._h").alias("_wh"))
+    pool = d.join(w, d["_id"].eqNullSafe(w["_w"]) & (d["_h"] == w["_wh"])).select("cls", "_text")
+    pool = settle(pool.groupBy("cls").agg(F.first("_text").alias("_text")))
     sizes = settle(joined.groupBy("component").agg(F.count(F.lit(1)).alias("size")))
     members = settle(joined.join(sizes, "component").select(F.col("node").alias("cls"), F.col("component").alias("grp"), "size"))
     small = members.filter(F.col("size") <= BLOCK).select(F.col("grp").alias("task"), "cls")
@@ -416,7 +423,6 @@ def _judged(docs: DataFrame, key: str, text: str, width: int, percent: int, hash
     block = F.pmod(F.xxhash64("cls", "salt"), F.ceil(F.col("size") / BLOCK))
     links = confirm(small.unionByName(twice.select(F.xxhash64("grp", "salt", block).alias("task"), "cls")))
     # what a cut region's groups kept apart, and what the blocks of a large group left apart
-    dense = groups.filter(F.col("state") == DENSE).select(F.col("region").alias("set"), "cls").distinct()
     apart = dense.join(members.select("cls", "grp"), "cls", "left").select("set", "cls", F.coalesce("grp", "cls").alias("label"))
     part = components(links)
     inside = large.join(part, large["cls"] == part["node"], "left").select(F.col("grp").alias("set"), "cls", F.coalesce("component", "cls").alias("label"))
@@ -431,7 +437,7 @@ def _judged(docs: DataFrame, key: str, text: str, width: int, percent: int, hash
     verdict = named.join(least, "component").select("cls", "component", "component_id")
     out = signed.select("_id", *h, "n", "cls").join(verdict, "cls", "left")
     cid = F.when(F.col("cls").isNull(), F.col("_id")).otherwise(F.col("component_id"))
-    drop(groups, edges, sizes, members, sets, links, more)
+    drop(groups, edges, pool, sizes, members, sets, links, more)
     return out.select("_id", *h, "n", "component", cid.alias("component_id"), F.col("_id").eqNullSafe(cid).alias("kept"))
 
 
