@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .sparkit import bound_batches
+
 #: Pre-tokens whose ids a task keeps, in each of two generations.
 KEPT = 1 << 19
 #: The letters of the plain path: those of ASCII and Latin-1, as ranges.
@@ -216,6 +218,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id",
     of the file, whatever the documents.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     ranks = read_ranks(ranks_path)
     shared = spark.sparkContext.broadcast((ranks, PerfectHash(list(ranks))))
     kind = docs.schema[key].dataType

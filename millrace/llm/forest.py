@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from . import bytekit as K
 from .components import components
-from .sparkit import dealt_over, drop, settle, settled_bytes
+from .sparkit import bound_batches, dealt_over, drop, settle, settled_bytes
 
 U = np.uint64
 PERMUTATIONS, ROWS = 128, 4
@@ -388,6 +388,7 @@ def _judged(docs: DataFrame, key: str, text: str, width: int, percent: int, hash
     component_id, kept, and if `hashed` the text's hash as _h."""
     h = ["_h"] if hashed else []
     spark = docs.sparkSession
+    bound_batches(spark)
     d = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text"))
     d = d.withColumn("_h", F.xxhash64("_text"))
     ids = d.select(F.col("_id").cast("string").alias("_id"), "_text", "_h")

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytekit as K
+from .sparkit import bound_batches
 
 #: Documents to learn from, at most: those whose keys and texts have the least hashes.
 SAMPLE = 4000
@@ -149,6 +150,7 @@ def fit(examples: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 1) -> Mo
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model:
     """Learn from at most `sample` rows of docs that have a language and a text: those with
     the least hashes of key and text. Of equal rows one counts."""
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"), F.col(lang).alias("label")).filter("label is not null and _text is not null")
     rows = rows.withColumn("_h", F.xxhash64(F.col("_id").cast("string"), "_text"))
     chosen = rows.select("_h", "label").distinct().orderBy("_h", "label").limit(sample)
@@ -187,6 +189,7 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
     Repeated rows are judged alike. An empty table gives an empty result. Columns not named
     are ignored. The model is broadcast; its size is fixed.
     """
+    bound_batches(docs.sparkSession)
     kind = docs.schema[key].dataType
     shared = docs.sparkSession.sparkContext.broadcast(model)
     d = docs.select(F.col(key).cast("string").alias("_key"), F.col(text).alias("_text"))
@@ -198,6 +201,7 @@ def confident(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, that the model doesn't reject. Null texts and
     those without a letter are rejected; repeated rows are judged alike; an empty table stays
     empty; extra columns are carried along, whatever their names."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")

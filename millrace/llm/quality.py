@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytekit as K
+from .sparkit import bound_batches
 
 #: Labelled rows to learn from, at most: those whose keys have the least hashes.
 SAMPLE = 4000
@@ -99,6 +100,7 @@ def _featured(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> tuple[np.ndarray, float]:
     """Learn from at most `sample` rows of labels (key, label 0 or 1; null ones are left out)."""
+    bound_batches(docs.sparkSession)
     chosen = labels.select(F.col(key).alias("_id"), F.col(label).cast("int").alias("label")).filter("label is not null and _id is not null")
     chosen = chosen.groupBy("_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64(F.col("_id").cast("string")), "_id").limit(sample)
     # the sample is bounded by its size
@@ -134,6 +136,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], key: str = "doc_id",
     gives an empty result. Columns not named are ignored. The weights are broadcast; their
     size is fixed.
     """
+    bound_batches(docs.sparkSession)
     kind = docs.schema[key].dataType
     shared = docs.sparkSession.sparkContext.broadcast(model)
     d = docs.select(F.col(key).cast("string").alias("_key"), F.col(text).alias("_text"))

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .sparkit import settle
+from .sparkit import bound_batches, settle
 
 # The word and symbol classes, and what lines are tested for.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -149,6 +149,7 @@ def clean_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", column
     itself, by source, if it has that column, else from all. Repeated rows are judged alike. An
     empty table gives an empty result. Columns not named are ignored, whatever their names.
     """
+    bound_batches(docs.sparkSession)
     kind = docs.schema[key].dataType
     schema = ", ".join(["_key string", *[f"{c} {_KINDS[c]}" for c in columns]])
     src = F.col(source).cast("string") if source in docs.columns else F.lit(None).cast("string")

@@ -11,9 +11,17 @@ from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession, Window
 from pyspark.sql import functions as F
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _own: list[str] = []
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches end at 2 MB, however long texts are: otherwise only rows are counted.
+    A session that names its own bound keeps it."""
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, "2m")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; a temporary one only
     where nothing is set and driver and executors are one process, as in local tests."""

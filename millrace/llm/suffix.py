@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bytekit as K
-from .sparkit import dealt_over, drop, number_rows, settle, settled_bytes
+from .sparkit import bound_batches, dealt_over, drop, number_rows, settle, settled_bytes
 
 U = np.uint64
 #: Entries that a task holds before it passes them on.
@@ -361,6 +361,7 @@ def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", thres
     """
     keep = [c for c in keep or [] if c not in (key, text)]
     spark = docs.sparkSession
+    bound_batches(spark)
     # what is only carried along goes through Python as text, so that nulls change no type
     d = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"), *[F.col(c).cast("string").alias(f"_keep_{c}") for c in keep])
     ids = d.groupBy("_id").agg(F.count(F.lit(1)).alias("n"))
