@@ -5,6 +5,7 @@ others. Against a typed DataFrame most of it is decided when the plan is built."
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -33,9 +34,17 @@ class Schema:
 
     def matches(self, df: DataFrame, record: str | None = None) -> Column:
         """Whether each row (or its struct column `record`) fits."""
-        t = df.schema[record].dataType if record else df.schema
-        get = (lambda n: F.col(record)[n]) if record else (lambda n: F.col(f"`{n}`"))
-        ok = F.col(record).isNotNull() if record else F.lit(True)
+        if record:
+            return self.fits(F.col(record), df.schema[record].dataType)
+        return self._all(df.schema, lambda n: F.col(f"`{n}`"), F.lit(True))
+
+    def fits(self, c: Column, t: T.DataType) -> Column:
+        """Whether a value of static type t fits; only records do."""
+        if not isinstance(t, T.StructType):
+            return F.lit(False)
+        return self._all(t, lambda n: c[n], c.isNotNull())
+
+    def _all(self, t: T.StructType, get: Callable[[str], Column], ok: Column) -> Column:
         for f in self.fields:
             if f.name not in t.fieldNames():
                 if not f.optional:

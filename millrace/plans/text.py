@@ -73,11 +73,16 @@ class Program:
     transforms: dict[str, list[tuple]] = field(default_factory=dict)
     actions: dict[str, list[tuple]] = field(default_factory=dict)
     stages: list[tuple[list[str], Any]] = field(default_factory=list)
+    lets: list[tuple] = field(default_factory=list)
     schedule: tuple | None = None
 
 
 # Binding powers: how tightly an operator holds what stands left and right of it.
-_BINDS = {"?": 1, "or": 2, "??": 2, "and": 3, "==": 5, "!=": 5, "<": 5, ">": 5, "<=": 5, ">=": 5, "is": 5, "in": 5, "contains": 5, "startsWith": 5, "endsWith": 5, "+": 7, "-": 7, "*": 8, "/": 8, "%": 8, "..": 6, "[": 10}
+_BINDS = {"|": 1, "?": 1, "or": 2, "??": 2, "and": 3, "==": 5, "!=": 5, "<": 5, ">": 5, "<=": 5, ">=": 5, "is": 5, "in": 5, "contains": 5, "startsWith": 5, "endsWith": 5, "+": 7, "-": 7, "*": 8, "/": 8, "%": 8, "..": 6, "[": 10}
+# Functions over a collection whose second argument is asked of each element.
+_EACH = ("filter", "map", "find", "findIndex", "sortBy", "sum", "count", "some", "every")
+# Functions that want a literal after the first argument as it is.
+_PLAIN = ("join", "split", "substring", "round", "pick", "omit", "formatDate", "parseDate", "parseDecimal", "weighted_sum")
 _VERBS = ("get", "post", "put", "patch", "delete", "GET", "POST", "PUT", "PATCH", "DELETE")
 
 
@@ -149,6 +154,11 @@ class Reader:
                 if name in p.actions:
                     raise SyntaxFault(f"line {self.now.line}: two actions named {name}")
                 p.actions[name] = self.block()
+            elif word == "let":
+                # A name for an expression of constants, seen by all actions
+                name = self.need("name")
+                self.need("=")
+                p.lets.append(("let", name, self.expression()))
             elif word == "run":
                 p.stages = [self.stage()]
                 while self.take("then"):
@@ -293,19 +303,48 @@ class Reader:
         if word == "let":
             name = self.need("name")
             self.need("=")
-            return "let", name, self.expression()
+            return "let", name, self.argument()
         if word == "match":
-            source = self.expression()
+            source = None if self.at("{") else self.expression()
             self.need("{")
+            if source is None:
+                return "match", ("lit", True), self.items(lambda: self.arm(True), "}")
             return "match", source, self.items(self.arm, "}")
         if word == "wait":
             return "wait", self.options()
         raise SyntaxFault(f"line {self.now.line}: unknown step {word}")
 
-    def arm(self) -> tuple:
-        schema = self.need("name")
-        guard = self.expression() if self.take("where") else None
+    def pattern(self) -> Any:
+        """A schema's name, `_`, a name to bind, `[]`, `[Schema]`, or fields with
+        a literal, a name to bind or a pattern each."""
+        if self.take("["):
+            if self.take("]"):
+                return ("empty",)
+            each = self.need("name")
+            self.need("]")
+            return "each", each
+        if not self.take("{"):
+            return self.need("name")
+
+        def one():
+            name = self.need("name")
+            self.need(":")
+            if self.at("{", "[") or self.now.kind == "name" and not self.at("true", "false", "null"):
+                return name, self.pattern()
+            return name, self.expression()
+
+        return "fields", self.items(one, "}")
+
+    def arm(self, bare: bool = False) -> tuple:
+        """An arm of a match; of one without a subject (D11, `bare`) a condition or `_`."""
+        if bare:
+            schema, guard = "_", None if self.take("_") else self.expression()
+        else:
+            schema = self.pattern()
+            guard = self.expression() if self.take("where") else None
         self.need("->")
+        if self.take("run"):
+            return schema, guard, ("run", self.need("name"))
         for word in ("continue", "skip"):
             if self.take(word):
                 return schema, guard, (word,)
@@ -333,6 +372,10 @@ class Reader:
             if op == "[":
                 left = ("at", left, self.expression())
                 self.need("]")
+            elif op == "|":
+                # What stands on the left is the first argument of what stands on the right
+                name = self.need("name")
+                left = ("call", name, [left, *(self.items(self.argument, ")") if self.take("(") else [])])
             elif op == "..":
                 left = ("range", left, self.expression(power))
             elif op == "?":
@@ -395,7 +438,15 @@ class Reader:
         return self.path(name)
 
     def argument(self) -> tuple:
-        """A collection may be narrowed where it is handed on."""
+        """A collection may be narrowed where it is handed on; E26: `x => e`, `(a, x) => e`."""
+        if self.now.kind == "name" and self.t[self.i + 1].text == "=>":
+            name = self.need("name")
+            self.need("=>")
+            return "lambda", [name], self.expression()
+        if [x.text if x.kind == "op" else x.kind for x in self.t[self.i : self.i + 6]] == ["(", "name", ",", "name", ")", "=>"]:
+            names = [self.t[self.i + 1].text, self.t[self.i + 3].text]
+            self.i += 6
+            return "lambda", names, self.expression()
         e = self.expression()
         return ("filter", e, self.expression()) if self.take("where") else e
 
@@ -436,7 +487,7 @@ def check_names(p: Program) -> None:
                 for _, _, what in s[2]:
                     if what[0] == "steps":
                         steps(what[1], action)
-                    elif what[0] == "jump" and what[1] not in p.actions:
+                    elif what[0] in ("jump", "run") and what[1] not in p.actions:
                         raise SyntaxFault(f"{action}: unknown action {what[1]}")
 
     for name, block in p.actions.items():
@@ -450,6 +501,33 @@ def check_names(p: Program) -> None:
 Fetch = Callable[[SparkSession, dict], DataFrame]
 
 
+@dataclass
+class _Var:
+    """A variable of a lambda: as Spark has it inside, and a stand-in outside that has its type.
+    Without a name it is the element whose fields a predicate names."""
+
+    name: str | None
+    inner: Column
+    outer: Column
+    shown: bool = False  # whether the stand-in is meant
+
+    @property
+    def column(self) -> Column:
+        return self.outer if self.shown else self.inner
+
+
+class _Within(Semantics):
+    """Rules inside a lambda. What Spark can't resolve there has the type of its stand-in, and
+    what would raise is NULL."""
+
+    def __init__(self, df: DataFrame, known: dict[int, tuple[Column, T.DataType]]):
+        super().__init__(df, lenient=True)
+        self.known = known
+
+    def type_of(self, c) -> T.DataType:
+        return self.known[id(c)][1] if id(c) in self.known else super().type_of(c)
+
+
 class Compiler:
     """Runs a program's actions as DataFrame builders. `sources` are functions that give a
     request's rows; the last response of an action is a column of its frame."""
@@ -457,6 +535,8 @@ class Compiler:
     def __init__(self, program: Program, spark: SparkSession, stores: Catalog | None = None, sources: dict[str, Fetch] | None = None, events: Callable[[SparkSession, str], DataFrame] | None = None):
         self.p, self.spark, self.sources, self.events, self.dry_run = program, spark, sources or {}, events, False
         self.stores = stores or Catalog(spark)
+        self.scope: list[_Var] = []
+        self.known: dict[int, tuple[Column, T.DataType]] = {}
 
     def build(self, **kw) -> M.Mission:
         self.dry_run = kw.get("dry_run", False)
@@ -464,7 +544,7 @@ class Compiler:
             given = self.stores
             self.stores = Catalog(self.spark)
             self.stores.stores = dict(given.stores)
-        start = lambda b: lambda ctx: self.run(b, ctx, self.spark.range(1).drop("id"), None)
+        start = lambda b: lambda ctx: self.run([*self.p.lets, *b], ctx, self.spark.range(1).drop("id"), None)
         actions = [M.Action(n, start(b), mock=start(b)) for n, b in self.p.actions.items()]
         stages = [M.Stage(names, None if cond is None else (lambda m, c=cond: self.constant(c))) for names, cond in self.p.stages]
         return M.Mission(self.p.name, self.spark, actions, stages, self.stores, **kw)
@@ -479,12 +559,18 @@ class Compiler:
 
         def walk(t: T.DataType, c: Column, parts: list[str]) -> Column | None:
             for p in parts:
+                if isinstance(t, T.ArrayType) and isinstance(t.elementType, T.StructType) and p in t.elementType.fieldNames():
+                    t, c = T.ArrayType(t.elementType[p].dataType), c[p]  # R18: a field of all elements
+                    continue
                 if not isinstance(t, T.StructType) or p not in t.fieldNames():
                     return None
                 t, c = t[p].dataType, c[p]
             return c
 
         tries = []
+        for v in reversed(self.scope):
+            if v.name in (None, head):
+                tries.append((Semantics(df).type_of(v.outer), v.column, rest if v.name else [head, *rest]))
         if current and current in df.columns:
             tries.append((df.schema[current].dataType, F.col(current), [head, *rest]))
         if head in df.columns:
@@ -494,8 +580,15 @@ class Compiler:
         return next((c for c in (walk(*t) for t in tries) if c is not None), None)
 
     def expr(self, e: tuple, df: DataFrame, current: str | None) -> Column:
-        s = Semantics(df)
-        go = lambda x: self.expr(x, df, current)
+        within = any(not v.shown for v in self.scope)
+        s = _Within(df, self.known) if within else Semantics(df)
+
+        def go(x):
+            c = self.expr(x, df, current)
+            if within:
+                self.known[id(c)] = (c, self._type(x, df, current))
+            return c
+
         kind = e[0]
         if kind == "lit":
             return F.lit(e[1])
@@ -538,43 +631,64 @@ class Compiler:
         if kind == "range":
             return F.sequence(*[s.number(go(x)).cast("long") for x in e[1:]])
         if kind == "filter":
-            a = go(e[1])
-            elem = df.select("*", a[0].alias("_element"))
-            return F.filter(a, lambda x: F.coalesce(self._over(e[2], elem, x), F.lit(False)))
+            return F.filter(go(e[1]), self._lambda(e[2], e[1], df, current, truth=True))
         if kind == "any":
-            a = go(e[1])
-            if e[2] is None:
-                return s.any_of(a)
-            # the predicate is compiled against a frame that has the element as a column
-            elem = df.select("*", a[0].alias("_element"))
-            return s.any_of(a, lambda x: self._over(e[2], elem, x))
+            return s.any_of(go(e[1]), None if e[2] is None else self._lambda(e[2], e[1], df, current, truth=True))
+        if kind == "call" and e[1] in _EACH and len(e[2]) == 2:
+            name, (source, body) = e[1], e[2]
+            a, f = go(source), self._lambda(body, source, df, current, truth=e[1] not in ("map", "sortBy", "sum"))
+            special = {"sum": lambda: catalog.call("sum", F.transform(a, f)), "count": lambda: catalog.call("count", F.filter(a, f)), "some": lambda: F.exists(a, f), "every": lambda: F.forall(a, f)}
+            return special[name]() if name in special else catalog.call(name, a, f)
+        if kind == "call" and e[1] == "reduce":
+            # (collection, start, (so far, element) => next)
+            a, zero = go(e[2][0]), go(e[2][1])
+            return F.aggregate(a, zero, lambda acc, x: self._body(e[2][2], [acc, x], [self._shown(e[2][1], df, current), self._shown(e[2][0], df, current)[0]], df, current))
         if kind == "call":
             args = [go(x) for x in e[2]]
             if e[1] == "length":
                 return catalog.CORE["length"](args[0], isinstance(s.type_of(args[0]), T.ArrayType))
             if e[1] == "env":
                 return catalog.CORE["env"](e[2][0][1])
+            if e[1] in _PLAIN:
+                plain = [x[1] if x[0] == "lit" else None for x in e[2]]
+                whole = [int(v) if isinstance(v, float) and v.is_integer() else v for v in plain]
+                args = [args[0], *[c if v is None else v for c, v in zip(args[1:], whole[1:], strict=True)]]
             return catalog.call(e[1], *args)
         raise SyntaxFault(f"cannot compile {kind}")
 
-    def _over(self, e: tuple, df: DataFrame, x: Column) -> Column:
-        """An expression over an array's element, for what comparisons of fields need."""
-        if e[0] == "name":
-            t = df.schema["_element"].dataType
-            parts, c = e[1].split("."), x
-            for p in parts:
-                if not isinstance(t, T.StructType) or p not in t.fieldNames():
-                    return self.expr(e, df.drop("_element"), None)
-                t, c = t[p].dataType, c[p]
+    def _shown(self, e: tuple, df: DataFrame, current: str | None) -> Column:
+        """An expression over the stand-ins of all variables, which Spark can resolve."""
+        were = [v.shown for v in self.scope]
+        for v in self.scope:
+            v.shown = True
+        try:
+            return self.expr(e, df, current)
+        finally:
+            for v, was in zip(self.scope, were, strict=True):
+                v.shown = was
+
+    def _type(self, e: tuple, df: DataFrame, current: str | None) -> T.DataType:
+        return Semantics(df).type_of(self._shown(e, df, current))
+
+    def _lambda(self, e: tuple, source: tuple, df: DataFrame, current: str | None, truth: bool) -> Callable[[Column], Column]:
+        """What is asked of each element of `source`: a lambda, or an expression that names the
+        element's fields. As a condition (`truth`) it is never NULL."""
+        return lambda x: self._body(e, [x], [self._shown(source, df, current)[0]], df, current, truth)
+
+    def _body(self, e: tuple, inner: list[Column], outer: list[Column], df: DataFrame, current: str | None, truth: bool = False) -> Column:
+        names, body = (e[1], e[2]) if e[0] == "lambda" else ([None], e)
+        if len(names) != len(inner):
+            raise SyntaxFault(f"a function of {len(inner)} values is wanted")
+        n = len(self.scope)
+        self.scope += [_Var(*v) for v in zip(names, inner, outer, strict=True)]
+        try:
+            c = self.expr(body, df, current)
+            if truth:
+                self.known[id(c)] = (c, self._type(body, df, current))
+                c = _Within(df, self.known).truthy(c)
             return c
-        if e[0] == "lit":
-            return F.lit(e[1])
-        if e[0] == "op":
-            a, b = self._over(e[2], df, x), self._over(e[3], df, x)
-            return {"==": a.eqNullSafe(b), "!=": ~a.eqNullSafe(b), "<": a < b, ">": a > b, "<=": a <= b, ">=": a >= b, "and": a & b, "or": a | b}[e[1]]
-        if e[0] == "not":
-            return ~self._over(e[1], df, x)
-        raise SyntaxFault("a predicate over elements compares fields")
+        finally:
+            del self.scope[n:]
 
     def record(self, fields: dict[str, tuple], df: DataFrame, current: str | None) -> Column:
         base = fields.get("...")
@@ -671,24 +785,66 @@ class Compiler:
             if not isinstance(Semantics(df).type_of(a), T.ArrayType):
                 raise TypeError(f"for {var}: not a collection")
             d = df.withColumn("_item", F.explode(a)).drop("response")
+        d = d.drop(var).withColumnRenamed("_item", var)
         for c in _conjuncts(cond) if cond is not None else []:
-            d = d.filter(Semantics(d).holds(self.expr(c, d, "_item")))
-        self.run(body, ctx, d.drop(var).withColumnRenamed("_item", var), var)
+            d = d.filter(Semantics(d).holds(self.expr(c, d, var)))
+        self.run(body, ctx, d, var)
         return df
 
+    def _takes(self, pattern, t: T.DataType, c: Column, s: Semantics, bound: dict[str, Column]) -> Column:
+        """Whether a value of type t fits a pattern; names it binds go to `bound`.
+        A name is a schema's, or if it begins with a small letter one to bind."""
+        if pattern == "_":
+            return F.lit(True)
+        if isinstance(pattern, str):
+            if pattern in self.p.schemas:
+                return self.p.schemas[pattern].fits(c, t)
+            if pattern[0].islower():
+                bound[pattern] = c
+                return F.lit(True)
+            return F.lit(False)
+        if pattern[0] == "fields":
+            ok = c.isNotNull()
+            for name, sub in pattern[1]:
+                if not isinstance(t, T.StructType) or name not in t.fieldNames():
+                    return F.lit(False)
+                if isinstance(sub, str) or sub[0] in ("fields", "empty", "each"):
+                    ok = ok & c[name].isNotNull() & self._takes(sub, t[name].dataType, c[name], s, bound)
+                else:
+                    ok = ok & s.equal(c[name], self.expr(sub, s.df, None))
+            return F.coalesce(ok, F.lit(False))
+        if not isinstance(t, T.ArrayType):
+            return F.lit(False)
+        if pattern[0] == "empty":
+            return F.coalesce(F.size(c) == 0, F.lit(False))
+        if pattern[1] not in self.p.schemas:
+            return F.lit(False)
+        every = F.forall(c, lambda x: self.p.schemas[pattern[1]].fits(x, t.elementType))
+        return F.coalesce(every, F.lit(False))
+
     def _match(self, step, ctx, df, current):
         _, source, arms = step
         d = self._bind(df, source, current, "_source")
-        arm = None
-        for k, (schema, guard, _) in enumerate(arms):
-            hit = F.lit(True) if schema == "_" else self.p.schemas[schema].matches(d, "_source") if schema in self.p.schemas else F.lit(False)
+        bindings, arm = [], None
+        for k, (pattern, guard, _) in enumerate(arms):
+            bound: dict[str, Column] = {}
+            hit = self._takes(pattern, d.schema["_source"].dataType, F.col("_source"), Semantics(d), bound)
+            if taken := set(bound) & set(df.columns):
+                raise SyntaxFault(f"{taken.pop()} has a value already")
+            bindings.append(bound)
             if guard is not None:
-                hit = hit & Semantics(d).truthy(self.expr(guard, d, "_source"))
+                with_names = d.withColumns(bound) if bound else d
+                inside = None if source == ("lit", True) else "_source"
+                truth = Semantics(with_names).truthy(self.expr(guard, with_names, inside or current))
+                d = with_names.withColumn(f"_hit{k}", hit & truth).drop(*bound)
+                hit = F.col(f"_hit{k}")
             arm = F.when(hit, F.lit(k)) if arm is None else arm.when(hit, F.lit(k))
-        d = d.withColumn("_arm", arm.otherwise(F.raise_error(F.lit("no arm matches")).cast("int")))
+        d = d.withColumn("_arm", arm.otherwise(F.raise_error(F.lit("no arm matches")).cast("int"))).drop(*[f"_hit{k}" for k in range(len(arms))])
         out = []
         for k, (_, _, what) in enumerate(arms):
             part = d.filter(F.col("_arm") == k).drop("_arm")
+            if bindings[k]:
+                part = part.withColumns(bindings[k])
             if what[0] == "abort":
                 part = part.filter(F.raise_error(F.lit(what[1])).cast("boolean"))
                 out.append(part.drop("_source"))
@@ -698,6 +854,11 @@ class Compiler:
             elif what[0] in ("retry", "jump"):
                 if not part.isEmpty():
                     raise M.Retry() if what[0] == "retry" else M.Jump(what[1], what[2])
+            elif what[0] == "run":
+                # Another action, once, if any row asks for it; the rows go on
+                if not part.isEmpty():
+                    self.run(self.p.actions[what[1]], ctx, self.spark.range(1).drop("id"), None)
+                out.append(part.drop("_source"))
             elif what[0] == "continue":
                 out.append(part.drop("_source"))
             elif what[0] == "steps":

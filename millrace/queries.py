@@ -720,3 +720,44 @@ def collection_where(spark, sf_dir):  # R17, E26: narrowed collections, an index
     body = "for o in ord { store { id: o.l_orderkey, n: count(o.lines), big: count(o.lines where .l_quantity > 30), kind: if count(o.lines) > 3 then \"many\" else \"few\", first_line: o.lines[0] } -> out { key: .id } }"
     got = _mission(spark, body, {"ord": o})
     return got.select("id", F.col("n").cast("long").alias("n"), F.col("big").cast("long").alias("big"), "kind", F.col("first_line.l_quantity").alias("first_q"))
+
+
+def _orders_with_lines(spark, sf_dir) -> DataFrame:
+    line = F.struct("l_linenumber", "l_quantity", "l_returnflag")
+    return _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+
+
+@query("""SELECT l_orderkey AS id, round(sum(l_quantity) * 100)::BIGINT AS total, round(coalesce(sum(2 * l_quantity) FILTER (l_returnflag = 'R'), 0) * 100)::BIGINT AS twice,
+          count(*) FILTER (l_quantity > 30) AS big, max(l_quantity) > 45 AS has_huge, min(l_quantity) > 2 AS none_tiny,
+          round(sum(l_quantity * l_linenumber) * 100)::BIGINT AS weighted FROM lineitem GROUP BY 1""")
+def pipe_lambda(spark, sf_dir):  # D1, R18, A9-A11, E26: pipes, lambdas, a field of all elements
+    body = """for o in ord { store { id: o.l_orderkey, total: sum(o.lines.l_quantity), twice: o.lines | filter(.l_returnflag == "R") | sum(.l_quantity * 2),
+        big: o.lines | count(x => x.l_quantity > 30), has_huge: o.lines | some(.l_quantity > 45), none_tiny: o.lines | every(.l_quantity > 2),
+        weighted: reduce(o.lines, 0, (a, x) => a + x.l_quantity * x.l_linenumber) } -> out { key: .id } }"""
+    got = _mission(spark, body, {"ord": _orders_with_lines(spark, sf_dir)})
+    cents = [F.round(F.col(c) * 100).cast("long").alias(c) for c in ("total", "twice", "weighted")]
+    return got.select("id", F.col("big").cast("long").alias("big"), "has_huge", "none_tiny", *cents)
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' AND o_totalprice > 100000 THEN 'filled:' || o_orderkey WHEN o_orderstatus = 'F' THEN 'small' ELSE 'rest' END AS what
+          FROM orders WHERE o_orderstatus <> 'P'""")
+def match_patterns(spark, sf_dir):  # R13: fields with a literal, names that are bound
+    o = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderstatus").alias("state"), F.struct(F.col("o_totalprice").alias("total")).alias("sum"))
+    body = """for o in ord { match o { { state: "F", sum: { total: t }, id: k } where t > 100000 -> { store { id: o.id, what: "filled:" + k } -> out { key: .id } },
+        { state: "F" } -> { store { id: o.id, what: "small" } -> out { key: .id } }, { state: "P" } -> skip, other -> { store { id: other.id, what: "rest" } -> out { key: .id } } } }"""
+    return _mission(spark, body, {"ord": o}).select(F.col("id").cast("long").alias("id"), "what")
+
+
+@query("""SELECT l_orderkey AS id, CASE WHEN sum(l_quantity) > 150 THEN 'large' WHEN bool_and(l_quantity < 40) THEN 'light' ELSE 'mixed' END AS what
+          FROM lineitem GROUP BY 1 HAVING count(*) > 1""")
+def match_guards(spark, sf_dir):  # D11, R15: a match of conditions, names of the mission
+    body = """for o in ord where count(o.lines) > 1 { match { sum(o.lines.l_quantity) > 150 -> { store { id: o.l_orderkey, what: "large" } -> out { key: .id } },
+        o.lines | every(.l_quantity < 40) -> { store { id: o.l_orderkey, what: "light" } -> out { key: .id } }, _ -> { store { id: o.l_orderkey, what: "mixed" } -> out { key: .id } } } }"""
+    return _mission(spark, body, {"ord": _orders_with_lines(spark, sf_dir)}).select("id", "what")
+
+
+@query("""SELECT o_orderkey AS id FROM orders JOIN (SELECT l_orderkey, bool_and(l_returnflag IS NOT NULL) AS whole FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey WHERE whole""")
+def match_every_schema(spark, sf_dir):  # D12: each element is of a schema
+    program = """mission Q { store ord: memory("ord") store out: memory("out") schema Line { l_quantity: number, l_returnflag: string }
+        action A { for o in ord { match o { { lines: [Line] } -> { store { id: o.l_orderkey } -> out { key: .id } }, _ -> skip } } } run A }"""
+    return text.run(program, spark, {"ord": _orders_with_lines(spark, sf_dir)}).stores["out"].scan().select("id")

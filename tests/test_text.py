@@ -121,3 +121,62 @@ def test_new_steps_and_expressions(spark, raw):
 def test_unknown_sources_are_refused(spark, raw):
     with pytest.raises(text.SyntaxFault, match="unknown source"):
         run(spark, 'action A { get "/x" { source: Nope } }', {"raw": raw})
+
+
+@pytest.fixture
+def sales(spark):
+    kind = "id int, lines array<struct<sku: string, price: int, n: int>>, tags array<int>"
+    return spark.createDataFrame([(1, [("a", 10, 2), ("b", None, 1), ("c", 30, 1)], [3, 1]), (2, [], []), (3, None, None)], kind)
+
+
+def _record(spark, sales, fields):
+    got = run(spark, "action A { for r in raw { store { id: r.id, " + fields + " } -> out { key: .id } } }", {"raw": sales})
+    return {r["id"]: r for r in got}
+
+
+def test_pipes_lambdas_and_projections(spark, sales):
+    got = _record(spark, sales, """piped: r.lines | filter(.price > 5) | map({ sku: .sku, twice: .price * 2 }), total: sum(r.lines | filter(.price > 0) | map(.price)),
+        worth: r.lines | filter(x => x.price > 0) | sum(x => x.price * x.n), skus: r.lines.sku | join("-"), folded: reduce(r.tags, 10, (a, x) => a + x),
+        many: r.lines | count(.n == 1), dear: r.lines | some(.price >= 30), cheap: r.lines | every(l => l.price < 20), found: find(r.lines, l => l.sku == "c"),
+        nested: map(r.tags, t => count(r.lines | filter(l => l.n == t))), ordered: r.tags | sortBy(t => t)""")
+    one, two = got[1], got[2]
+    assert one["piped"] == [{"sku": "a", "twice": 20.0}, {"sku": "c", "twice": 60.0}]  # a null price is no match
+    assert (one["total"], one["worth"], one["skus"], one["folded"], one["many"], one["dear"], one["cheap"]) == (40.0, 50.0, "a-b-c", 14.0, 2, True, False)
+    assert one["found"] == {"sku": "c", "price": 30, "n": 1} and one["nested"] == [0, 2] and one["ordered"] == [1, 3]
+    assert two["piped"] == [] and two["worth"] == 0 and two["folded"] == 10 and two["cheap"] is True and two["found"] is None
+    assert got[3]["piped"] is None and got[3]["many"] == 0
+
+
+@pytest.mark.parametrize("src,want", [('split("a.b", ".") | join("-")', "a-b"), ("round(2.456, 2)", 2.46), ('formatDate(parseDate("2024-03-05"), "YYYY")', "2024"), ('"ab" | uppercase', "AB"), ("[1, 2, 3] | map(x => x * 2) | sum", 12.0), ('"abcd" | substring(1, 3)', "bc")])
+def test_pipes_of_values(spark, src, want):
+    one = spark.range(1)
+    c = text.Compiler(text.Program("x"), spark)
+    assert one.select(c.expr(text.Reader(src).expression(), one, None).alias("v")).first()[0] == want
+
+
+def test_let_narrows_a_collection(spark, sales):
+    got = run(spark, "let least = 20 action A { for r in raw { let dear = r.lines where .price > least store { id: r.id, n: count(dear) } -> out { key: .id } } }", {"raw": sales})
+    assert {r["id"]: r["n"] for r in got} == {1: 1, 2: 0, 3: 0}
+
+
+def test_match_patterns(spark):
+    kind = "id int, state string, err struct<code: int>, parts array<struct<sku: string>>"
+    rows = spark.createDataFrame([(1, "bad", (7,), [("a",)]), (2, "ok", (3,), []), (3, None, None, [("b",), (None,)]), (4, "bad", None, None)], kind)
+    body = """schema Part { sku: string } action A { for r in raw {
+        match r { { state: "bad", err: { code: c } } where c > 5 -> { store { id: r.id, what: "code", code: c } -> out { key: .id } },
+                  { parts: [] } -> { store { id: r.id, what: "none", code: 0 } -> out { key: .id } },
+                  { parts: [Part] } -> { store { id: r.id, what: "parts", code: 0 } -> out { key: .id } },
+                  rest where rest.id == 3 -> { store { id: r.id, what: "third", code: 0 } -> out { key: .id } }, _ -> skip } } }"""
+    got = {r["id"]: (r["what"], r["code"]) for r in run(spark, body, {"raw": rows})}
+    assert got == {1: ("code", 7), 2: ("none", 0), 3: ("third", 0)}
+    with pytest.raises(text.SyntaxFault, match="has a value already"):
+        run(spark, "action A { for r in raw { match r { r -> skip } } }", {"raw": rows})
+
+
+def test_match_without_subject_and_run_arm(spark, raw):
+    body = """action B { store { id: "ran" } -> other { key: .id } } action A { for r in raw {
+        match { r.amount > 150 -> { store { id: r.id } -> out { key: .id } }, r.amount < 10 -> run B, _ -> skip } } }"""
+    m = text.run(HEAD + body + " run A }", spark, {"raw": raw})
+    assert [r.id for r in m.stores["out"].scan().collect()] == ["2"] and [r.id for r in m.stores["other"].scan().collect()] == ["ran"]
+    with pytest.raises(text.SyntaxFault, match="unknown action"):
+        text.parse(HEAD + "action A { for r in raw { match r { _ -> run Nope } } } run A }")
