@@ -95,6 +95,7 @@ class Mission:
         self.dry_run, self.emit, self.concurrency = dry_run, on_event or (lambda kind, info: None), concurrency
         self.state: list[dict] = []
         self.execution_id = uuid.uuid4().hex
+        self.marks = None  # the checkpoints of requests, once it has run
         self.validate(len(actions))
 
     def validate(self, n: int) -> None:

@@ -19,9 +19,11 @@ turns into an equi-join, one over a field is an explode. A match runs each arm o
 from __future__ import annotations
 
 import json
+import operator
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from datetime import UTC, datetime
 from typing import Any
 
 import pandas as pd
@@ -34,6 +36,8 @@ from ..operators.schema import Field, Schema
 from ..operators.stores import Catalog, Store
 from ..sources.openapi import mock_rows, mock_value
 from ..sources.paging import Cursor, Endpoint, Offset, Page
+from ..sources.resilience import Backoff
+from ..sources.sync import Watermarks, checkpoint_key, format_since, parse_since
 from . import mission as M
 from . import schedule as S
 
@@ -241,12 +245,24 @@ class Reader:
             self.take(":")
             if self.at("{"):
                 out[key] = self.options()
+            elif key == "since":
+                out[key] = self.since()
             else:
                 out[key] = self.expression()
 
         self.items(one, "}")
         return out
 
+    def since(self) -> tuple:
+        """lastSync, lastSync("key") { param, format, updateFrom }, or an expression."""
+        if not self.take("lastSync"):
+            return "value", self.expression()
+        key = None
+        if self.take("("):
+            key = self.string()
+            self.need(")")
+        return "last", key, self.options() if self.at("{") else {}
+
     # --- steps --------------------------------------------------------------------------
     def block(self) -> list[tuple]:
         self.need("{")
@@ -265,9 +281,11 @@ class Reader:
                 target = self.need("name")
                 self.need(".")
                 target += "." + self.need("name")
-            else:
-                target = self.expression()
-            return "fetch", word.lower(), target, self.options() if self.at("{") else {}
+                return "fetch", word.lower(), target, self.options() if self.at("{") else {}
+            # a name before the path is the source's
+            source = {"source": ("name", self.need("name"))} if self.now.kind == "name" and self.t[self.i + 1].kind == "str" else {}
+            target = self.expression()
+            return "fetch", word.lower(), target, source | (self.options() if self.at("{") else {})
         if word == "for":
             var = self.need("name")
             self.need("in")
@@ -532,9 +550,10 @@ class Compiler:
     """Runs a program's actions as DataFrame builders. `sources` are functions that give a
     request's rows; the last response of an action is a column of its frame."""
 
-    def __init__(self, program: Program, spark: SparkSession, stores: Catalog | None = None, sources: dict[str, Fetch] | None = None, events: Callable[[SparkSession, str], DataFrame] | None = None):
+    def __init__(self, program: Program, spark: SparkSession, stores: Catalog | None = None, sources: dict[str, Fetch] | None = None, events: Callable[[SparkSession, str], DataFrame] | None = None, marks: Watermarks | None = None):
         self.p, self.spark, self.sources, self.events, self.dry_run = program, spark, sources or {}, events, False
         self.stores = stores or Catalog(spark)
+        self.marks = marks or Watermarks(spark)
         self.scope: list[_Var] = []
         self.known: dict[int, tuple[Column, T.DataType]] = {}
 
@@ -897,8 +916,11 @@ class Compiler:
         name = opts["source"][1] if "source" in opts else target.split(".")[0] if verb == "call" else next(iter(self.p.sources), None)
         if name not in self.sources:
             raise LookupError(f"no reader is given for source {name}")
+        key, since = self._since(name, target, opts)
         if isinstance(self.sources[name], Endpoint):
-            return self._ask(self.sources[name], verb, target, opts, df, current)
+            out = self._ask(self.sources[name], verb, target, opts, since, df, current)
+            self._synced(key, opts, out)
+            return out
         path = target if verb == "call" else target[1]
         if self.dry_run:
             # A reader says by `sample` what a dry run sees; without it nothing is asked
@@ -907,11 +929,49 @@ class Compiler:
                 return df.limit(0).withColumn("response", F.struct())
             got = mock_rows(self.spark, sample, 1)
             return got.select(F.struct(*[F.col(c) for c in got.columns]).alias("response"))
-        got = self.sources[name](self.spark, {"verb": verb, "path": path, "options": opts, "frame": df})
-        return got.select(F.struct(*[F.col(c) for c in got.columns]).alias("response"))
-
+        got = self.sources[name](self.spark, {"verb": verb, "path": path, "options": opts, "frame": df, "params": since})
+        out = got.select(F.struct(*[F.col(c) for c in got.columns]).alias("response"))
+        self._synced(key, opts, out)
+        return out
 
-    def _ask(self, source: Endpoint, verb: str, target, opts: dict, df: DataFrame, current: str | None) -> DataFrame:
+    def _since(self, source: str, target, opts: dict) -> tuple[str | None, dict[str, str]]:
+        """The key of the request's checkpoint and the parameter that asks for what is later."""
+        if "since" not in opts:
+            return None, {}
+        kind, value, *more = opts["since"]
+        if kind == "value":
+            one = self.spark.range(1)
+            got = one.select(Semantics(one).string(self.expr(value, one, None))).first()[0]
+            return None, {self._text(opts.get("sinceParam"), "since"): got}
+        o = more[0]
+        key = value or self._text(opts.get("syncKey"), checkpoint_key(source, target if isinstance(target, str) else str(target[1])))
+        param = self._text(o.get("param") or opts.get("sinceParam"), "since")
+        wanted = self._text(o.get("format") or opts.get("sinceFormat"), "iso")
+        kinds = {"ISO": "iso", "YYYY-MM-DD": "date-only", "timestamp": "unix"}
+        mark = format_since(F.lit(self.marks.last(key)).cast("timestamp"), kinds.get(wanted, wanted))
+        return key, {param: self.spark.range(1).select(mark).first()[0]}
+
+    @staticmethod
+    def _text(e: tuple | None, default: str) -> str:
+        return default if e is None else str(e[1])
+
+    def _synced(self, key: str | None, opts: dict, out: DataFrame) -> None:
+        """The request's new checkpoint: the latest time its answers name (updateFrom), else
+        that of planning, which is before anything is asked, so that nothing is lost between."""
+        if key is None or self.dry_run:
+            return
+        path = opts["since"][2].get("updateFrom")
+        if path is None:
+            at = self.spark.range(1).select(F.lit(datetime.now(UTC)).cast("timestamp").alias("_at"))
+        else:
+            c = self.name("response." + self._text(path, ""), out, None)
+            if c is None:
+                raise LookupError(f"answers have no {path[1]}")
+            c = F.array_max(F.transform(c, lambda x: parse_since(x.cast("string")))) if isinstance(Semantics(out).type_of(c), T.ArrayType) else parse_since(c.cast("string"))
+            at = out.select(c.alias("_at"))
+        self.marks = self.marks.advance(key, at, "_at", self.p.name)
+
+    def _ask(self, source: Endpoint, verb: str, target, opts: dict, since: dict[str, str], df: DataFrame, current: str | None) -> DataFrame:
         """A request for each row of df, with its own path and parameters; requests run
         where the rows are, a batch of rows at a time."""
         paging = None
@@ -931,8 +991,11 @@ class Compiler:
                 if got is not None:
                     scope[name] = got
             path = self._path(target[1], d, scope)
-            params = F.to_json(self.record(opts["params"], d, current)) if opts.get("params") else F.lit(None).cast("string")
-            ask = source.ask(verb, paging)
+            fields = [self.expr(v, d, current).alias(k) for k, v in opts.get("params", {}).items()]
+            fields += [F.lit(v).alias(k) for k, v in since.items()]
+            params = F.to_json(F.struct(*fields)) if fields else F.lit(None).cast("string")
+            until = page_condition(opts["until"]) if "until" in opts else None
+            ask = source.with_retry(_backoff(opts["retry"]) if "retry" in opts else None).ask(verb, paging, until)
 
             @F.pandas_udf("string")
             def answers(paths: pd.Series, given: pd.Series) -> pd.Series:
@@ -948,6 +1011,47 @@ class Compiler:
         return F.concat(*parts)
 
 
+def _backoff(o: dict[str, tuple]) -> Backoff:
+    """H2 as a request's `retry` says it."""
+    names = {"maxAttempts": "attempts", "backoff": "kind", "initialDelay": "initial", "maxDelay": "most"}
+    return Backoff(**{names[k]: v[1] if k == "backoff" else int(v[1]) for k, v in o.items()})
+
+
+def page_condition(e: tuple) -> Callable[[object], bool]:
+    """A condition of one page of JSON, asked where the page is read. What a page doesn't
+    have is null; null is neither more nor less than anything."""
+
+    def value(e: tuple, page: object) -> Any:
+        kind = e[0]
+        if kind == "lit":
+            return e[1]
+        if kind == "name":
+            parts = e[1].split(".")
+            for p in parts[1:] if parts[0] == "response" else parts:
+                page = page.get(p) if isinstance(page, dict) else None
+            return page
+        if kind == "not":
+            return not value(e[1], page)
+        if kind == "call" and e[1] in ("length", "count"):
+            got = value(e[2][0], page)
+            return len(got) if isinstance(got, (list, str)) else 0
+        if kind == "op":
+            a, b = value(e[2], page), value(e[3], page)
+            if e[1] in ("and", "or"):
+                return bool(a) and bool(b) if e[1] == "and" else bool(a) or bool(b)
+            if e[1] in ("==", "!="):
+                alike = isinstance(a, bool) == isinstance(b, bool) and a == b
+                return alike == (e[1] == "==")
+            if e[1] in ("<", ">", "<=", ">="):
+                if a is None or b is None:
+                    return False
+                return {"<": operator.lt, ">": operator.gt, "<=": operator.le, ">=": operator.ge}[e[1]](a, b)
+        raise SyntaxFault(f"a page's condition has no {e[1] if kind in ('op', 'call') else kind}")
+
+    value(e, {})  # a fault is told now, not on an executor
+    return lambda page: bool(value(e, page))
+
+
 def _conjuncts(e: tuple) -> list[tuple]:
     """The parts of a condition that must all hold."""
     return [*_conjuncts(e[2]), *_conjuncts(e[3])] if e[:2] == ("op", "and") else [e]
@@ -977,7 +1081,9 @@ def read_folder(files: dict[str, str]) -> Program:
     return p
 
 
-def run(text: str, spark: SparkSession, stores: dict[str, DataFrame] | None = None, sources: dict[str, Fetch] | None = None, events: Callable[[SparkSession, str], DataFrame] | None = None, **kw) -> M.Mission:
-    """Parse, compile and run a mission; its stores are in the result."""
-    c = Compiler(parse(text), spark, Catalog(spark, stores), sources, events)
-    return c.build(**kw).run()
+def run(text: str, spark: SparkSession, stores: dict[str, DataFrame] | None = None, sources: dict[str, Fetch] | None = None, events: Callable[[SparkSession, str], DataFrame] | None = None, marks: Watermarks | None = None, **kw) -> M.Mission:
+    """Parse, compile and run a mission; its stores and checkpoints are in the result."""
+    c = Compiler(parse(text), spark, Catalog(spark, stores), sources, events, marks)
+    m = c.build(**kw).run()
+    m.marks = c.marks
+    return m

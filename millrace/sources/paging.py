@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +15,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from ..functions.numbering import number_rows
+from .resilience import Backoff
 
 #: Pages that one scan reads at most, unless it says otherwise; more are an error, never lost.
 MAX_PAGES = 100
@@ -44,15 +45,20 @@ class Endpoint:
     record: str
     sample: dict | None = None
 
-    def ask(self, verb: str, paging: Offset | Page | Cursor | None) -> Callable[[str, str | None], str | None]:
-        """JSON of the answer to (path, params as JSON); of a paginated one all rows."""
+    def with_retry(self, backoff: Backoff | None) -> Endpoint:
+        """Asked with another backoff, if the client has one."""
+        return self if backoff is None or not hasattr(self.client, "backoff") else replace(self, client=replace(self.client, backoff=backoff))
+
+    def ask(self, verb: str, paging: Offset | Page | Cursor | None, until: Callable[[object], bool] | None = None) -> Callable[[str, str | None], str | None]:
+        """JSON of the answer to (path, params as JSON); of a paginated one all rows, up to the
+        page for which `until` holds."""
 
         def one(path: str, params: str | None) -> str | None:
             given = json.loads(params) if params else {}
             if paging is None:
                 got = self.client.request(verb, path, given)
             else:
-                got = list(read_pages(lambda q: self.client.request(verb, path, q), paging, params=given))
+                got = list(read_pages(lambda q: self.client.request(verb, path, q), paging, until, params=given))
             return None if got is None else json.dumps(got)
 
         return one

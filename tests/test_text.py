@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -180,3 +182,42 @@ def test_match_without_subject_and_run_arm(spark, raw):
     assert [r.id for r in m.stores["out"].scan().collect()] == ["2"] and [r.id for r in m.stores["other"].scan().collect()] == ["ran"]
     with pytest.raises(text.SyntaxFault, match="unknown action"):
         text.parse(HEAD + "action A { for r in raw { match r { _ -> run Nope } } } run A }")
+
+
+class _Api:
+    """Pages of two; the third says that it is empty of interest."""
+
+    backoff = None
+
+    def request(self, verb, path, params=None, body=None):
+        n = int(params["page"])
+        return {"items": [{"id": 10 * n + k, "at": f"2024-05-0{n}T00:00:00Z", "asked": json.dumps(params)} for k in range(2)], "meta": {"stop": n == 3}}
+
+
+def test_until_since_and_checkpoints(spark):
+    from millrace.sources.paging import Endpoint
+
+    body = 'source Items { base: "http://y" } action A { get Items "/items" { paginate: page(page, 2), until: response.meta.stop == true, since: lastSync("k") { param: "after", format: "date-only", updateFrom: "at" } } store response -> out { key: .id } } run A }'
+    api = {"Items": Endpoint(_Api(), "id long, at string, asked string")}
+    m = text.run(HEAD + body, spark, sources=api)
+    rows = {r.id: json.loads(r.asked) for r in m.stores["out"].scan().collect()}
+    assert sorted(rows) == [10, 11, 20, 21] and rows[10] == {"after": "1970-01-01", "page": 1}
+    assert m.marks.last("k").startswith("2024-05-02")
+    again = text.run(HEAD + body, spark, sources=api, marks=m.marks)
+    assert json.loads(again.stores["out"].scan().first().asked)["after"] == "2024-05-02"
+
+
+@pytest.mark.parametrize("src,page,want", [("length(response.items) == 0", {"items": []}, True), ("length(response.items) == 0", {"items": [1]}, False), ("response.next == null", {}, True), ("response.n > 3 or not response.more", {"n": 2, "more": True}, False), ("response.n > 3", {}, False), (".ok == 1", {"ok": True}, False)])
+def test_page_conditions(src, page, want):
+    assert text.page_condition(text.Reader(src).expression())(page) is want
+    with pytest.raises(text.SyntaxFault):
+        text.page_condition(text.Reader("1 + 2").expression())
+
+
+def test_retry_sets_the_backoff():
+    from millrace.sources.paging import Endpoint
+    from millrace.sources.resilience import Client
+
+    o = text.Reader("{ maxAttempts: 5, backoff: linear, initialDelay: 10, maxDelay: 100 }").options()
+    b = Endpoint(Client("http://x"), "a int").with_retry(text._backoff(o)).client.backoff
+    assert (b.attempts, b.kind, b.initial, b.most) == (5, "linear", 10, 100)
