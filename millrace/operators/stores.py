@@ -52,6 +52,10 @@ class Store:
         """All records in the order of their writes."""
         return self._some().orderBy(SEQ).drop(KEY, SEQ)
 
+    def numbered(self, place: str) -> DataFrame:
+        """All records, with their place in the order of writes as a column."""
+        return self._some().withColumnRenamed(SEQ, place).drop(KEY)
+
     def get(self, key) -> DataFrame:
         """K8: the record of a key: one row or none. A filter on the key reaches the scan."""
         return self._some().filter(F.col(KEY) == str(key)).drop(KEY, SEQ)
@@ -81,9 +85,14 @@ class Store:
         return df.agg(F.count(F.lit(1)).alias("n"))
 
     # --- writing ------------------------------------------------------------------------
-    def set(self, df: DataFrame, key: Column | None = None, seq: Column | str | None = None, partial: bool | None = None) -> Store:
-        """Each key's whole record is replaced by its last write."""
+    def set(self, df: DataFrame, key: Column | None = None, seq: Column | str | None = None, partial: bool | None = None, among: list[str] | None = None) -> Store:
+        """Each key's whole record is replaced by its last write. `among` names
+        columns that order the writes given here, before `seq`; they aren't stored."""
         new = self._incoming(df, key, seq, partial)
+        if among:
+            # grouped by the key as what follows is, so that this costs no shuffle of its own
+            rest = [F.col(f"`{c}`") for c in new.columns if c != KEY and c not in among]
+            new = new.groupBy(KEY).agg(F.max_by(F.struct(*rest), F.struct(*among, SEQ)).alias("_r")).select(KEY, "_r.*")
         if self.table is None:
             return Store(self.name, _last(new))
         both = self.table.withColumn("_age", F.lit(0)).unionByName(new.withColumn("_age", F.lit(1)), allowMissingColumns=True)

@@ -87,6 +87,8 @@ _BINDS = {"|": 1, "?": 1, "or": 2, "??": 2, "and": 3, "==": 5, "!=": 5, "<": 5,
 _EACH = ("filter", "map", "find", "findIndex", "sortBy", "sum", "count", "some", "every")
 # Functions that want a literal after the first argument as it is.
 _PLAIN = ("join", "split", "substring", "round", "pick", "omit", "formatDate", "parseDate", "parseDecimal", "weighted_sum")
+# Columns that hold the places of the loops' elements.
+_PLACE = "_place"
 _VERBS = ("get", "post", "put", "patch", "delete", "GET", "POST", "PUT", "PATCH", "DELETE")
 
 
@@ -787,23 +789,27 @@ class Compiler:
     def _put(self, name: str, d: DataFrame, key: Column | None, partial: bool | None = None, upsert: bool = False) -> None:
         """Writes the records in _source; later steps see them."""
         given = [] if key is None else [key.alias("_given")]
-        rows = d.select("_source.*", F.monotonically_increasing_id().alias("_order"), *given)
+        places = [] if upsert or not given else [c for c in d.columns if c.startswith(_PLACE)]
+        rows = d.select("_source.*", F.monotonically_increasing_id().alias("_order"), *given, *places)
         store: Store = self.stores[name]
-        got = (store.upsert if upsert else store.set)(rows, F.col("_given") if given else None, "_order", partial)
+        k = F.col("_given") if given else None
+        got = store.upsert(rows, k, "_order", partial) if upsert else store.set(rows, k, "_order", partial, places)
         self.stores.stores[name] = Store(name, got.table.drop("_given", "_order"))
 
     def _for(self, step, ctx, df, current):
         _, var, source, cond, body = step
         name = source[1] if source[0] == "name" else None
+        # where an element stands in its collection: of writes to one key the last loop's last stays
+        place = f"{_PLACE}{sum(c.startswith(_PLACE) for c in df.columns)}"
         if name in self.p.stores or (name in self.stores.stores):
-            rows = self.stores[name].scan()
-            rows = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("_item"))
+            rows = self.stores[name].numbered(place)
+            rows = rows.select(place, F.struct(*[F.col(f"`{c}`") for c in rows.columns if c != place]).alias("_item"))
             d = df.drop("response").crossJoin(rows) if df.columns else rows
         else:
             a = self.expr(source, df, current)
             if not isinstance(Semantics(df).type_of(a), T.ArrayType):
                 raise TypeError(f"for {var}: not a collection")
-            d = df.withColumn("_item", F.explode(a)).drop("response")
+            d = df.select("*", F.posexplode(a).alias(place, "_item")).drop("response")
         d = d.drop(var).withColumnRenamed("_item", var)
         for c in _conjuncts(cond) if cond is not None else []:
             d = d.filter(Semantics(d).holds(self.expr(c, d, var)))

@@ -221,3 +221,15 @@ def test_retry_sets_the_backoff():
     o = text.Reader("{ maxAttempts: 5, backoff: linear, initialDelay: 10, maxDelay: 100 }").options()
     b = Endpoint(Client("http://x"), "a int").with_retry(text._backoff(o)).client.backoff
     assert (b.attempts, b.kind, b.initial, b.most) == (5, "linear", 10, 100)
+
+
+def test_last_write_is_the_loops_last(spark):
+    a = spark.range(400, numPartitions=1).selectExpr("id", "id % 7 AS k")
+    b = spark.range(30, numPartitions=1).selectExpr("id % 7 AS k", "id AS n")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = run(spark, "action A { for x in raw { for y in other where .k == x.k { store { k: y.k, id: x.id, n: y.n } -> out { key: .k } } } }", {"raw": a, "other": b})
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert sorted((r["k"], r["id"], r["n"]) for r in got) == sorted((k, max(i for i in range(400) if i % 7 == k), max(i for i in range(30) if i % 7 == k)) for k in range(7))
