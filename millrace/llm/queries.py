@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, forest, langid, mixing, quality, rules, sharding, suffix, warc
+from . import bpe, codes, fingerprints, forest, langid, mixing, negatives, quality, rules, sharding, simhash, suffix, warc
 
 
 def _docs(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
@@ -76,7 +76,54 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.encode(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), parts=4, entries=256, rounds=4, scale=1024)
+
+
+def op12_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_docs(spark, sf_dir, "doc_id", "text"), width=3, radius=3)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v, label = spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("label").cast("long")
+    v = v.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label))
+    return negatives.mine(v, anchors=F.col("vec_id") % 100 == 0, positives=5, negatives=5, percent=80, scale=256)
+
+
+def _codes_sql(rounds: int = 4) -> str:
+    """Each round's assignment and means as two tables; distance and number in one integer."""
+    out = [
+        """v AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)) AS x FROM embeddings
+            WHERE embedding IS NOT NULL AND coalesce(list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))), true)),
+        p AS (SELECT vec_id, label, k AS part, x[16 * k + 1 : 16 * k + 16] AS x FROM v, range(4) r(k)),
+        c0 AS (SELECT part, (row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1)::BIGINT AS entry, x AS c FROM p QUALIFY entry < 256)"""
+    ]
+    for r in range(rounds + 1):
+        out.append(f"a{r} AS MATERIALIZED (SELECT vec_id, label, p.part, any_value(x) AS x, min((list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c))::BIGINT * 256 + entry) AS best FROM p JOIN c{r} c ON c.part = p.part GROUP BY ALL)")
+        if r < rounds:
+            out.append(f"""m{r} AS (SELECT part, best % 256 AS entry, list(s ORDER BY i) AS c FROM (
+                SELECT part, best, i, floor(sum(x[i]) / count(*)) AS s FROM (SELECT part, best % 256 AS best, x FROM a{r}), range(1, 17) t(i) GROUP BY ALL) GROUP BY ALL),
+            c{r + 1} AS MATERIALIZED (SELECT o.part, o.entry, coalesce(m.c, o.c) AS c FROM c{r} o LEFT JOIN m{r} m USING (part, entry))""")
+    return f"""WITH {", ".join(out)},
+        d AS (SELECT sha256(string_agg(array_to_string(list_transform(c, lambda x: x::BIGINT), ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c{rounds}),
+        e AS (SELECT vec_id, label, string_agg(printf('%02x', best % 256), '' ORDER BY part) AS code, sum(best // 256)::BIGINT AS error FROM a{rounds} GROUP BY ALL)
+        SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM e, d"""
+
+
 _ORACLES = {
+    "op11_vector_codes": _codes_sql(),
+    "op13_hard_negatives": """
+        WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x
+            FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+              AND coalesce(list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))), true)),
+        s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.x, b.x)::BIGINT AS score
+            FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+        p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+        SELECT p.anchor_id, p.id AS positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY s.score DESC, s.id)::INT AS rank,
+               s.id AS negative_id, p.score AS positive_score, s.score AS negative_score
+        FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score
+        QUALIFY rank <= 5
+    """,
     "op9_minhash_near_dedup": r"""
         WITH RECURSIVE w AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),

@@ -8,7 +8,7 @@ from millrace.llm import queries
 def test_query_against_sql(spark, name):
     d = "/root/testdata/sf0.01"
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
     df = queries.queries()[name](spark, d)
     want = con.execute(queries.oracle_sql()[name])
