@@ -18,25 +18,29 @@ turns into an equi-join, one over a field is an explode. A match runs each arm o
 
 from __future__ import annotations
 
+import itertools
 import json
 import operator
 import re
+import threading
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, is_dataclass
 from datetime import UTC, datetime
 from typing import Any
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import Semantics, catalog
 from ..operators.schema import Field, Schema
-from ..operators.stores import Catalog, Store
+from ..operators.stores import KEY, Catalog, Store
 from ..sources.openapi import mock_rows, mock_value
 from ..sources.paging import Cursor, Endpoint, Offset, Page
+from ..sources.requests import ANSWER, BODY, HEADERS, PARAMS, PATH, RequestLog, request_key
+from ..sources.requests import KEY as KEY_
 from ..sources.resilience import Backoff
+from ..sources.shared import settle
 from ..sources.sync import Watermarks, checkpoint_key, format_since, parse_since
 from . import mission as M
 from . import schedule as S
@@ -87,6 +91,10 @@ _BINDS = {"|": 1, "?": 1, "or": 2, "??": 2, "and": 3, "==": 5, "!=": 5, "<": 5,
 _EACH = ("filter", "map", "find", "findIndex", "sortBy", "sum", "count", "some", "every")
 # Functions that want a literal after the first argument as it is.
 _PLAIN = ("join", "split", "substring", "round", "pick", "omit", "formatDate", "parseDate", "parseDecimal", "weighted_sum")
+# Functions over a store or a part of one.
+_OVER = ("count", "length", "sum", "min", "max", "avg", "some", "exists")
+# A store's record as a whole, among its fields.
+_RECORD = "_record"
 # Columns that hold the places of the loops' elements.
 _PLACE = "_place"
 _VERBS = ("get", "post", "put", "patch", "delete", "GET", "POST", "PUT", "PATCH", "DELETE")
@@ -243,9 +251,9 @@ class Reader:
         out: dict[str, Any] = {}
 
         def one():
-            key = self.need("name")
+            key = self.string() if self.now.kind == "str" else self.need("name")
             self.take(":")
-            if self.at("{"):
+            if self.at("{") and key != "body":
                 out[key] = self.options()
             elif key == "since":
                 out[key] = self.since()
@@ -293,7 +301,7 @@ class Reader:
             self.need("in")
             source = self.expression()
             cond = self.expression() if self.take("where") else None
-            return "for", var, source, cond, self.block()
+            return "for", var, *_narrowed(source, cond, var), self.block()
         if word == "map":
             source = self.expression()
             self.need("->")
@@ -392,6 +400,9 @@ class Reader:
             if op == "[":
                 left = ("at", left, self.expression())
                 self.need("]")
+                if self.at(".") and self.t[self.i + 1].kind == "name":
+                    self.i += 1
+                    left = ("field", left, self.path(self.need("name"))[1])
             elif op == "|":
                 # What stands on the left is the first argument of what stands on the right
                 name = self.need("name")
@@ -423,8 +434,14 @@ class Reader:
             return "lit", self.string()
         if self.take("("):
             e = self.expression()
+            if self.take("where"):  # R17
+                e = ("filter", e, self.expression())
             self.need(")")
             return e
+        if self.take("^"):
+            # A name of the scope around this one
+            self.take(".")
+            return "outer", self.path(self.need("name"))
         if self.take("["):
             return "array", self.items(self.expression, "]")
         if self.take("if"):
@@ -477,6 +494,26 @@ class Reader:
         return "name", name
 
 
+def _renamed(e: Any, name: str, to: str) -> Any:
+    """An expression with one variable's name replaced."""
+    if isinstance(e, tuple) and e[:1] == ("name",):
+        head, *rest = e[1].split(".")
+        return "name", ".".join([to, *rest]) if head == name else e[1]
+    if isinstance(e, (tuple, list)):
+        return type(e)(_renamed(x, name, to) for x in e)
+    return {k: _renamed(v, name, to) for k, v in e.items()} if isinstance(e, dict) else e
+
+
+def _narrowed(source: tuple, cond: tuple | None, var: str) -> tuple[tuple, tuple | None]:
+    """Of a loop over `(s where p)` or `s | filter(p)` the collection and all conditions."""
+    while source[0] == "filter" or source[:2] == ("call", "filter"):
+        _, inner, p = source if source[0] == "filter" else ("filter", *source[2])
+        if p[0] == "lambda":
+            p = _renamed(p[2], p[1][0], var)
+        source, cond = inner, p if cond is None else ("op", "and", p, cond)
+    return source, cond
+
+
 def parse(text: str) -> Program:
     r = Reader(text)
     p = r.mission()
@@ -552,26 +589,60 @@ class Compiler:
     """Runs a program's actions as DataFrame builders. `sources` are functions that give a
     request's rows; the last response of an action is a column of its frame."""
 
-    def __init__(self, program: Program, spark: SparkSession, stores: Catalog | None = None, sources: dict[str, Fetch] | None = None, events: Callable[[SparkSession, str], DataFrame] | None = None, marks: Watermarks | None = None):
+    def __init__(self, program: Program, spark: SparkSession, stores: Catalog | None = None, sources: dict[str, Fetch] | None = None, events: Callable[[SparkSession, str], DataFrame] | None = None, marks: Watermarks | None = None, log: RequestLog | None = None, auth: dict[str, Any] | None = None):
         self.p, self.spark, self.sources, self.events, self.dry_run = program, spark, sources or {}, events, False
+        self._log, self.auth, self._steps, self._joined = log, auth or {}, itertools.count(), itertools.count()
+        self._lock = threading.Lock()
+        self._here = threading.local()  # what the actions of a parallel stage don't share
         self.stores = stores or Catalog(spark)
         self.marks = marks or Watermarks(spark)
-        self.scope: list[_Var] = []
         self.known: dict[int, tuple[Column, T.DataType]] = {}
 
+    def _mine(self, name: str, start: Callable[[], Any]) -> Any:
+        if not hasattr(self._here, name):
+            setattr(self._here, name, start())
+        return getattr(self._here, name)
+
+    @property
+    def scope(self) -> list[_Var]:
+        """Variables of the lambdas around an expression."""
+        return self._mine("scope", list)
+
+    @property
+    def around(self) -> list[str | None]:
+        """What loops have as their current element, from the outermost on."""
+        return self._mine("around", list)
+
+    @property
+    def views(self) -> dict[str, tuple]:
+        """Names that `let` gave to a store or a part of one."""
+        return self._mine("views", dict)
+
+    @property
+    def log(self) -> RequestLog:
+        with self._lock:
+            if self._log is None:
+                self._log = RequestLog(self.spark)
+            return self._log
+
     def build(self, **kw) -> M.Mission:
         self.dry_run = kw.get("dry_run", False)
         if self.dry_run:  # what a dry run writes is seen by its later steps and by nobody else
             given = self.stores
             self.stores = Catalog(self.spark)
             self.stores.stores = dict(given.stores)
-        start = lambda b: lambda ctx: self.run([*self.p.lets, *b], ctx, self.spark.range(1).drop("id"), None)
+        start = lambda b: lambda ctx: self._started(b, ctx)
         actions = [M.Action(n, start(b), mock=start(b)) for n, b in self.p.actions.items()]
         stages = [M.Stage(names, None if cond is None else (lambda m, c=cond: self.constant(c))) for names, cond in self.p.stages]
         return M.Mission(self.p.name, self.spark, actions, stages, self.stores, **kw)
 
+    def _started(self, block: list[tuple], ctx: M.Context) -> DataFrame:
+        self.views.clear()
+        return self.run([*self.p.lets, *block], ctx, self.spark.range(1).drop("id"), None)
+
     def constant(self, e: tuple) -> bool:
         one = self.spark.range(1)
+        e, one, _ = self.decorrelated(e, one, None)
         return bool(one.select(Semantics(one).truthy(self.expr(e, one, None))).first()[0])
 
     # --- expressions --------------------------------------------------------------------
@@ -615,7 +686,28 @@ class Compiler:
             return F.lit(e[1])
         if kind == "name":
             c = self.name(e[1], df, current)
+            if c is None and not self._mine("lenient", int):
+                raise SyntaxFault(f"nothing is named {e[1]}")
             return F.lit(None) if c is None else c
+        if kind == "column":
+            return F.col(e[1])
+        if kind == "field":
+            c = go(e[1])
+            for p in e[2].split("."):
+                t = s.type_of(c)
+                if not isinstance(t, T.VariantType) and p not in getattr(t, "names", ()):
+                    raise SyntaxFault(f"nothing is named {e[2]}")
+                c = c[p]
+            return c
+        if kind == "outer":
+            held = [self.scope.pop()] if self.scope else []
+            try:
+                c = self.name(e[1][1], df, current if held else self.around[-1] if self.around else None)
+            finally:
+                self.scope.extend(held)
+            if c is None:
+                raise SyntaxFault(f"nothing around is named {e[1][1]}")
+            return c
         if kind == "op":
             op, a, b = e[1], go(e[2]), go(e[3])
             simple = {"+": s.add, "-": s.subtract, "*": s.multiply, "/": s.divide, "%": s.modulo, "and": s.both, "or": s.either, "??": s.default, "==": s.equal}
@@ -701,7 +793,7 @@ class Compiler:
         if len(names) != len(inner):
             raise SyntaxFault(f"a function of {len(inner)} values is wanted")
         n = len(self.scope)
-        self.scope += [_Var(*v) for v in zip(names, inner, outer, strict=True)]
+        self.scope.extend(_Var(*v) for v in zip(names, inner, outer, strict=True))
         try:
             c = self.expr(body, df, current)
             if truth:
@@ -728,42 +820,53 @@ class Compiler:
         """df with a struct column of what `source` names."""
         if source == ("name", into) and into in df.columns:
             return df
-        return df.withColumn(into, self.expr(source, df, current))
+        e, d, extra = self.decorrelated(source, df, current)
+        return d.withColumn(into, self.expr(e, d, current)).drop(*extra)
 
     def _let(self, step, ctx, df, current):
-        return df.withColumn(step[1], self.expr(step[2], df, current))
+        if self._collection(step[2], df, current):
+            self.views[step[1]] = self._seen(step[2])
+            return df
+        self.views.pop(step[1], None)
+        e, d, extra = self.decorrelated(step[2], df, current)
+        return d.withColumn(step[1], self.expr(e, d, current)).drop(*extra)
 
     def _map(self, step, ctx, df, current):
         d = self._bind(df, step[1], current, "_source")
-        return d.withColumn("response", self.record(step[2], d, "_source")).drop("_source")
+        e, d, extra = self.decorrelated(("object", step[2]), d, "_source")
+        return d.withColumn("response", self.record(e[1], d, "_source")).drop("_source", *extra)
 
     def _apply(self, step, ctx, df, current):
         _, name, source, into = step
         d = self._bind(df, source, current, "_source")
         out = None
+        # a variant may name what records of another schema don't have
+        self._here.lenient = self._mine("lenient", int) + 1
         for schema, guard, fields in self.p.transforms[name]:
             hit = F.lit(True) if schema == "_" else self.p.schemas[schema].matches(d, "_source") if schema in self.p.schemas else F.lit(False)
             if guard is not None:
                 hit = hit & Semantics(d).truthy(self.expr(guard, d, "_source"))
             r = self.record(fields, d, "_source")
             out = F.when(hit, r) if out is None else out.when(hit, r)
+        self._here.lenient -= 1
         out = out.otherwise(F.raise_error(F.lit(f"{name}: no variant fits")))
         return d.withColumn(into or "response", out).drop("_source")
 
     def _validate(self, step, ctx, df, current):
         d = self._bind(df, step[1], current, "_source")
+        (_, rules), d, extra = self.decorrelated(("array", step[2]), d, "_source")
         if step[3] is not None:
             # Rows that fail go through the other steps and no further
             good = F.lit(True)
-            for e in step[2]:
+            for e in rules:
                 good = good & Semantics(d).truthy(self.expr(e, d, "_source"))
-            self.run(step[3], ctx, d.filter(~good).drop("_source"), current)
-            return d.filter(good).drop("_source")
+            self.run(step[3], ctx, d.filter(~good).drop("_source", *extra), current)
+            return d.filter(good).drop("_source", *extra)
         ok = F.lit(True)
-        for k, e in enumerate(step[2]):
+        for k, e in enumerate(rules):
             good = Semantics(d).truthy(self.expr(e, d, "_source"))
             ok = ok & F.when(good, True).otherwise(F.raise_error(F.lit(f"constraint {k + 1} failed")).cast("boolean"))
-        return d.filter(ok).drop("_source")
+        return d.filter(ok).drop("_source", *extra)
 
     def _store(self, step, ctx, df, current):
         _, source, name, opts = step
@@ -772,7 +875,10 @@ class Compiler:
             d = d.withColumn("_source", F.explode("_source"))
         if not isinstance(d.schema["_source"].dataType, T.StructType):
             d = d.withColumn("_source", F.struct(F.col("_source").alias("value")))
-        key = self.expr(opts["key"], d, "_source") if "key" in opts else None
+        key = None
+        if "key" in opts:
+            e, d, _ = self.decorrelated(opts["key"], d, "_source")
+            key = self.expr(e, d, "_source")
         flags = {k: opts[k][1] for k in ("partial", "upsert") if k in opts}
         self._put(name, d, key, **flags)
         return df
@@ -782,7 +888,8 @@ class Compiler:
         return df
 
     def _remove(self, step, ctx, df, current):
-        keys = df.select(self.expr(step[2], df, current).alias("_gone"))
+        e, d, _ = self.decorrelated(step[2], df, current)
+        keys = d.select(self.expr(e, d, current).alias("_gone"))
         self.stores.stores[step[1]] = self.stores[step[1]].delete(keys, F.col("_gone"))
         return df
 
@@ -798,24 +905,193 @@ class Compiler:
 
     def _for(self, step, ctx, df, current):
         _, var, source, cond, body = step
-        name = source[1] if source[0] == "name" else None
+        source, cond = _narrowed(self._seen(source), cond, var)
         # where an element stands in its collection: of writes to one key the last loop's last stays
         place = f"{_PLACE}{sum(c.startswith(_PLACE) for c in df.columns)}"
-        if name in self.p.stores or (name in self.stores.stores):
-            rows = self.stores[name].numbered(place)
+        if self._is_store(source, df, current):
+            rows = self.stores[source[1]].numbered(place)
             rows = rows.select(place, F.struct(*[F.col(f"`{c}`") for c in rows.columns if c != place]).alias("_item"))
             d = df.drop("response").crossJoin(rows) if df.columns else rows
         else:
-            a = self.expr(source, df, current)
-            if not isinstance(Semantics(df).type_of(a), T.ArrayType):
+            e, d, extra = self.decorrelated(source, df, current)
+            a = self.expr(e, d, current)
+            if not isinstance(Semantics(d).type_of(a), T.ArrayType):
                 raise TypeError(f"for {var}: not a collection")
-            d = df.select("*", F.posexplode(a).alias(place, "_item")).drop("response")
+            d = d.select("*", F.posexplode(a).alias(place, "_item")).drop("response", *extra)
         d = d.drop(var).withColumnRenamed("_item", var)
-        for c in _conjuncts(cond) if cond is not None else []:
-            d = d.filter(Semantics(d).holds(self.expr(c, d, var)))
-        self.run(body, ctx, d, var)
+        self.around.append(current)
+        try:
+            for c in _conjuncts(cond) if cond is not None else []:
+                d = self._kept(c, d, var)
+            self.run(body, ctx, d, var)
+        finally:
+            self.around.pop()
         return df
 
+    def _kept(self, c: tuple, d: DataFrame, current: str | None) -> DataFrame:
+        """Rows for which a condition holds; whether a store has a key is asked by a join
+        that keeps or drops the row."""
+        wanted, e = (True, c) if c[0] != "not" else (False, c[1])
+        if e[:2] == ("call", "exists") and e[2][0][0] == "at" and self._is_store(self._seen(e[2][0][1]), d, current):
+            store, key = self._seen(e[2][0][1]), e[2][0][2]
+            key, d, extra = self.decorrelated(key, d, current)
+            t = self.stores[store[1]]._some().select(F.col(KEY).alias("_there"))
+            d = d.withColumn("_asked", Semantics(d).string(self.expr(key, d, current), "undefined"))
+            return d.join(t, F.col("_asked") == F.col("_there"), "left_semi" if wanted else "left_anti").drop("_asked", *extra)
+        e, d, extra = self.decorrelated(c, d, current)
+        return d.filter(Semantics(d).holds(self.expr(e, d, current))).drop(*extra)
+
+    # --- stores inside expressions --------------------------------------------------------
+    def _seen(self, e: tuple) -> tuple:
+        """An expression with the names that `let` gave to parts of stores replaced by those."""
+        if e[0] == "name" and e[1] in self.views:
+            return self.views[e[1]]
+        return e
+
+    def _is_store(self, e: tuple, df: DataFrame, current: str | None) -> bool:
+        """Whether a name is a store's, and not shadowed by a variable or a field."""
+        return e[0] == "name" and (e[1] in self.p.stores or e[1] in self.stores.stores) and self.name(e[1], df, current) is None
+
+    def _collection(self, e: tuple, df: DataFrame, current: str | None) -> tuple[str, list[tuple]] | None:
+        """The store and the conditions, if e is a store, narrowed or not. Conditions
+        name the record's fields; a lambda's variable stands before them."""
+        e, conds = self._seen(e), []
+        while e[0] == "filter" or e[:2] == ("call", "filter") and len(e[2]) == 2:
+            _, e, p = e if e[0] == "filter" else ("filter", *e[2])
+            e = self._seen(e)
+            conds += _conjuncts(p[2] if p[0] == "lambda" else p) if p[0] != "lambda" else _conjuncts(_renamed(p[2], p[1][0], _RECORD))
+        return (e[1], conds) if self._is_store(e, df, current) else None
+
+    def decorrelated(self, e: Any, df: DataFrame, current: str | None) -> tuple[Any, DataFrame, list[str]]:
+        """e with each use of a store replaced by a column, df with those columns, and their
+        names. A lookup by key is a left join on the key. A count, sum or the like of a part of a
+        store is one table, grouped by what the part's conditions equate with the row, and a left join
+        with it; other conditions over the row are asked once for each distinct set of its values."""
+        if not isinstance(e, (tuple, list, dict)):
+            return e, df, []
+        if isinstance(e, tuple) and e[:1] == ("name",):
+            if e[1] in self.views or self._is_store(e, df, current):
+                raise SyntaxFault(f"{e[1]} is a store: loop over it, look a key up, or count, sum, min, max, avg, any or exists of it")
+            return e, df, []
+        if isinstance(e, tuple) and e[:1] in (("lit",), ("column",), ("outer",)):
+            return e, df, []
+        made: list[str] = []
+        if isinstance(e, tuple) and e[:1] == ("at",) and self._is_store(self._seen(e[1]), df, current):
+            key, df, made = self.decorrelated(e[2], df, current)
+            into = f"_looked{next(self._joined)}"
+            df = self.stores[self._seen(e[1])[1]].lookup(df, self.expr(key, df, current), into)
+            return ("column", into), df, [*made, into]
+        if isinstance(e, tuple) and (e[:1] == ("any",) or e[:1] == ("call",) and e[1] in _OVER and e[2]):
+            source, rest = (e[1], [e[2]] if e[2] is not None else []) if e[0] == "any" else (e[2][0], e[2][1:])
+            how = "any" if e[0] == "any" else e[1]
+            if (part := self._collection(source if how not in ("any", "some", "count") or not rest else ("filter", source, rest[0]), df, current)) is not None:
+                return self._aggregated(how, part, None if how in ("any", "some", "count") or not rest else rest[0], df, current)
+        out = []
+        for x in e.values() if isinstance(e, dict) else e:
+            x, df, more = self.decorrelated(x, df, current)
+            out.append(x)
+            made += more
+        return (dict(zip(e, out, strict=True)) if isinstance(e, dict) else type(e)(out)), df, made
+
+    def _side(self, e: Any, inner: list[str], df: DataFrame, current: str | None) -> set[str]:
+        """Whether an expression names fields of the record (in), of what is around it (out), or both."""
+        if isinstance(e, tuple) and e[:1] == ("outer",):
+            return {"out"}
+        if isinstance(e, tuple) and e[:1] == ("name",):
+            head = e[1].split(".")[0]
+            if head in inner or head == _RECORD:
+                return {"in"}
+            if self.name(e[1], df, current) is None:
+                raise SyntaxFault(f"nothing is named {e[1]}")
+            return {"out"}
+        if isinstance(e, (tuple, list, dict)):
+            return {x for v in (e.values() if isinstance(e, dict) else e) for x in self._side(v, inner, df, current)}
+        return set()
+
+    def _aggregated(self, how: str, part: tuple[str, list[tuple]], of: tuple | None, df: DataFrame, current: str | None) -> tuple[tuple, DataFrame, list[str]]:
+        store, conds = part
+        n = next(self._joined)
+        t = self.stores[store].scan()
+        fields = t.columns
+        t = t.select(*[F.col(f"`{c}`").alias(c) for c in fields], F.struct(*[F.col(f"`{c}`") for c in fields]).alias(_RECORD))
+        equal, mixed = [], []
+        for c in conds:
+            sides = self._side(c, fields, df, current)
+            if "out" not in sides:
+                t = t.filter(Semantics(t).holds(self.expr(c, t, None)))
+                continue
+            pair = [(self._side(x, fields, df, current), x) for x in c[2:4]] if c[:2] == ("op", "==") else []
+            pair.sort(key=lambda p: sorted(p[0]))
+            if [s for s, _ in pair] == [{"in"}, {"out"}]:
+                equal.append((pair[0][1], pair[1][1]))
+            else:
+                mixed.append(c)
+        value = self._value(how, of, t)
+        # what the row gives: the sides of equations, and whatever else conditions name
+        d, given = df, []
+
+        def give(e: tuple) -> tuple:
+            nonlocal d
+            e, d, _ = self.decorrelated(e, d, current)
+            if e[0] == "outer":
+                e = e[1]
+            name = f"_given{n}_{len(given)}"
+            d = d.withColumn(name, self.expr(e, d, current))
+            given.append(name)
+            return "column", name
+
+        def outside(e: Any) -> Any:
+            if isinstance(e, tuple) and e and isinstance(e[0], str) and e[0] in ("name", "outer"):
+                return give(e) if self._side(e, fields, df, current) == {"out"} else e
+            return type(e)(outside(x) for x in e) if isinstance(e, (tuple, list)) else e
+
+        into, keys = f"_of{n}", []
+        # equations with the row's values group the store once, and one join finds each row's group
+        pairs = [(self.expr(i, t, None), give(o)[1]) for i, o in equal]
+        if mixed:
+            mixed = [outside(c) for c in mixed]
+            # one comparison for each distinct set of values, not for each row
+            seen = d.select(*given).distinct()
+            both = seen.crossJoin(t)
+            for inner, name in pairs:
+                both = both.filter(Semantics(both).equal(inner, F.col(name)))
+            for c in mixed:
+                both = both.filter(Semantics(both).holds(self.expr(c, both, None)))
+            keys = [f"_key{n}_{i}" for i in range(len(given))]
+            g = both.groupBy(*[F.col(x).alias(k) for x, k in zip(given, keys, strict=True)]).agg(value.alias(into))
+            on = [F.col(x).eqNullSafe(F.col(k)) for x, k in zip(given, keys, strict=True)]
+        else:
+            keys = [f"_key{n}_{i}" for i in range(len(pairs))]
+            g = t.groupBy(*[c.alias(k) for (c, _), k in zip(pairs, keys, strict=True)]).agg(value.alias(into))
+            shown = d.select(*[x for _, x in pairs]).limit(0).crossJoin(g.limit(0)) if pairs else None
+            on = [Semantics(shown).equal(F.col(k), F.col(x)) for (_, x), k in zip(pairs, keys, strict=True)]
+        if on:
+            cond = on[0]
+            for c in on[1:]:
+                cond = cond & c
+            d = d.join(g, cond, "left")
+        else:
+            # the same for every row: one row of totals
+            d = d.crossJoin(F.broadcast(g)) if d.columns else g
+        empty = {"count": F.lit(0).cast("long"), "length": F.lit(0).cast("long"), "sum": F.lit(0.0)}
+        if how in ("any", "some", "exists"):
+            d = d.withColumn(into, F.coalesce(F.col(into) > 0, F.lit(False)))
+        elif how in empty:
+            d = d.withColumn(into, F.coalesce(into, empty[how]))
+        d = d.drop(*keys)
+        return ("column", into), d, [*given, into]
+
+    def _value(self, how: str, of: tuple | None, t: DataFrame) -> Column:
+        """An aggregate over a store's records, of what `of` names in each."""
+        if how in ("count", "length", "any", "some", "exists"):
+            return F.count(F.lit(1))
+        if of is None:
+            raise SyntaxFault(f"{how} of a store says of what")
+        of = _renamed(of[2], of[1][0], _RECORD) if of[0] == "lambda" else of
+        s = Semantics(t)
+        x = s.number(self.expr(of, t, None))
+        return {"sum": F.sum, "min": F.min, "max": F.max, "avg": F.avg}[how](x.cast("double"))
+
     def _takes(self, pattern, t: T.DataType, c: Column, s: Semantics, bound: dict[str, Column]) -> Column:
         """Whether a value of type t fits a pattern; names it binds go to `bound`.
         A name is a schema's, or if it begins with a small letter one to bind."""
@@ -860,8 +1136,12 @@ class Compiler:
             if guard is not None:
                 with_names = d.withColumns(bound) if bound else d
                 inside = None if source == ("lit", True) else "_source"
+                guard, with_names, extra = self.decorrelated(guard, with_names, inside or current)
+                # of records of another shape a guard may name what they don't have
+                self._here.lenient = self._mine("lenient", int) + (pattern != "_")
                 truth = Semantics(with_names).truthy(self.expr(guard, with_names, inside or current))
-                d = with_names.withColumn(f"_hit{k}", hit & truth).drop(*bound)
+                self._here.lenient -= pattern != "_"
+                d = with_names.withColumn(f"_hit{k}", hit & truth).drop(*bound, *extra)
                 hit = F.col(f"_hit{k}")
             arm = F.when(hit, F.lit(k)) if arm is None else arm.when(hit, F.lit(k))
         d = d.withColumn("_arm", arm.otherwise(F.raise_error(F.lit("no arm matches")).cast("int"))).drop(*[f"_hit{k}" for k in range(len(arms))])
@@ -887,7 +1167,9 @@ class Compiler:
             elif what[0] == "continue":
                 out.append(part.drop("_source"))
             elif what[0] == "steps":
+                self._here.lenient = self._mine("lenient", int) + (arms[k][0] != "_")
                 out.append(self.run(what[1], ctx, part, current).drop("_source"))
+                self._here.lenient -= arms[k][0] != "_"
         base = [c for c in df.columns]
         keep = [o.select(*base) for o in out]
         got = keep[0] if keep else df.limit(0)
@@ -924,7 +1206,7 @@ class Compiler:
             raise LookupError(f"no reader is given for source {name}")
         key, since = self._since(name, target, opts)
         if isinstance(self.sources[name], Endpoint):
-            out = self._ask(self.sources[name], verb, target, opts, since, df, current)
+            out = self._ask(name, verb, target, opts, since, df, current)
             self._synced(key, opts, out)
             return out
         path = target if verb == "call" else target[1]
@@ -937,6 +1219,8 @@ class Compiler:
             return got.select(F.struct(*[F.col(c) for c in got.columns]).alias("response"))
         got = self.sources[name](self.spark, {"verb": verb, "path": path, "options": opts, "frame": df, "params": since})
         out = got.select(F.struct(*[F.col(c) for c in got.columns]).alias("response"))
+        if key is not None:
+            out = settle(out)  # what is stored and what the checkpoint is taken from are one answer
         self._synced(key, opts, out)
         return out
 
@@ -977,38 +1261,60 @@ class Compiler:
             at = out.select(c.alias("_at"))
         self.marks = self.marks.advance(key, at, "_at", self.p.name)
 
-    def _ask(self, source: Endpoint, verb: str, target, opts: dict, since: dict[str, str], df: DataFrame, current: str | None) -> DataFrame:
-        """A request for each row of df, with its own path and parameters; requests run
-        where the rows are, a batch of rows at a time."""
+    def _ask(self, name: str, verb: str, target, opts: dict, since: dict[str, str], df: DataFrame, current: str | None) -> DataFrame:
+        """A request for each row of df, with its own path, parameters, body
+        and headers. What only reads, or can be repeated, is asked once for all rows that ask the
+        same; a post or patch is sent for each row. Answers are a table before they are used."""
+        source: Endpoint = self.sources[name]
+        if unknown := set(opts) - _OPTIONS:
+            raise SyntaxFault(f"a request has no {unknown.pop()}")
+        described = None
+        if verb == "call":
+            described = source.operation(target.split(".", 1)[1])
+            verb, template = described.verb, ("lit", described.path)
+        else:
+            template = target
         paging = None
         if "paginate" in opts:
             _, kind, args = opts["paginate"]
             param, size = args[0][1], int(args[1][1])
             paging = Cursor(param, size, args[2][1]) if kind == "cursor" else {"offset": Offset, "page": Page}[kind](param, size)
-        kind = f"array<struct<{source.record}>>" if paging else f"struct<{source.record}>"
+        kind = source.answer_type(described, paging is not None)
         d = df if df.columns else self.spark.range(1).select(F.lit(0).alias("_row"))
         if self.dry_run:
-            answer = mock_value(source.sample or {"type": "object"})
-            body = F.lit(json.dumps([answer] if paging else answer))
-        else:
+            answer = mock_value(source.sample or (described.response if described and described.response else {"type": "object"}))
+            return d.withColumn("response", F.from_json(F.lit(json.dumps([answer] if paging and not isinstance(answer, list) else answer)), kind)).drop("_row")
+        params = dict(opts.get("params", {}))
+        (template, params, body, own), d, extra = self.decorrelated((template, params, opts.get("body"), {**self.p.sources.get(name, {}).get("headers", {}), **opts.get("headers", {})}), d, current)
+        if template[0] == "lit":
             scope = {}
-            for name in re.findall(r"\{([^}]+)\}", target[1]):
-                got = self.name(name, d, current)
+            for place in re.findall(r"\{([^}]+)\}", template[1]):
+                got = self.expr(params.pop(place), d, current) if described and place in params else self.name(place, d, current)
                 if got is not None:
-                    scope[name] = got
-            path = self._path(target[1], d, scope)
-            fields = [self.expr(v, d, current).alias(k) for k, v in opts.get("params", {}).items()]
-            fields += [F.lit(v).alias(k) for k, v in since.items()]
-            params = F.to_json(F.struct(*fields)) if fields else F.lit(None).cast("string")
-            until = page_condition(opts["until"]) if "until" in opts else None
-            ask = source.with_retry(_backoff(opts["retry"]) if "retry" in opts else None).ask(verb, paging, until)
-
-            @F.pandas_udf("string")
-            def answers(paths: pd.Series, given: pd.Series) -> pd.Series:
-                return pd.Series([ask(p, g) for p, g in zip(paths, given, strict=True)], dtype=object)
-
-            body = answers.asNondeterministic()(path, params)
-        return d.withColumn("response", F.from_json(body, kind)).drop("_row")
+                    scope[place] = got
+            path = self._path(template[1], d, scope)
+        else:
+            path = Semantics(d).string(self.expr(template, d, current))
+        fields = [self.expr(v, d, current).alias(k) for k, v in params.items()]
+        fields += [F.lit(v).alias(k) for k, v in since.items()]
+        none = F.lit(None).cast("string")
+        text = lambda cols: F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}) if cols else none
+        heads = [Semantics(d).string(self.expr(v, d, current)).alias(k) for k, v in own.items()]
+        timeout = opts["timeout"][1] / 1000 if "timeout" in opts else None
+        if (heads or timeout is not None) and not (is_dataclass(source.client) and hasattr(source.client, "headers")):
+            raise SyntaxFault(f"the client of {name} takes no headers and no timeout")
+        d = d.withColumns({PATH: path, PARAMS: text(fields), BODY: none if body is None else text([self.expr(body, d, current).alias("body")]), HEADERS: text(heads)})
+        each = none
+        if verb in ("post", "patch"):
+            # places of the loops' elements if there are any: they are the same in a later run
+            places = [F.col(c) for c in d.columns if c.startswith(_PLACE)]
+            each = F.to_json(F.struct(*places)) if places else F.monotonically_increasing_id()
+        what = f"{self.p.name}:{next(self._steps)}:{name}:{verb}:{opts.get('paginate')}:{opts.get('until')}"
+        d = d.withColumn(KEY_, request_key(F.lit(what), F.col(PATH), F.col(PARAMS), F.col(BODY), F.col(HEADERS), each))
+        until = page_condition(opts["until"]) if "until" in opts else None
+        asked = source.with_auth(self.auth.get(name)).with_retry(_backoff(opts["retry"]) if "retry" in opts else None)
+        got = self.log.ask(d, asked.ask(verb, paging, until, timeout))
+        return got.withColumn("response", F.from_json(ANSWER, kind)).drop("_row", ANSWER, *extra)
 
     def _path(self, template: str, d: DataFrame, scope: dict[str, Column]) -> Column:
         s, parts = Semantics(d), []
@@ -1017,6 +1323,10 @@ class Compiler:
         return F.concat(*parts)
 
 
+# The options a request knows.
+_OPTIONS = {"source", "params", "body", "headers", "timeout", "paginate", "until", "since", "sinceParam", "sinceFormat", "syncKey", "retry", "validate"}
+
+
 def _backoff(o: dict[str, tuple]) -> Backoff:
     """H2 as a request's `retry` says it."""
     names = {"maxAttempts": "attempts", "backoff": "kind", "initialDelay": "initial", "maxDelay": "most"}
@@ -1087,9 +1397,10 @@ def read_folder(files: dict[str, str]) -> Program:
     return p
 
 
-def run(text: str, spark: SparkSession, stores: dict[str, DataFrame] | None = None, sources: dict[str, Fetch] | None = None, events: Callable[[SparkSession, str], DataFrame] | None = None, marks: Watermarks | None = None, **kw) -> M.Mission:
-    """Parse, compile and run a mission; its stores and checkpoints are in the result."""
-    c = Compiler(parse(text), spark, Catalog(spark, stores), sources, events, marks)
+def run(text: str, spark: SparkSession, stores: dict[str, DataFrame] | None = None, sources: dict[str, Fetch] | None = None, events: Callable[[SparkSession, str], DataFrame] | None = None, marks: Watermarks | None = None, log: RequestLog | None = None, auth: dict[str, Any] | None = None, **kw) -> M.Mission:
+    """Parse, compile and run a mission; its stores and checkpoints are in the result. `log`
+    keeps answers for a later run of the mission; `auth` has each source's credentials (H5)."""
+    c = Compiler(parse(text), spark, Catalog(spark, stores), sources, events, marks, log, auth)
     m = c.build(**kw).run()
     m.marks = c.marks
     return m

@@ -683,6 +683,15 @@ class _Echo:
         return {"id": key, "double": 2 * key, "tier": "even" if key % 2 == 0 else "odd"}
 
 
+def _keyed(spark, body: str, tables: dict, plain: str) -> DataFrame:
+    """A mission over stores of which all but one have their own keys."""
+    names = " ".join(f'store {n}: memory("{n}")' for n in sorted({*tables, "out"}))
+    c = text.Compiler(text.parse(f"mission Q {{ {names} action A {{ {body} }} run A }}"), spark)
+    for n, t in tables.items():
+        c.stores.stores[n] = Store(n).set(t) if n == plain else Store(n, t)
+    return c.build().run().stores["out"].scan()
+
+
 def _mission(spark, body: str, stores: dict, out: str = "out", **kw) -> DataFrame:
     names = " ".join(f'store {n}: memory("{n}")' for n in sorted({*stores, "out", "rest"}))
     return text.run(f"mission Q {{ source API {{ base: \"http://x\" }} {names} action A {{ {body} }} run A }}", spark, stores, **kw).stores[out].scan()
@@ -696,6 +705,66 @@ def api_enrichment_join(spark, sf_dir):  # J6, S1, S3: a request for each row
     return got.select("id", "double", "tier")
 
 
+@query("""SELECT o_orderkey AS id, o_custkey AS cust, 2 * o_custkey AS double FROM orders""")
+def request_log_join(spark, sf_dir):  # S1, J6: orders of one customer ask for it once
+    o = _t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    api = paging.Endpoint(_Echo(), "id long, double long, tier string")
+    body = 'for o in ord { get "/customers/{o.o_custkey}" store { id: o.o_orderkey, cust: response.id, double: response.double } -> out { key: .id } }'
+    return _mission(spark, body, {"ord": o}, sources={"API": api}).select("id", "cust", "double")
+
+
+class _Quote:
+    """Stands for an HTTP client: what it answers follows from the body alone."""
+
+    def request(self, verb, path, params=None, body=None):
+        return {"part": body["part"], "cents": int(sum(body["cents"])), "size": len(body["cents"])}
+
+
+@query("""SELECT ps AS id, ps AS part, 4 * ps AS cents, 2::BIGINT AS size FROM (SELECT p_partkey AS ps FROM part)""")
+def request_with_body(spark, sf_dir):  # S1: each row posts a body of its own
+    p = _t(spark, sf_dir, "part").select("p_partkey")
+    body = 'for p in parts { post "/quotes" { body: { part: p.p_partkey, cents: [p.p_partkey, p.p_partkey * 3] } } store { id: p.p_partkey, part: response.part, cents: response.cents, size: response.size } -> out { key: .id } }'
+    got = _mission(spark, body, {"parts": p}, sources={"API": paging.Endpoint(_Quote(), "part long, cents long, size long")})
+    return got.select("id", "part", "cents", "size")
+
+
+@query("""SELECT c_custkey AS id, count(o_orderkey) AS n, count(o_orderkey) FILTER (o_orderstatus = 'F') AS filled,
+                 coalesce(sum(round(o_totalprice * 100)::BIGINT), 0)::BIGINT AS cents, coalesce(bool_or(o_orderstatus = 'P'), false) AS pending
+          FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL""")
+def store_correlated_counts(spark, sf_dir):  # R17, E25: parts of a store counted and summed for each row
+    c = _t(spark, sf_dir, "customer").select("c_custkey")
+    o = _t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
+    body = """for c in cust { store { id: c.c_custkey, n: count(ord where .o_custkey == ^.c_custkey), filled: count(ord where .o_custkey == c.c_custkey and .o_orderstatus == "F"),
+        cents: sum(ord where .o_custkey == c.c_custkey, .cents), pending: any of ord where .o_custkey == c.c_custkey and .o_orderstatus == "P" } -> out { key: .id } }"""
+    return _mission(spark, body, {"cust": c, "ord": o}).select("id", "n", "filled", F.col("cents").cast("long"), "pending")
+
+
+@query("""SELECT o_orderkey AS id, n_name AS nation, r_name AS region
+          FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey""")
+def store_keyed_lookup(spark, sf_dir):  # D3: s[k].f, along three stores
+    stores = {"ord": _t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")}
+    for name, key in (("customer", "c_custkey"), ("nation", "n_nationkey"), ("region", "r_regionkey")):
+        stores[name] = Catalog(spark).put(name, _t(spark, sf_dir, name), F.col(key)).table
+    body = "for o in ord where exists(customer[o.o_custkey]) { let n = nation[customer[o.o_custkey].c_nationkey] store { id: o.o_orderkey, nation: n.n_name, region: region[n.n_regionkey].r_name } -> out { key: .id } }"
+    return _keyed(spark, body, stores, "ord").select("id", "nation", "region")
+
+
+@query("""SELECT c_custkey AS id FROM customer WHERE NOT EXISTS (FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 100000)""")
+def store_keyed_anti(spark, sf_dir):  # D4: rows whose key a store doesn't have
+    c = _t(spark, sf_dir, "customer").select("c_custkey")
+    rich = _t(spark, sf_dir, "orders").filter("o_totalprice > 100000").select("o_custkey")
+    body = "for c in cust where not exists(rich[c.c_custkey]) { store { id: c.c_custkey } -> out { key: .id } }"
+    return _keyed(spark, body, {"cust": c, "rich": Catalog(spark).put("rich", rich, F.col("o_custkey")).table}, "cust").select("id")
+
+
+@query("""SELECT o_orderkey AS id, (SELECT count(*) FROM events WHERE user_id = o_custkey AND value > o_orderkey % 90 + 50) AS above FROM orders""")
+def store_theta_count(spark, sf_dir):  # R17: a condition that no grouping answers
+    o = _t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", (F.col("o_orderkey") % 90).alias("least"))
+    e = _t(spark, sf_dir, "events").select(F.col("user_id").cast("long").alias("user_id"), "value")
+    body = "for o in ord { store { id: o.o_orderkey, above: count(ev where .user_id == o.o_custkey and .value > o.least + 50) } -> out { key: .id } }"
+    return _mission(spark, body, {"ord": o, "ev": e}).select("id", "above")
+
+
 @query("""SELECT c_custkey AS id, 'string' AS tier FROM customer""")
 def dry_run_mock(spark, sf_dir):  # P13, S10: nothing is asked, answers are samples
     c = _t(spark, sf_dir, "customer").select("c_custkey")

@@ -7,14 +7,17 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructType
 
 from ..functions.numbering import number_rows
+from .auth import headers
+from .openapi import Operation, spark_type
+from .requests import Ask
 from .resilience import Backoff
 
 #: Pages that one scan reads at most, unless it says otherwise; more are an error, never lost.
@@ -39,26 +42,60 @@ def rows_of(page: object) -> list:
 class Endpoint:
     """A source that is asked over HTTP: how, and the DDL type of what it answers. `record` is
     the type of one row (`a long, b string`) for paginated answers, or of a whole answer.
-    `sample` gives dry runs their answer instead."""
+    `sample` gives dry runs their answer instead. `operations` are those of the source's
+    description by name (S2, S18); without a `record` it also gives the types. A paginated answer of
+    more than `most` pages raises."""
 
     client: object
-    record: str
+    record: str | None = None
     sample: dict | None = None
+    operations: dict[str, Operation] = field(default_factory=dict)
+    most: int = MAX_PAGES
 
     def with_retry(self, backoff: Backoff | None) -> Endpoint:
         """Asked with another backoff, if the client has one."""
         return self if backoff is None or not hasattr(self.client, "backoff") else replace(self, client=replace(self.client, backoff=backoff))
 
-    def ask(self, verb: str, paging: Offset | Page | Cursor | None, until: Callable[[object], bool] | None = None) -> Callable[[str, str | None], str | None]:
-        """JSON of the answer to (path, params as JSON); of a paginated one all rows, up to the
-        page for which `until` holds."""
-
-        def one(path: str, params: str | None) -> str | None:
-            given = json.loads(params) if params else {}
+    def with_auth(self, given: dict | Callable[[bool], str] | None) -> Endpoint:
+        """H5: with a token's provider, or static credentials as `auth.headers` takes them."""
+        if given is None:
+            return self
+        if callable(given):
+            return replace(self, client=replace(self.client, token=given))
+        kind, rest = given["type"], {k: v for k, v in given.items() if k != "type"}
+        return replace(self, client=replace(self.client, headers={**self.client.headers, **headers(kind, **rest)}))
+
+    def operation(self, name: str) -> Operation:
+        if name not in self.operations:
+            raise LookupError(f"no operation {name}; there are {', '.join(sorted(self.operations)[:5]) or 'none'}")
+        return self.operations[name]
+
+    def answer_type(self, operation: Operation | None, paginated: bool) -> str:
+        """The DDL type of an answer, or of all rows of a paginated one."""
+        if self.record is not None or operation is None:
+            if self.record is None:
+                raise LookupError("neither a record type nor an operation says what is answered")
+            return f"array<struct<{self.record}>>" if paginated else f"struct<{self.record}>"
+        kind = spark_type(operation.response or {"type": "object"})
+        if paginated and isinstance(kind, StructType):
+            kind = next((f.dataType for f in kind.fields if isinstance(f.dataType, ArrayType)), None)
+            if kind is None:
+                raise LookupError(f"{operation.path} answers no array to be paginated")
+        return kind.simpleString()
+
+    def ask(self, verb: str, paging: Offset | Page | Cursor | None, until: Callable[[object], bool] | None = None, timeout: float | None = None) -> Ask:
+        """JSON of the answer to (path, and as JSON: params, body, headers); of a paginated one
+        all rows, up to the page for which `until` holds."""
+
+        def one(path: str, params: str | None, body: str | None = None, more: str | None = None) -> str | None:
+            given, client = json.loads(params) if params else {}, self.client
+            if more or timeout is not None:
+                client = replace(client, headers={**client.headers, **json.loads(more or "{}")}, timeout=client.timeout if timeout is None else timeout)
+            send = {} if body is None else {"body": json.loads(body)["body"]}
             if paging is None:
-                got = self.client.request(verb, path, given)
+                got = client.request(verb, path, given, **send)
             else:
-                got = list(read_pages(lambda q: self.client.request(verb, path, q), paging, until, params=given))
+                got = list(read_pages(lambda q: client.request(verb, path, q, **send), paging, until, params=given, most=self.most))
             return None if got is None else json.dumps(got)
 
         return one
