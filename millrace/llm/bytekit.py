@@ -8,6 +8,7 @@ length of the single documents. Hashes are polynomial in the bytes of a range, m
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -17,6 +18,8 @@ _MASK = (1 << 64) - 1
 #: Odd base of the polynomial, and its inverse modulo 2**64.
 BASE = 0x9E6C63D0876A9A63 | 1
 BASE_INV = pow(BASE, -1, 1 << 64)
+#: Bytes beyond which a word is named by a cryptographic hash.
+LONG = 64
 #: Bytes of text that one slab holds (one longer document makes a longer slab).
 SLAB = 1 << 20
 
@@ -134,6 +137,9 @@ def shingle_hashes(b: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarr
     if not len(starts):
         return np.empty(0, dtype=U), np.empty(0, dtype=np.int64)
     h = range_hashes(prefix_sums(b), starts, ends)
+    # modulo 2**64 long words made on purpose can share a polynomial, whatever its base
+    for i in np.flatnonzero(ends - starts > LONG):
+        h[i] = int.from_bytes(hashlib.blake2b(b[starts[i] : ends[i]], digest_size=8).digest(), "little")
     n = len(h)
     mul = splitmix(23, width) | U(1)
     acc = np.zeros(n, dtype=U)

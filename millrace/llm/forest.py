@@ -429,7 +429,7 @@ def _judged(docs: DataFrame, key: str, text: str, width: int, percent: int, hash
     inside = large.join(part, large["cls"] == part["node"], "left").select(F.col("grp").alias("set"), "cls", F.coalesce("component", "cls").alias("label"))
     sets = settle(apart.unionByName(inside))
     more = _rest(sets, sketches, confirm)
-    comp = part if more is None else components(links.unionByName(more))
+    comp = part if more is None else joined_further(part, more)
     named = classes.select("cls", "_rep").join(comp.withColumnRenamed("node", "cls"), "cls", "left")
     named = settle(named.withColumn("component", F.coalesce("component", "cls")))
     least = named.groupBy("component").agg(F.min("_rep").alias("component_id"))
@@ -442,6 +442,21 @@ def _judged(docs: DataFrame, key: str, text: str, width: int, percent: int, hash
     return out.select("_id", *h, "n", "component", cid.alias("component_id"), F.col("_id").eqNullSafe(cid).alias("kept"))
 
 
+def joined_further(part: DataFrame, more: DataFrame) -> DataFrame:
+    """The components of a graph whose components `part` (node, component) are known, with
+    `more` edges (a, b): only the components that those touch are put together anew."""
+    if more.limit(1).isEmpty():
+        return part
+    of = lambda side: part.select(F.col("node").alias(f"_{side}"), F.col("component").alias(f"_{side}c"))
+    moved = more.join(of("a"), more["a"] == F.col("_a"), "left").join(of("b"), more["b"] == F.col("_b"), "left")
+    top = components(moved.select(F.coalesce("_ac", "a").alias("a"), F.coalesce("_bc", "b").alias("b")))
+    top = settle(top.select(F.col("node").alias("_n"), F.col("component").alias("_c")))
+    known = part.join(top, part["component"] == top["_n"], "left").select("node", F.coalesce("_c", "component").alias("component"))
+    # what no known component holds; a component's own name is among its nodes
+    new = top.join(part, top["_n"] == part["node"], "left_anti").select(F.col("_n").alias("node"), F.col("_c").alias("component"))
+    return known.unionByName(new)
+
+
 def _candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows of the candidate groups, edges between candidates)."""
     spark = classes.sparkSession

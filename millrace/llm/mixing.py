@@ -80,9 +80,10 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, power:
     # one row for each source, as a table whose size Spark knows when it plans: it is
     # broadcast under Spark's own limit, and then no source's rows are gathered for the join
     r = settle(rates(docs, source, weights, power, ceiling))
-    d = docs.select(*own).withColumn("_src", F.col(source))
+    # the columns of docs in one, so that no name of theirs meets one of those used here
+    d = docs.select(F.struct(*[docs[f"`{c}`"] for c in own]).alias("_own"), F.col(source).alias("_src"), F.col(key).alias("_key"))
     d = d.join(r, d["_src"].eqNullSafe(r["_s"])).drop("_s", "_src")
-    k = F.coalesce(F.col(key).cast("string"), F.lit(""))
+    k = F.coalesce(F.col("_key").cast("string"), F.lit(""))
     # inversion: how many values of the source's distribution the document's number reaches
     u = _uniform(F.lit(seed), k)
     reached = F.size(F.filter("_poisson.cdf", lambda c: c <= F.col("_u")))
@@ -96,5 +97,6 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, power:
         end = F.least(first + RUN, end)
     copies = F.when(end > first, F.sequence(first, end - 1))
     d = d.withColumn("mix_copy", F.explode(copies))
-    d = d.withColumn("mix_order", _uniform(F.lit(f"{seed}:order"), k, F.col("mix_copy"))).withColumnRenamed("_rate", "mix_rate").select(*own, *names)
-    return d.orderBy("mix_order", F.col(key), "mix_copy") if deal else d
+    d = d.withColumn("mix_order", _uniform(F.lit(f"{seed}:order"), k, F.col("mix_copy"))).withColumnRenamed("_rate", "mix_rate")
+    d = d.orderBy("mix_order", "_key", "mix_copy") if deal else d
+    return d.select("_own.*", *names)

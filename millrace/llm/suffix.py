@@ -362,8 +362,12 @@ def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", thres
     keep = [c for c in keep or [] if c not in (key, text)]
     spark = docs.sparkSession
     bound_batches(spark)
-    # what is only carried along goes through Python as text, so that nulls change no type
-    d = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"), *[F.col(c).cast("string").alias(f"_keep_{c}") for c in keep])
+    # what is only carried along goes through Python as text, so that nulls change no type; what
+    # has no text of its own (bytes, arrays, maps, structs) as it is
+    own = {c: docs.schema[c].dataType for c in keep}
+    through = {c: t if isinstance(t, (T.BinaryType, T.ArrayType, T.MapType, T.StructType)) else T.StringType() for c, t in own.items()}
+    carried = {c: f"_keep_{i}" for i, c in enumerate(keep)}
+    d = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"), *[docs[f"`{c}`"].cast(through[c]).alias(n) for c, n in carried.items()])
     ids = d.groupBy("_id").agg(F.count(F.lit(1)).alias("n"))
     odd = ids.filter((F.col("n") > 1) | F.col("_id").isNull()).limit(1).count()
     if odd:
@@ -402,14 +406,14 @@ def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", thres
     spans = settle(spans)
     drop(first, named, repeats)
 
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in ("_id", *[f"_keep_{c}" for c in keep])])
+    schema = T.StructType([T.StructField("_id", T.StringType()), *[T.StructField(n, through[c]) for c, n in carried.items()]])
     for name, kind in (("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept_sha256", "string"), ("kept_text", "string")):
         schema = schema.add(name, kind)
     given = d.withColumn("_id", F.col("_id").cast("string")).select(F.lit(SPAN + 1).alias("kind"), F.lit(0).cast("long").alias("lo"), F.lit(0).alias("n"), *d.columns)
     cuts = spans.select(F.lit(SPAN).alias("kind"), "lo", "n", F.col("key").alias("_key"))
     together = given.unionByName(cuts, allowMissingColumns=True).repartition(tasks, "_key").sortWithinPartitions("_key", "kind")
     final = together.mapInPandas(_apply(threshold, schema.fieldNames()), schema)
-    back = [F.col(f"_keep_{c}").cast(docs.schema[c].dataType).alias(c) for c in keep]
+    back = [F.col(n).cast(own[c]).alias(c) for c, n in carried.items()]
     return final.select(F.col("_id").cast(docs.schema[key].dataType).alias(key), *back, *schema.fieldNames()[1 + len(keep) :])
 
 
@@ -429,7 +433,8 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     """docs with all its columns, each text cut to what stays of it; a column `size`, if
     there is one, holds the new number of characters. A null text stays null and its size null;
     null keys, repeated rows and an empty table as in `suffix_dedup`."""
-    keep = [c for c in docs.columns if c not in (key, text, size)]
-    got = suffix_dedup(docs, key, text, threshold, keep).withColumnRenamed("kept_text", "_kept_text")
-    out = {key: F.col(key), text: F.col("_kept_text"), size: F.char_length("_kept_text").cast("long")}
-    return got.select(*[out.get(c, F.col(c)).alias(c) for c in docs.columns])
+    keep = {c: f"_carried{i}" for i, c in enumerate(docs.columns) if c not in (key, text, size)}
+    d = docs.select(F.col(key).alias("_doc"), F.col(text).alias("_words"), *[docs[f"`{c}`"].alias(n) for c, n in keep.items()])
+    got = suffix_dedup(d, "_doc", "_words", threshold, list(keep.values()))
+    out = {key: F.col("_doc"), text: F.col("kept_text"), size: F.char_length("kept_text").cast("long")}
+    return got.select(*[out.get(c, F.col(keep.get(c, c))).alias(c) for c in docs.columns])

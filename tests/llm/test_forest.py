@@ -105,3 +105,20 @@ def test_empty_table(spark):
 def test_components(spark, edges, want):
     got = components.components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert {r.node: r.component for r in got} == want and len(got) == len(want)
+
+
+def test_long_words_made_to_share_a_polynomial(spark):
+    """The Thue-Morse word and its complement are equal under every polynomial modulo 2^64."""
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate({97: "b", 98: "a"})
+    other = word.translate({97: "b", 98: "a"})
+    check(spark, [(1, word), (2, other), (3, word + " x"), (4, other + " x"), (5, word)])
+
+
+def test_components_joined_further(spark):
+    part = spark.createDataFrame([(2, 1), (1, 1), (4, 3), (3, 3), (6, 5), (5, 5)], "node long, component long")
+    more = spark.createDataFrame([(4, 2), (9, 8), (8, 6), (20, 21)], "a long, b long")
+    got = {r.node: r.component for r in forest.joined_further(part, more).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 5, 8: 5, 9: 5, 20: 20, 21: 20}
+    assert forest.joined_further(part, more.limit(0)).count() == 6

@@ -69,3 +69,41 @@ def test_stages_keep_the_columns_and_bear_an_empty_table(spark, sf_dir):
         assert out.columns == docs.columns and out.dtypes == docs.dtypes
         assert out.count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, empty, sf_dir).count() == 0
+
+
+def test_columns_of_any_name_and_type_go_through(spark, sf_dir):
+    """Names that the stages use themselves, and types that have no text of their own."""
+    import datetime
+
+    kind = "_u string, _s long, _src string, _rate double, _poisson boolean, _own string, _key long, _id timestamp, n_bytes string, kept_text long, `a.b` string, arr array<int>, m map<string, long>, st struct<x: int, y: array<string>>, raw binary, _text string"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    odd = ("u", 7, None, 0.5, True, "o", 3, datetime.datetime(2024, 1, 2, 3, 4, 5, 678901), "n", 9, "dot", [1, None, 3], {"a": 1, "b": None}, (4, ["x", None]), b"\x00\xff", "t")
+    empty = (None,) * len(odd)
+    more = docs.select("doc_id").collect()
+    extra = spark.createDataFrame([(r.doc_id, *(odd if r.doc_id % 3 else empty)) for r in more], f"k long, {kind}")
+    wide = docs.join(extra, docs.doc_id == extra.k).drop("k")
+    want = {r.doc_id: r for r in wide.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, wide, sf_dir)
+        assert out.columns == wide.columns and out.dtypes == wide.dtypes, name
+        got = out.collect()
+        assert got, name
+        for r in got:
+            w = want[r.doc_id]
+            for c in wide.columns:
+                if c not in ("text", "n_chars"):
+                    assert r[c] == w[c], (name, c)
+    assert corpus_pipeline.STAGES[-1][1](spark, wide, sf_dir).count() == len(want)
+
+
+def test_copies_between_the_stages_go(spark, sf_dir):
+    import os
+
+    from millrace.llm.sparkit import shared_dir
+
+    base = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(base))
+    corpus_pipeline.run(spark, sf_dir).count()
+    new = set(os.listdir(base)) - before
+    whole = [d for d in new if set(spark.read.parquet(f"file://{base}/{d}").columns) >= {"doc_id", "text", "source", "n_chars"}]
+    assert len(whole) == 1  # what the last stage reads
