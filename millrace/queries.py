@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 
 from .functions import Semantics, catalog
 from .functions.semantics import resolve
-from .operators import joins, steps
+from .operators import intervals, joins, sketches, steps
 from .operators.schema import Schema, variant_matches
 from .operators.stores import Catalog, Store
 from .plans import Action, Mission, Stage, mission, schedule, text
 from .sources import openapi, paging, sync
-from .streaming import breaker, waits
+from .streaming import breaker, pairs, waits
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -607,6 +607,60 @@ def window_session(spark, sf_dir):  # T13, beyond the core
     return waits.sessions(_t(spark, sf_dir, "events"), "ts", "1 day", ["user_id"], n=F.count(F.lit(1))).select("user_id", "n")
 
 
+@query("""SELECT time_bucket(INTERVAL 1 HOUR, ts - k * INTERVAL 1 HOUR)::VARCHAR AS start_, count(*) AS n, round(sum(round(value * 100))) AS cents FROM events, range(3) r(k) GROUP BY 1""")
+def window_sliding(spark, sf_dir):  # T13: windows of three hours, a new one each hour
+    got = waits.windowed(_t(spark, sf_dir, "events"), "ts", "3 hours", "1 hour", n=F.count(F.lit(1)), cents=F.sum(F.round(F.col("value") * 100)))
+    return got.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("start_"), "n", F.round("cents").alias("cents"))
+
+
+@query("""SELECT c.event_id AS click, p.event_id AS purchase, user_id FROM events c JOIN events p USING (user_id)
+          WHERE c.event_type = 'click' AND p.event_type = 'purchase' AND p.ts BETWEEN c.ts AND c.ts + INTERVAL 1 HOUR""")
+def followed_within_hour(spark, sf_dir):  # T13: purchases within an hour of a click
+    e = _t(spark, sf_dir, "events")
+    of = lambda kind: e.filter(F.col("event_type") == kind).select("event_id", "user_id", "ts")
+    got = pairs.followed_within(of("click"), of("purchase"), ["user_id"], "ts", "ts", "1 HOUR", "2 hours")
+    return got.select(F.col("event_id").alias("click"), F.col("then_event_id").alias("purchase"), "user_id")
+
+
+@query("""SELECT user_id || ':' || event_type AS key, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS at, arg_min(event_id, ts) AS event_id FROM events GROUP BY user_id, event_type""")
+def event_dedupe_store(spark, sf_dir):  # T5: of events of one key the first is stored
+    e = _t(spark, sf_dir, "events").select(F.concat_ws(":", "user_id", "event_type").alias("key"), "ts", "event_id")
+    c = Catalog(spark)
+    pairs.into_store(c, "seen", "key", "ts")(pairs.once(e, "key", "ts"), 0)
+    return c["seen"].scan().select("key", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"), "event_id")
+
+
+@query("""SELECT event_type, count(*) AS n, true AS distinct_within, true AS median_within, true AS days_as_one FROM events GROUP BY event_type""")
+def merged_sketches(spark, sf_dir):  # A17: states by day, merged; each estimate within its bound of the exact value
+    e = _t(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
+    store = Store("states")
+    halves = [e.filter(F.dayofmonth("day") <= 15), e.filter(F.dayofmonth("day") > 15)]
+    for half in halves:
+        daily = sketches.summarise(half, ["event_type", "day"], "user_id", "value")
+        store = sketches.add_load(store, sketches.merged(daily, ["event_type"]), ["event_type"])
+    got = sketches.estimates(store.scan(), ["event_type"], [0.5])
+    one = sketches.estimates(sketches.summarise(e, ["event_type"], "user_id", "value"), ["event_type"], [0.5])
+    one = one.select("event_type", F.col("items").alias("one_items"))
+    off = sketches.rank_error()
+    # the share of values up to the estimated median is within the bound of one half
+    both = e.join(got, "event_type").groupBy("event_type", got["n"], "items").agg(F.count_distinct("user_id").alias("exact"), F.avg((F.col("value") <= F.col("q0")).cast("double")).alias("rank"), F.avg((F.col("value") == F.col("q0")).cast("double")).alias("tie"))
+    near = F.abs(F.col("items") - F.col("exact")) <= F.greatest(F.lit(1.0), F.col("exact") * sketches.distinct_error())
+    return both.join(one, "event_type").select("event_type", "n", near.alias("distinct_within"), F.col("rank").between(0.5 - off, 0.5 + off + F.col("tie")).alias("median_within"), (F.abs(F.col("items") - F.col("one_items")) <= F.greatest(F.lit(1.0), F.col("exact") * 2 * sketches.distinct_error())).alias("days_as_one"))
+
+
+@query("""WITH l AS (SELECT datediff('day', DATE '1990-01-01', l_shipdate::DATE) AS s, datediff('day', DATE '1990-01-01', l_shipdate::DATE) + l_quantity::BIGINT // 10 AS e FROM lineitem),
+          p AS (SELECT p_partkey, p_partkey * 37 % 4000 AS s, p_partkey * 37 % 4000 + CASE WHEN p_partkey % 50 = 0 THEN 1500 ELSE p_partkey % 7 END AS e FROM part)
+          SELECT p_partkey, count(*) AS n, sum(least(l.e, p.e) - greatest(l.s, p.s) + 1)::BIGINT AS days FROM l JOIN p ON l.s <= p.e AND p.s <= l.e GROUP BY p_partkey""")
+def interval_overlap(spark, sf_dir):  # J2: intervals of a few days and of years
+    ship = F.datediff(F.to_date("l_shipdate"), F.lit("1990-01-01").cast("date")).cast("long")
+    line = _t(spark, sf_dir, "lineitem").select(ship.alias("s"), (ship + F.floor(F.col("l_quantity").cast("long") / 10)).alias("e"))
+    at = F.col("p_partkey") * 37 % 4000
+    part = _t(spark, sf_dir, "part").select("p_partkey", at.alias("ps"), (at + F.when(F.col("p_partkey") % 50 == 0, 1500).otherwise(F.col("p_partkey") % 7)).alias("pe"))
+    got = intervals.overlapping(line, part, ("s", "e"), ("ps", "pe"))
+    days = F.least("e", "pe") - F.greatest("s", "ps") + 1
+    return got.groupBy("p_partkey").agg(F.count(F.lit(1)).alias("n"), F.sum(days).cast("long").alias("days"))
+
+
 @query("""SELECT event_id, count(*) FILTER (event_type = 'purchase') OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS failures FROM events""")
 def breaker_window_failures(spark, sf_dir):  # W2
     return breaker.failures_in_window(_t(spark, sf_dir, "events"), "user_id", "ts", F.col("event_type") == "purchase", 86400).select("event_id", "failures")
