@@ -5,9 +5,11 @@ reduced to one row per key. No side is broadcast by hint: Spark does it by size.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import scan
+
 
 def loop_join(outer: DataFrame, inner: DataFrame, on: list[tuple[str, str]] | None = None, theta: Column | None = None) -> DataFrame:
     """Inner join on pairs of columns and/or any predicate; cross without either.
@@ -69,15 +71,14 @@ def merge_full(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return j.select(*cols)
 
 
-def as_of(left: DataFrame, right: DataFrame, by: str, ts: str, right_ts: str, take: list[str]) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, by: str, ts: str, right_ts: str, take: list[str], parts: int | None = None) -> DataFrame:
     """For each left row the last right row of the same key not later than it: one sort
-    of both sides together, no pairs."""
+    of both sides together, no pairs. A frequent key is cut into slices (`scan.running`)."""
     kind = right.select(F.struct(*take).alias("v")).schema[0].dataType
     a = left.withColumn("_t", F.col(ts)).withColumn("_side", F.lit(1)).withColumn("_v", F.lit(None).cast(kind))
     b = right.select(F.col(by), F.col(right_ts).alias("_t"), F.lit(0).alias("_side"), F.struct(*take).alias("_v"))
     u = a.unionByName(b, allowMissingColumns=True)
-    w = Window.partitionBy(by).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    out = u.withColumn("_m", F.last("_v", ignorenulls=True).over(w)).filter("_side = 1")
+    out = scan.running(u, by, ["_t", "_side"], parts=parts, _m=scan.last(F.col("_v"))).filter("_side = 1")
     return out.select(*left.columns, *[F.col(f"_m.{c}").alias(f"asof_{c}") for c in take])
 
 

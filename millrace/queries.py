@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions import Semantics, catalog
 from .functions.semantics import resolve
-from .operators import intervals, joins, sketches, steps
+from .operators import intervals, joins, scan, sketches, steps
 from .operators.schema import Schema, variant_matches
 from .operators.stores import Catalog, Store
 from .plans import Action, Mission, Stage, mission, schedule, text
@@ -661,6 +661,17 @@ def interval_overlap(spark, sf_dir):  # J2: intervals of a few days and of years
     return got.groupBy("p_partkey").agg(F.count(F.lit(1)).alias("n"), F.sum(days).cast("long").alias("days"))
 
 
+@query("""SELECT o_orderkey, row_number() OVER w AS nth, sum((o_totalprice * 100)::DECIMAL(18, 0)::BIGINT) OVER w AS cents, max(o_custkey) OVER w AS top_customer,
+          last_value(CASE WHEN o_orderpriority = '1-URGENT' THEN o_orderkey END IGNORE NULLS) OVER w AS last_urgent
+          FROM orders WINDOW w AS (PARTITION BY o_orderstatus ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+def running_values(spark, sf_dir):  # W1: three keys, two of which hold nearly all rows
+    o = _t(spark, sf_dir, "orders")
+    urgent = F.when(F.col("o_orderpriority") == "1-URGENT", F.col("o_orderkey"))
+    cents = F.round(F.col("o_totalprice") * 100).cast("long")
+    got = scan.running(o, "o_orderstatus", ["o_orderdate", "o_orderkey"], nth=scan.number(), cents=scan.total(cents), top_customer=scan.greatest(F.col("o_custkey")), last_urgent=scan.last(urgent))
+    return got.select("o_orderkey", "nth", "cents", "top_customer", "last_urgent")
+
+
 @query("""SELECT event_id, count(*) FILTER (event_type = 'purchase') OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS failures FROM events""")
 def breaker_window_failures(spark, sf_dir):  # W2
     return breaker.failures_in_window(_t(spark, sf_dir, "events"), "user_id", "ts", F.col("event_type") == "purchase", 86400).select("event_id", "failures")

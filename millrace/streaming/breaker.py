@@ -5,17 +5,31 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import scan
 from ..sources.resilience import Breaker
 
 
-def failures_in_window(events: DataFrame, by: str, ts: str, failed, seconds: int) -> DataFrame:
-    """At each event, the failures of its source in the `seconds` up to it."""
-    t = F.unix_micros(F.col(ts).cast("timestamp"))
-    w = Window.partitionBy(by).orderBy(t).rangeBetween(-seconds * 1_000_000, 0)
-    return events.withColumn("failures", F.count_if(failed).over(w))
+def failures_in_window(events: DataFrame, by: str, ts: str, failed: Column, seconds: int, parts: int | None = None) -> DataFrame:
+    """At each event, the failures of its source in the `seconds` up to it; events without
+    a time count among themselves. A frequent source is cut into slices: each failure then
+    counts one from its time on and one less from when it leaves the window."""
+    e = events.withColumn("_at", F.unix_micros(F.col(ts).cast("timestamp")))
+    span = seconds * 1_000_000
+    points = scan.cut_points(e, [by], ["_at"], parts)
+    if points is None:
+        w = Window.partitionBy(by).orderBy("_at").rangeBetween(-span, 0)
+        return e.withColumn("failures", F.count_if(failed).over(w)).drop("_at")
+    there = e.withColumn("_by", F.when(failed, 1).otherwise(0).cast("long")).withColumn("_event", F.lit(True))
+    gone = e.filter(failed & F.col("_at").isNotNull()).select(F.col(by), (F.col("_at") + span + 1).alias("_at"), F.lit(-1).cast("long").alias("_by"), F.lit(False).alias("_event"))
+    both = there.unionByName(gone, allowMissingColumns=True).withColumn("_dated", F.col("_at").isNotNull())
+    # rows without a time come first in a key's order: what they count stays among them
+    undated = F.when(~F.col("_dated"), F.col("_by"))
+    run = scan.running(both, by, "_at", peers=True, points=points, _all=scan.total(F.col("_by")), _undated=scan.total(undated))
+    n = F.col("_all") - F.when(F.col("_dated"), F.coalesce("_undated", F.lit(0))).otherwise(0)
+    return run.filter("_event").select(*[F.col(f"`{c}`") for c in events.columns], n.alias("failures"))
 
 
 def states(events: DataFrame, by: str, ts: str, failed: str, breaker: Callable[[], Breaker] = Breaker) -> DataFrame:
