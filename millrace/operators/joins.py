@@ -73,10 +73,11 @@ def merge_full(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 def as_of(left: DataFrame, right: DataFrame, by: str, ts: str, right_ts: str, take: list[str], parts: int | None = None) -> DataFrame:
     """For each left row the last right row of the same key not later than it: one sort
-    of both sides together, no pairs. A frequent key is cut into slices (`scan.running`)."""
+    of both sides together, no pairs. A null key or time has no partner. A frequent key is cut
+    into slices (`scan.running`)."""
     kind = right.select(F.struct(*take).alias("v")).schema[0].dataType
     a = left.withColumn("_t", F.col(ts)).withColumn("_side", F.lit(1)).withColumn("_v", F.lit(None).cast(kind))
-    b = right.select(F.col(by), F.col(right_ts).alias("_t"), F.lit(0).alias("_side"), F.struct(*take).alias("_v"))
+    b = right.filter(F.col(by).isNotNull() & F.col(right_ts).isNotNull()).select(F.col(by), F.col(right_ts).alias("_t"), F.lit(0).alias("_side"), F.struct(*take).alias("_v"))
     u = a.unionByName(b, allowMissingColumns=True)
     out = scan.running(u, by, ["_t", "_side"], parts=parts, _m=scan.last(F.col("_v"))).filter("_side = 1")
     return out.select(*left.columns, *[F.col(f"_m.{c}").alias(f"asof_{c}") for c in take])

@@ -55,11 +55,12 @@ def test_empty_tables_and_own_names(hot):
 
 
 def test_as_of_over_a_hot_key(hot):
-    left = hot.filter("id % 2 = 0 AND k IS NOT NULL").select("id", "k", "t")
+    left = hot.filter("id % 2 = 0").select("id", "k", "t")
     right = hot.filter("id % 2 = 1").groupBy("k", F.col("t").alias("rt")).agg(F.max("id").alias("rid"))
     plain = joins.as_of(left, right, "k", "t", "rt", ["rid"], parts=1)
     cut = joins.as_of(left, right, "k", "t", "rt", ["rid"], parts=8)
     assert sorted(map(repr, cut.collect())) == sorted(map(repr, plain.collect()))
+    assert cut.filter("(k IS NULL OR t IS NULL) AND asof_rid IS NOT NULL").count() == 0
     brute = {}
     for r in right.filter("k = 0 AND rt IS NOT NULL").collect():
         brute[r.rt] = r.rid
