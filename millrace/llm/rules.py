@@ -133,8 +133,9 @@ def learned_lines(docs: DataFrame, text: str = "text", source: str = "source") -
     # a document is known by its set of lines
     lines = d.select("_src", least.alias("_a"), next_.alias("_b"), F.xxhash64("_h").alias("_doc"), F.explode("_h").alias("line"))
     lines = lines.select("_src", "line", F.when(F.col("line") == F.col("_a"), F.col("_b")).otherwise(F.col("_a")).alias("companion"), "_doc")
-    # combined before each shuffle: a line of very many documents is a row for each companion
-    each = lines.groupBy("_src", "line", "companion").agg(F.approx_count_distinct("_doc").alias("docs"))
+    # combined before each shuffle, so a line of very many documents is in no one task: documents
+    # that count are told apart by all four columns, then counted by companion, then by line
+    each = lines.distinct().groupBy("_src", "line", "companion").agg(F.count(F.lit(1)).alias("docs"))
     of = each.groupBy("_src", "line").agg(F.sum("docs").alias("docs"), F.count(F.lit(1)).alias("companions"))
     return of.filter((F.col("docs") >= SHARED) & (F.col("companions") >= COMPANIONS * F.col("docs"))).select(F.col("_src").alias("source"), "line")
 

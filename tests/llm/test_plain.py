@@ -232,6 +232,15 @@ def test_verdict_and_learned_boilerplate(spark):
     assert not any(got[i][0] for i in range(14) if 2 * len(footer) > len(rows[i][1])) and all(got[i][0] for i in range(14, 40))
 
 
+def test_documents_of_a_line_are_counted_exactly(spark):
+    rows = []
+    for s in range(60):  # a source each: ten documents share a line in even ones, nine in odd ones, with copies
+        own = rules.SHARED - s % 2
+        rows += [(f"s{s}", f"line of {s}\nown text {s} {i}") for i in range(own) for _ in range(1 + i % 3)]
+    got = {(r.source) for r in rules.learned_lines(spark.createDataFrame(rows, "source string, text string")).collect()}
+    assert got == {f"s{s}" for s in range(0, 60, 2)}
+
+
 def test_quality_labels_agree(spark):
     d = "/root/testdata/sf0.01"
     got = rules.clean_lines(spark.read.parquet(f"{d}/documents.parquet")).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").filter("not base_failed").collect()
