@@ -161,6 +161,7 @@ def clean_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", column
     lines = d.select("_src", name, F.posexplode(_hashes(F.col("_text"))).alias("_i", "_line")).filter("_line is not null")
     bad = lines.join(learned, (lines["_line"] == learned["line"]) & lines["_src"].eqNullSafe(learned["_s"]))
     bad = settle(bad.groupBy(F.col("_src").alias("_s"), F.col("_name").alias("_n")).agg(F.collect_set("_i").alias("_learned")))
-    d = d.join(bad, (F.xxhash64(d["_text"]) == bad["_n"]) & d["_src"].eqNullSafe(bad["_s"]), "left")
+    # by sorting at every size: what is joined to the texts grows with them
+    d = d.join(bad.hint("merge"), (F.xxhash64(d["_text"]) == bad["_n"]) & d["_src"].eqNullSafe(bad["_s"]), "left")
     got = d.select("_key", "_text", F.transform("_learned", lambda x: x.cast("string")).alias("_learned")).mapInPandas(_judged(["_key", *columns]), schema)
     return got.select(F.col("_key").cast(kind).alias(key), *columns)
