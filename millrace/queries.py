@@ -4,6 +4,7 @@ Ids in the comments are those of the operator inventory."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,10 +13,11 @@ from pyspark.sql import functions as F
 from .functions import Semantics, catalog
 from .functions.semantics import resolve
 from .operators import intervals, joins, scan, sketches, steps
+from .operators.buckets import BucketStore
 from .operators.schema import Schema, variant_matches
 from .operators.stores import Catalog, Store
 from .plans import Action, Mission, Stage, mission, schedule, text
-from .sources import openapi, paging, sync
+from .sources import openapi, paging, shared, sync
 from .streaming import breaker, pairs, waits
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -661,6 +663,18 @@ def interval_overlap(spark, sf_dir):  # J2: intervals of a few days and of years
     return got.groupBy("p_partkey").agg(F.count(F.lit(1)).alias("n"), F.sum(days).cast("long").alias("days"))
 
 
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderpriority = '1-URGENT' THEN 'urgent' ELSE o_orderstatus END AS state, (o_totalprice * 100)::DECIMAL(18, 0)::BIGINT AS cents,
+          CASE WHEN o_orderpriority = '1-URGENT' THEN o_custkey END AS customer FROM orders WHERE o_orderstatus <> 'P'""")
+def store_bucketed_merge(spark, sf_dir):  # K13: a store in buckets: set, merged with a new column, deleted from
+    o = _t(spark, sf_dir, "orders")
+    path = shared.goes_at_exit(spark, f"{shared.shared_dir(spark)}/{uuid.uuid4().hex}")
+    store = BucketStore(spark, path, 16)
+    store.set(o.select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("state"), F.round(F.col("o_totalprice") * 100).cast("long").alias("cents")), F.col("id"))
+    store.upsert(o.filter("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("id"), F.lit("urgent").alias("state"), F.col("o_custkey").alias("customer")), F.col("id"))
+    store.delete(o.filter("o_orderstatus = 'P'"), F.col("o_orderkey"))
+    return store.store().scan().select("id", "state", "cents", "customer")
+
+
 @query("""SELECT o_orderkey, row_number() OVER w AS nth, sum((o_totalprice * 100)::DECIMAL(18, 0)::BIGINT) OVER w AS cents, max(o_custkey) OVER w AS top_customer,
           last_value(CASE WHEN o_orderpriority = '1-URGENT' THEN o_orderkey END IGNORE NULLS) OVER w AS last_urgent
           FROM orders WINDOW w AS (PARTITION BY o_orderstatus ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
