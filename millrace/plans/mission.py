@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..operators.stores import Catalog
 from ..sources.resilience import Backoff
+from .executions import Executions
 
 STATE = "execution_id string, mission string, stage int, name string, status string, started double, ended double, error string"
 
@@ -95,6 +96,7 @@ class Mission:
         self.dry_run, self.emit, self.concurrency = dry_run, on_event or (lambda kind, info: None), concurrency
         self.state: list[dict] = []
         self.execution_id = uuid.uuid4().hex
+        self.executions: Executions | None = None
         self.marks = None  # the checkpoints of requests, once it has run
         self.validate(len(actions))
 
@@ -111,28 +113,37 @@ class Mission:
         done = {r["stage"] for r in self.state if r["status"] in ("completed", "skipped")}
         return next((k for k in range(len(self.stages)) if k not in done), -1)
 
-    def run(self, resume: list[dict] | None = None) -> Mission:
+    def run(self, resume: list[dict] | None = None, executions: Executions | None = None) -> Mission:
+        """`resume` has the states of stages to go on from; `executions` keeps states and stores
+        stage by stage, but not those of a dry run."""
         self.state = list(resume or [])
+        self.executions = None if self.dry_run else executions
         start = self.resume_point() if resume else 0
         self.emit("mission.start", {"name": self.name})
         for k in range(start if start >= 0 else len(self.stages), len(self.stages)):
             stage = self.stages[k]
             began = time.time()
+            before = dict(self.stores.stores)
+            saved: dict[str, str] = {}
             label = ", ".join(stage.actions)
             if stage.when and not stage.when(self):
                 self._note(k, label, "skipped", began)
                 continue
             try:
                 self._stage(stage)
+                if self.executions is not None:
+                    saved = self.executions.save(self, before)
             except Exception as e:
                 self._note(k, label, "failed", began, str(e))
                 raise
-            self._note(k, label, "completed", began)
+            self._note(k, label, "completed", began, saved=saved)
         self.emit("mission.end", {"name": self.name})
         return self
 
-    def _note(self, stage: int, name: str, status: str, began: float, error: str | None = None) -> None:
+    def _note(self, stage: int, name: str, status: str, began: float, error: str | None = None, saved: dict[str, str] | None = None) -> None:
         row = {"execution_id": self.execution_id, "mission": self.name, "stage": stage, "name": name, "status": status, "started": began, "ended": time.time(), "error": error}
+        if self.executions is not None:
+            self.executions.add(self, row, saved or {})
         self.state = [r for r in self.state if r["stage"] != stage] + [row]
         self.emit(f"stage.{status}", row)
 

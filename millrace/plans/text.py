@@ -1397,10 +1397,12 @@ def read_folder(files: dict[str, str]) -> Program:
     return p
 
 
-def run(text: str, spark: SparkSession, stores: dict[str, DataFrame] | None = None, sources: dict[str, Fetch] | None = None, events: Callable[[SparkSession, str], DataFrame] | None = None, marks: Watermarks | None = None, log: RequestLog | None = None, auth: dict[str, Any] | None = None, **kw) -> M.Mission:
+def run(text: str, spark: SparkSession, stores: dict[str, DataFrame] | None = None, sources: dict[str, Fetch] | None = None, events: Callable[[SparkSession, str], DataFrame] | None = None, marks: Watermarks | None = None, log: RequestLog | None = None, auth: dict[str, Any] | None = None, executions: M.Executions | None = None, resume: bool = False, **kw) -> M.Mission:
     """Parse, compile and run a mission; its stores and checkpoints are in the result. `log`
-    keeps answers for a later run of the mission; `auth` has each source's credentials (H5)."""
+    keeps answers for a later run of the mission; `auth` has each source's credentials (H5).
+    `executions` keeps its stages, and with `resume` the newest that did not complete goes on."""
     c = Compiler(parse(text), spark, Catalog(spark, stores), sources, events, marks, log, auth)
-    m = c.build(**kw).run()
+    m = c.build(**kw)
+    m.run(executions.reopen(m) if executions and resume else None, executions)
     m.marks = c.marks
     return m

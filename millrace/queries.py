@@ -17,6 +17,7 @@ from .operators.buckets import BucketStore
 from .operators.schema import Schema, variant_matches
 from .operators.stores import Catalog, Store
 from .plans import Action, Mission, Stage, mission, schedule, text
+from .plans.executions import Executions
 from .sources import openapi, paging, shared, sync
 from .streaming import breaker, pairs, waits
 
@@ -738,6 +739,43 @@ def pipeline_parallel_merge(spark, sf_dir):  # P1, P2
     return m.stores["out"].scan().select("k", "src")
 
 
+@query("""SELECT o_orderpriority AS mission, count(*) AS stages, count(*) FILTER (o_orderstatus <> 'O') AS done, count(*) FILTER (o_orderstatus = 'O') AS failed,
+          count(*) FILTER (o_orderstatus <> 'O') * 100 // count(*) AS percent FROM orders GROUP BY 1""")
+def progress_by_mission(spark, sf_dir):  # A16: orders as stages of missions
+    status = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "P", "skipped").otherwise("failed")
+    return mission.progress(_t(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("mission"), status.alias("status")))
+
+
+@query("SELECT event_id, user_id FROM events ORDER BY event_id DESC LIMIT 50")
+def newest_states(spark, sf_dir):  # W3
+    return mission.newest(_t(spark, sf_dir, "events").select("event_id", "user_id"), "event_id")
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderpriority = '1-URGENT' THEN 'urgent' ELSE 'plain' END AS kind, count(l_orderkey) AS lines
+          FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL""")
+def execution_resumed(spark, sf_dir):  # P10: a mission whose second stage fails, gone on with from what was kept
+    kept = Executions(spark, shared.goes_at_exit(spark, f"{shared.shared_dir(spark)}/{uuid.uuid4().hex}"))
+    kind = F.when(F.col("o_orderpriority") == "1-URGENT", "urgent").otherwise("plain")
+
+    def load(ctx):
+        ctx.store("ord", _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), kind.alias("kind")), F.col("id"))
+
+    def fail(ctx):
+        raise ValueError("away")
+
+    def count(ctx):
+        ctx.store("out", joins.group_join(ctx.read("ord"), _t(spark, sf_dir, "lineitem"), ("id", "l_orderkey"), lines=F.count(F.lit(1))), F.col("id"))
+
+    stages = [Stage(["Load"]), Stage(["Count"])]
+    try:
+        Mission("m", spark, [Action("Load", load), Action("Count", fail)], stages).run(executions=kept)
+    except ValueError:
+        pass
+    again = Mission("m", spark, [Action("Load", fail), Action("Count", count)], stages)
+    out = again.run(kept.reopen(again), kept).stores["out"].scan()
+    return out.select("id", "kind", F.coalesce("lines", F.lit(0)).alias("lines"))
+
+
 @query("SELECT 'm' AS mission, 3::BIGINT AS stages, 2::BIGINT AS done, 1::BIGINT AS failed, 66::BIGINT AS percent")
 def progress_rollup(spark, sf_dir):  # P3, P10, A16
     def fail(ctx):
