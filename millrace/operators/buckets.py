@@ -5,7 +5,7 @@ buckets are even whatever the records. A write reads the buckets of its keys (pa
 as a store in memory does, and replaces them by dynamic partition overwrite: files of other buckets are
 neither read nor moved. Tasks write beside the table and Spark puts buckets in place once all have ended,
 so a failed or repeated task, or a lost executor, leaves the table as it was; a driver that ends while it
-moves them may leave some buckets old. There is one writer at a time; who reads asks for `store()` anew
+moves them may leave some buckets old or missing (their files are still in the staging folder). There is one writer at a time; who reads asks for `store()` anew
 after a write."""
 
 from __future__ import annotations

@@ -215,10 +215,12 @@ class Catalog:
         jvm = self.spark._jvm.org.apache.hadoop.fs
         to = jvm.Path(path)
         fs = to.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if fs.exists(to):
-            fs.rename(to, jvm.Path(old))
+        moved = fs.exists(to)
+        if moved and not fs.rename(to, jvm.Path(old)):
+            raise OSError(f"cannot move {path} aside; the new table is at {new}")
         if not fs.rename(jvm.Path(new), to):
-            raise OSError(f"cannot put {new} at {path}")
+            back = moved and fs.rename(jvm.Path(old), to)
+            raise OSError(f"cannot put {new} at {path}" + (f"; the old table is at {old}" if moved and not back else ""))
         fs.delete(jvm.Path(old), True)
         self.load(name, path)
 
