@@ -9,13 +9,17 @@ Prefix doubling over the suffixes, of which only the first `threshold` bytes mat
    slice: a position whose rank is unique drops out with all its windows; of contexts whose
    whole bytes are equal all but the first repeat an earlier one, and the first goes on only
    if its rank has other contexts too.
-2. The windows that are left are positions of their own now, each with its rank over `START`
-   bytes and the names of the pieces that follow at offsets START, 2 START, 4 START, ...
-3. Round by round Spark range-sorts the pairs (rank over k bytes, name of the k bytes at offset
-   k); the tasks rerank them, positions with a unique pair drop out, and k doubles, until the
-   threshold is reached. There all positions of one rank but the first repeat an earlier one.
-
-A name is a hash of 64 bits and never decides alone: two names at least do.
+2. The windows that are left are positions of their own now, and so are the places inside them
+   that the rounds look up. Each has the name of the `START` bytes there, by which Spark sorts
+   and the tasks rerank: that is the rank over `START` bytes.
+3. Round by round each position looks up the rank, of the same round, at the offset of k bytes, by a
+   join on document and place; Spark range-sorts the pairs (rank, rank at the offset), the tasks
+   rerank them, and k doubles, until the threshold is reached. A position with a unique rank
+   drops out, and so do all whose string it lies in, as their lookup finds nothing. At the threshold
+   all positions of one rank but the first repeat an earlier one.
+
+The name of the first bytes is a hash of 64 bits; no later round hashes text, and a string of
+`threshold` bytes is held equal to another only if two names at least agree.
 
 Skew: what repeats inside one batch of a task is settled there, before any shuffle. Slices hold
 equally many rows, however many of them have one rank; a rank that goes on over several slices
@@ -48,8 +52,8 @@ _ENTRY = "kind int, slice int, g long, c long, key long, lo long, n int"
 
 
 def pieces(threshold: int) -> list[tuple[int, int]]:
-    """The byte ranges of a position that the rounds name: the first rank's, then the piece
-    at each offset that doubling reaches, two pieces at least."""
+    """The bytes that each round adds to what its ranks cover: the first rank's, then those from
+    each offset that doubling reaches, two pieces at least."""
     out = [(0, min(START, max(1, threshold // 2)))]
     while out[-1][1] < threshold:
         k = out[-1][1]
@@ -57,6 +61,15 @@ def pieces(threshold: int) -> list[tuple[int, int]]:
     return out if len(out) > 1 else [*out, (threshold, threshold)]
 
 
+def offsets(threshold: int) -> list[int]:
+    """At which bytes of a window the rounds look up first ranks: a rank over n bytes comes of two
+    over k, at 0 and n - k, each of which comes of two more."""
+    out, cover = {0}, [end for _, end in pieces(threshold)]
+    for k, n in zip(cover[-2::-1], cover[:0:-1], strict=True):
+        out |= {x + n - k for x in out}
+    return sorted(out)
+
+
 def _entries(kind: int, g=0, c=0, key=0, lo=0, n=1) -> pd.DataFrame:
     rows = len(key)
     wide = lambda x: np.broadcast_to(np.asarray(x, np.int64), rows)
@@ -175,17 +188,23 @@ def _classes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield _entries(TAIL, *np.asarray(lead)[:, None])
 
 
-def _windows(whole: int) -> Callable:
-    """Names of the pieces of the windows asked for. Rows come sorted by key, the requests of a
-    document before its text. Windows that repeat inside a batch are settled here."""
-    cuts = pieces(whole)
-    names = [f"h{i}" for i in range(len(cuts))]
+def _positions(whole: int) -> Callable:
+    """First ranks of the windows asked for: one row (name of the first bytes, key, lo) for each
+    position that the rounds will look up. Rows come sorted by key, the requests of a document
+    before its text. Windows that repeat inside a batch are settled here."""
+    first, at_bytes = pieces(whole)[0][1], offsets(whole)
+    full = max(1, 2 * BATCH // len(at_bytes))
 
     def flush(out: list) -> Iterator[pd.DataFrame]:
-        *h, key, lo = (np.concatenate(x) for x in zip(*out, strict=True))
-        order, new = _firsts((*h, key, lo), tuple(h))
-        for kind, rows in ((SPAN, order[~new]), (CONTEXT, order[new])):
-            yield pd.DataFrame({"kind": np.full(len(rows), kind), "key": key[rows], "lo": lo[rows], **{c: x[rows] for c, x in zip(names, h, strict=True)}})
+        *names, all_of, key, lo = (np.concatenate(x) for x in zip(*out, strict=True))
+        order, new = _firsts((names[0], all_of, key, lo), (names[0], all_of))
+        dup, go = order[~new], order[new]
+        yield pd.DataFrame({"kind": np.full(len(dup), SPAN), "name": 0, "key": key[dup], "lo": lo[dup]})
+        name = np.concatenate([x[go] for x in names])
+        keys, los = np.tile(key[go], len(names)), np.concatenate([lo[go] + x for x in at_bytes])
+        order, new = _firsts((keys, los), (keys, los))
+        p = order[new]
+        yield pd.DataFrame({"kind": np.full(len(p), CONTEXT), "name": name[p], "key": keys[p], "lo": los[p]})
 
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         asked, at, done = [], None, False  # ranges of windows asked for, of which key, and whether it was served
@@ -212,10 +231,11 @@ def _windows(whole: int) -> Callable:
                     q = start[np.searchsorted(start, piece) : np.searchsorted(start, piece + K.SLAB)]
                     if len(q):
                         s = K.prefix_sums(b[piece : piece + K.SLAB + whole])
+                        cuts = [*((x, x + first) for x in at_bytes), (0, whole)]
                         h = [K.range_hashes(s, q - piece + i, q - piece + j).view(np.int64) for i, j in cuts]
                         out.append((*h, np.full(len(q), k, np.int64), q))
                         size += len(q)
-                if size > BATCH:
+                if size > full:
                     yield from flush(out)
                     out, size = [], 0
         if out:
@@ -224,13 +244,14 @@ def _windows(whole: int) -> Callable:
     return rows
 
 
-def _reranked(names: list[str], last: bool) -> Callable:
-    """Reranks a slice of positions sorted by (rank, name, key, lo): the new rank tells slice
-    and number of the pair in it. first: the pair's first row here; several: the pair has
-    several rows here. One more row for either end of the slice has kind HEAD or TAIL. Rows
-    go on that may matter: those of pairs with several rows, in the last round all but their
-    first, and those of pairs that may have begun or may go on in another slice."""
-    cols = ["rank", "name", "key", "lo", *names]
+def _reranked(last: bool) -> Callable:
+    """Reranks a slice of positions sorted by (rank, name, key, lo), where name is the rank at the
+    round's offset: the new rank tells slice and number of the pair in it. first: the pair's first
+    row here; several: the pair has several rows here. One more row for either end of the slice
+    has kind HEAD or TAIL. Rows go on that may matter: those of pairs with several rows, in the
+    last round all but their first, and those of pairs that may have begun or may go on in
+    another slice. A position that two batches told is one row."""
+    cols = ["rank", "name", "key", "lo"]
 
     def frame(x: np.ndarray, kind: int, new_rank: np.ndarray, first: np.ndarray, several: np.ndarray) -> pd.DataFrame:
         return pd.DataFrame({"kind": np.full(x.shape[1], kind), "new_rank": new_rank, "first": first, "several": several, **dict(zip(cols, x, strict=True))})
@@ -239,13 +260,14 @@ def _reranked(names: list[str], last: bool) -> Callable:
         base = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
         held, joined, number = None, False, base  # the last row, whether the row before has its pair, its rank
         for f in frames:
-            if not len(f):
-                continue
             x = f[cols].to_numpy(np.int64).T
             if held is None:
+                if not len(f):
+                    continue
                 yield frame(x[:, :1], HEAD, np.array([base]), np.array([True]), np.array([False]))
             else:
                 x = np.concatenate([held, x], axis=1)
+            x = x[:, np.append(True, (x[:, 1:] != x[:, :-1]).any(axis=0))]
             same = (x[0, 1:] == x[0, :-1]) & (x[1, 1:] == x[1, :-1])
             new = np.append(not joined, ~same)
             rank = number + np.append(0, np.cumsum(~same))
@@ -260,19 +282,22 @@ def _reranked(names: list[str], last: bool) -> Callable:
     return rows
 
 
-def _doubled(windows: DataFrame, rounds: int, size: int) -> DataFrame:
-    """(key, lo) of the positions that repeat an earlier one over the whole threshold. windows
-    has key, lo and the names h0, h1, ... of the pieces; h0 is the first rank; size tells its
-    bytes."""
-    spark = windows.sparkSession
-    at = windows.select(F.col("h0").alias("rank"), F.col("h1").alias("name"), "key", "lo", *[f"h{i}" for i in range(2, rounds + 1)])
-    old = None
-    for k in range(1, rounds + 1):
-        names = [f"h{i}" for i in range(k + 1, rounds + 1)]
-        order = ["rank", "name", "key", "lo"]
-        schema = "kind int, new_rank long, first boolean, several boolean, rank long, name long, key long, lo long" + "".join(f", {c} long" for c in names)
-        dealt = at.repartitionByRange(dealt_over(spark, size), *order).sortWithinPartitions(*order)
-        got = settle(dealt.mapInPandas(_reranked(names, k == rounds), schema))
+def _doubled(positions: DataFrame, threshold: int, size: int) -> DataFrame:
+    """(key, lo) of the positions that repeat an earlier one over the whole threshold, as a settled
+    table. positions has key, lo and name, which names the first bytes there; size tells its bytes.
+
+    Each round sorts and reranks; a position whose rank is unique drops out, and with it every
+    position that would look it up. The others look up the rank, of the same round, at the offset
+    to which the next one reaches: a join by document and place, so a long document is dealt too."""
+    spark = positions.sparkSession
+    order = ["rank", "name", "key", "lo"]
+    schema = "kind int, new_rank long, first boolean, several boolean, rank long, name long, key long, lo long"
+    pairs = positions.select(F.col("name").alias("rank"), F.lit(0).cast("long").alias("name"), "key", "lo")
+    cover, old = [end for _, end in pieces(threshold)], None
+    for i, k in enumerate(cover):
+        last = i + 1 == len(cover)
+        dealt = pairs.repartitionByRange(dealt_over(spark, size), *order).sortWithinPartitions(*order)
+        got = settle(dealt.mapInPandas(_reranked(last), schema))
         size = settled_bytes(got)
         # pairs that go on over several slices: two rows a slice, so their number follows the tasks
         ends = got.filter(F.col("kind") != CONTEXT).groupBy(F.col("rank").alias("r"), F.col("name").alias("m"))
@@ -281,10 +306,13 @@ def _doubled(windows: DataFrame, rounds: int, size: int) -> DataFrame:
         old, rows = got, got.filter(F.col("kind") == CONTEXT)
         rows = rows.join(F.broadcast(ends), (rows["rank"] == ends["r"]) & (rows["name"] == ends["m"]), "left")
         rank = F.coalesce("true_rank", "new_rank")
-        if k == rounds:
-            return rows.filter(~F.col("first") | (rank != F.col("new_rank"))).select("key", "lo")
-        left = rows.filter(F.col("several") | F.col("true_rank").isNotNull())
-        at = left.select(rank.alias("rank"), F.col(names[0]).alias("name"), "key", "lo", *names[1:])
+        if last:
+            out = settle(rows.filter(~F.col("first") | (rank != F.col("new_rank"))).select("key", "lo"))
+            drop(got)
+            return out
+        left = rows.filter(F.col("several") | F.col("true_rank").isNotNull()).select(rank.alias("rank"), "key", "lo")
+        there = left.select(F.col("rank").alias("name"), F.col("key").alias("_key"), (F.col("lo") - (cover[i + 1] - k)).alias("_lo"))
+        pairs = left.join(there.hint("merge"), (F.col("key") == F.col("_key")) & (F.col("lo") == F.col("_lo"))).select(*order)
     raise AssertionError
 
 
@@ -398,9 +426,8 @@ def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", thres
     texts = slim.select(F.lit(REQUEST + 1).alias("kind"), "_key", F.lit(0).cast("long").alias("lo"), F.lit(0).alias("n"), "_text")
     tasks = dealt_over(spark, size)
     both = asked.unionByName(texts).repartition(tasks, "_key").sortWithinPartitions("_key", "kind")
-    rounds = len(pieces(threshold)) - 1
-    named = settle(both.mapInPandas(_windows(threshold), "kind int, key long, lo long" + "".join(f", h{i} long" for i in range(rounds + 1))))
-    repeats = settle(_doubled(named.filter(F.col("kind") == CONTEXT), rounds, settled_bytes(named)))
+    named = settle(both.mapInPandas(_positions(threshold), "kind int, name long, key long, lo long"))
+    repeats = _doubled(named.filter(F.col("kind") == CONTEXT), threshold, settled_bytes(named))
     singles = named.filter(F.col("kind") == SPAN).select("key", "lo").unionByName(repeats)
     spans = first.filter(F.col("kind") == SPAN).select("key", "lo", "n").unionByName(singles.withColumn("n", F.lit(1)))
     spans = settle(spans)
