@@ -248,13 +248,14 @@ def _reranked(last: bool) -> Callable:
     """Reranks a slice of positions sorted by (rank, name, key, lo), where name is the rank at the
     round's offset: the new rank tells slice and number of the pair in it. first: the pair's first
     row here; several: the pair has several rows here. One more row for either end of the slice
-    has kind HEAD or TAIL. Rows go on that may matter: those of pairs with several rows, in the
+    has kind HEAD or TAIL, and alone tells its pair. Rows go on that may matter: those of pairs with several rows, in the
     last round all but their first, and those of pairs that may have begun or may go on in
     another slice. A position that two batches told is one row."""
     cols = ["rank", "name", "key", "lo"]
 
     def frame(x: np.ndarray, kind: int, new_rank: np.ndarray, first: np.ndarray, several: np.ndarray) -> pd.DataFrame:
-        return pd.DataFrame({"kind": np.full(x.shape[1], kind), "new_rank": new_rank, "first": first, "several": several, **dict(zip(cols, x, strict=True))})
+        pair = x[:2] if kind != CONTEXT else np.zeros_like(x[:2])
+        return pd.DataFrame({"kind": np.full(x.shape[1], kind), "new_rank": new_rank, "first": first, "several": several, **dict(zip(cols, [*pair, *x[2:]], strict=True))})
 
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         base = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
@@ -282,29 +283,30 @@ def _reranked(last: bool) -> Callable:
     return rows
 
 
-def _doubled(positions: DataFrame, threshold: int, size: int) -> DataFrame:
+def _doubled(named: DataFrame, threshold: int) -> DataFrame:
     """(key, lo) of the positions that repeat an earlier one over the whole threshold, as a settled
-    table. positions has key, lo and name, which names the first bytes there; size tells its bytes.
+    table. named is settled and goes after the first round; its rows of kind CONTEXT are the
+    positions: key, lo and name, which names the first bytes there.
 
     Each round sorts and reranks; a position whose rank is unique drops out, and with it every
     position that would look it up. The others look up the rank, of the same round, at the offset
     to which the next one reaches: a join by document and place, so a long document is dealt too."""
-    spark = positions.sparkSession
+    spark, size, positions = named.sparkSession, settled_bytes(named), named.filter(F.col("kind") == CONTEXT)
     order = ["rank", "name", "key", "lo"]
     schema = "kind int, new_rank long, first boolean, several boolean, rank long, name long, key long, lo long"
     pairs = positions.select(F.col("name").alias("rank"), F.lit(0).cast("long").alias("name"), "key", "lo")
-    cover, old = [end for _, end in pieces(threshold)], None
+    cover, old = [end for _, end in pieces(threshold)], named
     for i, k in enumerate(cover):
         last = i + 1 == len(cover)
         dealt = pairs.repartitionByRange(dealt_over(spark, size), *order).sortWithinPartitions(*order)
         got = settle(dealt.mapInPandas(_reranked(last), schema))
         size = settled_bytes(got)
         # pairs that go on over several slices: two rows a slice, so their number follows the tasks
-        ends = got.filter(F.col("kind") != CONTEXT).groupBy(F.col("rank").alias("r"), F.col("name").alias("m"))
-        ends = ends.agg(F.min("new_rank").alias("true_rank"), F.max("new_rank").alias("_last")).filter("true_rank <> _last").drop("_last")
+        tips = got.filter(F.col("kind") != CONTEXT).groupBy("rank", "name").agg(F.min("new_rank").alias("true_rank"), F.collect_set("new_rank").alias("_all"))
+        ends = tips.filter(F.size("_all") > 1).select(F.explode("_all").alias("_rank"), "true_rank")
         drop(old)
         old, rows = got, got.filter(F.col("kind") == CONTEXT)
-        rows = rows.join(F.broadcast(ends), (rows["rank"] == ends["r"]) & (rows["name"] == ends["m"]), "left")
+        rows = rows.join(F.broadcast(ends), rows["new_rank"] == ends["_rank"], "left")
         rank = F.coalesce("true_rank", "new_rank")
         if last:
             out = settle(rows.filter(~F.col("first") | (rank != F.col("new_rank"))).select("key", "lo"))
@@ -427,11 +429,12 @@ def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", thres
     tasks = dealt_over(spark, size)
     both = asked.unionByName(texts).repartition(tasks, "_key").sortWithinPartitions("_key", "kind")
     named = settle(both.mapInPandas(_positions(threshold), "kind int, name long, key long, lo long"))
-    repeats = _doubled(named.filter(F.col("kind") == CONTEXT), threshold, settled_bytes(named))
-    singles = named.filter(F.col("kind") == SPAN).select("key", "lo").unionByName(repeats)
+    here = settle(named.filter(F.col("kind") == SPAN).select("key", "lo"))
+    repeats = _doubled(named, threshold)
+    singles = here.unionByName(repeats)
     spans = first.filter(F.col("kind") == SPAN).select("key", "lo", "n").unionByName(singles.withColumn("n", F.lit(1)))
     spans = settle(spans)
-    drop(first, named, repeats)
+    drop(first, here, repeats)
 
     schema = T.StructType([T.StructField("_id", T.StringType()), *[T.StructField(n, through[c]) for c, n in carried.items()]])
     for name, kind in (("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept_sha256", "string"), ("kept_text", "string")):
