@@ -295,7 +295,7 @@ def _doubled(named: DataFrame, threshold: int) -> DataFrame:
     order = ["rank", "name", "key", "lo"]
     schema = "kind int, new_rank long, first boolean, several boolean, rank long, name long, key long, lo long"
     pairs = positions.select(F.col("name").alias("rank"), F.lit(0).cast("long").alias("name"), "key", "lo")
-    cover, old = [end for _, end in pieces(threshold)], named
+    cover, old = [end for _, end in pieces(threshold)], [named]
     for i, k in enumerate(cover):
         last = i + 1 == len(cover)
         dealt = pairs.repartitionByRange(dealt_over(spark, size), *order).sortWithinPartitions(*order)
@@ -304,8 +304,8 @@ def _doubled(named: DataFrame, threshold: int) -> DataFrame:
         # pairs that go on over several slices: two rows a slice, so their number follows the tasks
         tips = got.filter(F.col("kind") != CONTEXT).groupBy("rank", "name").agg(F.min("new_rank").alias("true_rank"), F.collect_set("new_rank").alias("_all"))
         ends = tips.filter(F.size("_all") > 1).select(F.explode("_all").alias("_rank"), "true_rank")
-        drop(old)
-        old, rows = got, got.filter(F.col("kind") == CONTEXT)
+        drop(*old)
+        old, rows = [got], got.filter(F.col("kind") == CONTEXT)
         rows = rows.join(F.broadcast(ends), rows["new_rank"] == ends["_rank"], "left")
         rank = F.coalesce("true_rank", "new_rank")
         if last:
@@ -314,7 +314,11 @@ def _doubled(named: DataFrame, threshold: int) -> DataFrame:
             return out
         left = rows.filter(F.col("several") | F.col("true_rank").isNotNull()).select(rank.alias("rank"), "key", "lo")
         there = left.select(F.col("rank").alias("name"), F.col("key").alias("_key"), (F.col("lo") - (cover[i + 1] - k)).alias("_lo"))
-        pairs = left.join(there.hint("merge"), (F.col("key") == F.col("_key")) & (F.col("lo") == F.col("_lo"))).select(*order)
+        # the sort by ranges reads its input twice; the pairs are few beside what was looked up
+        pairs = settle(left.join(there.hint("merge"), (F.col("key") == F.col("_key")) & (F.col("lo") == F.col("_lo"))).select(*order))
+        size = settled_bytes(pairs)
+        drop(got)
+        old = [pairs]
     raise AssertionError
 
 
