@@ -91,3 +91,43 @@ def test_repeated_keys_are_sampled_by_row(spark, monkeypatch):
     quality.train(docs, labels, sample=20)
     quality.train(docs, labels, sample=100)
     assert [len(x) for x in seen] == [20, 61]
+
+
+def test_quality_equals_ftrl_by_the_formula(spark):
+    """The published update, one coordinate at a time, over a few texts; then the scores."""
+    texts = [("a good plain sentence about rivers", 1), ("buy now !!! CLICK here 99", 0), ("good rivers run, and rivers bend", 1), ("CLICK CLICK now", 0), ("", 0)]
+    feats = []
+    for t, y in texts:
+        for a, e, b, off in quality.K.slabs([t]):
+            feats.append((y, quality.features(b, off)[1]))
+    z, n = {}, {}
+
+    def weight(i):
+        v, l1 = z.get(i, 0.0), 0.0 if i == "bias" else quality.L1
+        if abs(v) <= l1:
+            return 0.0
+        return -(v - (l1 if v > 0 else -l1)) / ((quality.BETA + n.get(i, 0.0) ** 0.5) / quality.ALPHA + quality.L2)
+
+    def probability(f):
+        x = {int(i): (len(f) + 1) ** -0.5 for i in f} | {"bias": 1.0}
+        w = {i: weight(i) for i in x}
+        return x, w, 1 / (1 + np.exp(-sum(w[i] * x[i] for i in x)))
+
+    rng = np.random.default_rng(1)
+    for _ in range(quality.EPOCHS):
+        for at in rng.permutation(len(feats)):
+            y, f = feats[at]
+            x, w, p = probability(f)
+            for i in x:
+                g, old = (p - y) * x[i], n.get(i, 0.0)
+                n[i] = old + g * g
+                z[i] = z.get(i, 0.0) + g - (n[i] ** 0.5 - old**0.5) / quality.ALPHA * w[i]
+    model = quality.fit(feats, seed=1)
+    assert abs(model[1] - weight("bias")) < 1e-9
+    known = [i for i in z if i != "bias"]
+    assert np.allclose(model[0][known], [weight(i) for i in known], atol=1e-6)
+    assert not np.delete(model[0], known).any() and any(weight(i) for i in known)
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    for i, (_, f) in enumerate(feats):
+        assert abs(got[i] - probability(f)[2]) < 1e-5, i
