@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import settle
+
 #: How much wider the tiles of a level are than those of the level below.
 STEP = 8
 
@@ -54,3 +56,15 @@ def overlapping(left: DataFrame, right: DataFrame, left_ends: tuple[str, str], r
         begins = F.floor(F.greatest(ls, rs) / wide) == F.col("_tile")
         out.append(both.filter(begins & (F.col(ls) <= F.col(re)) & (F.col(rs) <= F.col(le))).drop("_level", "_tile"))
     return out[0].unionByName(out[1])
+
+
+def overlap_totals(left: DataFrame, right: DataFrame, left_ends: tuple[str, str], right_ends: tuple[str, str], keys: list[str] | None = None) -> DataFrame:
+    """For each distinct interval of `right` (and its keys) that shares a point with rows of `left`: how
+    many rows (`n`) and how many points they share in all (`shared`). Equal intervals of a side are one
+    row of the join, those of `left` with their number, so its pairs grow with the distinct intervals
+    and not with the product of the rows."""
+    on = [*(keys or []), *right_ends]
+    many = settle(left.groupBy(*(keys or []), *left_ends).agg(F.count(F.lit(1)).alias("_times")))
+    pairs = overlapping(many, settle(right.select(*on).distinct()), left_ends, right_ends, keys)
+    points = F.least(left_ends[1], right_ends[1]) - F.greatest(left_ends[0], right_ends[0]) + 1
+    return pairs.groupBy(*on).agg(F.sum("_times").alias("n"), F.sum(points * F.col("_times")).cast("long").alias("shared"))

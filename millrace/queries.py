@@ -659,9 +659,8 @@ def interval_overlap(spark, sf_dir):  # J2: intervals of a few days and of years
     line = _t(spark, sf_dir, "lineitem").select(ship.alias("s"), (ship + F.floor(F.col("l_quantity").cast("long") / 10)).alias("e"))
     at = F.col("p_partkey") * 37 % 4000
     part = _t(spark, sf_dir, "part").select("p_partkey", at.alias("ps"), (at + F.when(F.col("p_partkey") % 50 == 0, 1500).otherwise(F.col("p_partkey") % 7)).alias("pe"))
-    got = intervals.overlapping(line, part, ("s", "e"), ("ps", "pe"))
-    days = F.least("e", "pe") - F.greatest("s", "ps") + 1
-    return got.groupBy("p_partkey").agg(F.count(F.lit(1)).alias("n"), F.sum(days).cast("long").alias("days"))
+    got = part.join(intervals.overlap_totals(line, part, ("s", "e"), ("ps", "pe")), ["ps", "pe"])
+    return got.groupBy("p_partkey").agg(F.sum("n").alias("n"), F.sum("shared").alias("days"))
 
 
 @query("""SELECT o_orderkey AS id, CASE WHEN o_orderpriority = '1-URGENT' THEN 'urgent' ELSE o_orderstatus END AS state, (o_totalprice * 100)::DECIMAL(18, 0)::BIGINT AS cents,

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from millrace import queries
 from millrace.operators import intervals, sketches
 from millrace.operators.stores import Catalog, Store
 from millrace.streaming import pairs
@@ -29,6 +30,49 @@ def test_overlapping_intervals_of_mixed_length(spark, keys):
     assert intervals.overlapping(left.limit(0), right, ("s", "e"), ("ps", "pe"), keys).count() == 0
 
 
+@pytest.mark.parametrize("keys", [None, ["k"]])
+def test_totals_over_overlaps_join_equal_intervals_once(spark, monkeypatch, keys):
+    rnd, joined, join = random.Random(6), [], intervals.overlapping
+
+    def side(n):
+        out = [(i, rnd.randrange(3), a := rnd.randrange(12), a + rnd.choice([0, 2, 40])) for i in range(n)]
+        return [*out, (n, 0, 5, 4), (n + 1, 1, None, 5), (n + 2, 1, 5, None)]
+
+    def seen(left, right, *rest):
+        joined.extend((left.count(), right.count()))
+        return join(left, right, *rest)
+
+    monkeypatch.setattr(intervals, "overlapping", seen)
+    a, b = side(900), side(700)
+    left, right = spark.createDataFrame(a, "i long, k long, s long, e long"), spark.createDataFrame(b, "j long, k long, ps long, pe long")
+    ends = ["ps", "pe"] if not keys else ["k", "ps", "pe"]
+    got = right.join(intervals.overlap_totals(left, right, ("s", "e"), ("ps", "pe"), keys), ends)
+    fine = lambda x: x[2] is not None and x[3] is not None and x[2] <= x[3]
+    want = {}
+    for y in filter(fine, b):
+        met = [min(x[3], y[3]) - max(x[2], y[2]) + 1 for x in a if fine(x) and x[2] <= y[3] and y[2] <= x[3] and (not keys or x[1] == y[1])]
+        if met:
+            want[y[0]] = (len(met), sum(met))
+    assert {r.j: (r.n, r.shared) for r in got.collect()} == want and len(want) > 500
+    assert max(joined) <= 3 * 12 * 3 + 3
+
+
+def test_the_overlap_query_joins_distinct_intervals(spark, tmp_path, monkeypatch):
+    """Rows of few distinct intervals: 4e8 pairs as rows."""
+    joined, join = [], intervals.overlapping
+
+    def seen(left, right, *rest):
+        joined.extend((left.count(), right.count()))
+        return join(left, right, *rest)
+
+    monkeypatch.setattr(intervals, "overlapping", seen)
+    spark.range(20000).selectExpr("CAST(date_add(DATE'1990-01-01', CAST(id % 5 AS INT)) AS timestamp_ntz) AS l_shipdate", "CAST(1 AS double) AS l_quantity").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.range(20000).selectExpr("id * 4000 AS p_partkey").write.parquet(str(tmp_path / "part.parquet"))
+    got = queries.interval_overlap(spark, str(tmp_path)).agg(F.count("p_partkey"), F.min("n"), F.max("n"), F.min("days"), F.max("days")).first()
+    assert tuple(got) == (20000, 20000, 20000, 20000, 20000)
+    assert joined == [5, 1]
+
+
 def test_an_interval_makes_a_few_rows_whatever_its_length(spark):
     d = spark.createDataFrame([(0, 10**9), *[(i, i + 1) for i in range(200)]], "s long, e long")
     w = intervals.tile_widths((d, F.col("s"), F.col("e")))
