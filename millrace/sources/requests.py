@@ -6,21 +6,28 @@ their answers are a table before anything reads them. The rows then take their a
 join on the key. So two stores that are filled from one request, a condition on its answer and the
 checkpoint that is taken from it all see one answer, and a plan that Spark runs twice asks nothing.
 
-While a task asks, each answer is put down at once as a file beside the log, and a task that runs
-in place of a lost one reads those files first. They go once the answers are in the table. Two
-attempts of one task that run at the same time can still ask the same; a request that was sent
-and whose answer never came is asked again.
+While a task asks, each answer is put down at once beside the log, as a line of the task's own file,
+which is closed after each; where a storage can't append, as a file of its own. A task that runs in place
+of a lost one reads those lines alongside its rows, as both come in the order of the keys. What a run
+that failed has put down goes into the table before the next one asks, all else once the answers are in
+the table. Two attempts of one task that run at the same time can still ask the same; a request that was
+sent and whose answer never came is asked again.
 """
 
 from __future__ import annotations
 
+import heapq
+import io
 import json
+import threading
 import uuid
 from collections.abc import Callable, Iterator
+from operator import itemgetter
 
 import pandas as pd
 import pyarrow as pa
 from pyarrow import fs as afs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +57,7 @@ class RequestLog:
         self.spark, self.tasks = spark, tasks
         self.path = path.rstrip("/") if path else f"{shared_dir(spark)}/requests-{uuid.uuid4().hex}"
         self.table, self.journal = f"{self.path}/answers", f"{self.path}/journal"
+        self._lock, self._running = threading.Lock(), set()
         where, fs = file_system(spark, self.table)
         if not fs.exists(where):
             spark.createDataFrame([], _SCHEMA).write.parquet(self.table)
@@ -67,31 +75,61 @@ class RequestLog:
     def ask(self, rows: DataFrame, ask: Ask) -> DataFrame:
         """`rows`, which have the columns REQUEST, with each one's answer as ANSWER (JSON; null
         where the answer was empty) instead of them. `ask` takes path, params, body, headers."""
-        rows = settle(rows, f"{self.path}/rows-{uuid.uuid4().hex}")
-        wanted = rows.select(*REQUEST).dropDuplicates([KEY])
-        new = wanted.join(self.answers(), KEY, "left_anti")
-        tasks = self.tasks or max(self.spark.sparkContext.defaultParallelism, 1)
-        # dealt by key, so that no task has a hot one: each key is there once
-        asked = new.repartition(tasks, KEY).mapInPandas(_asking(ask, self.journal), _SCHEMA)
-        asked.write.mode("append").parquet(self.table)
-        self._forget()
+        run = uuid.uuid4().hex
+        with self._lock:
+            self._take_over()
+            self._running.add(run)
+        try:
+            rows = settle(rows, f"{self.path}/rows-{uuid.uuid4().hex}")
+            wanted = rows.select(*REQUEST).dropDuplicates([KEY])
+            new = wanted.join(self.answers(), KEY, "left_anti")
+            tasks = self.tasks or max(self.spark.sparkContext.defaultParallelism, 1)
+            # dealt by key, so that no task has a hot one: each key is there once
+            dealt = new.repartition(tasks, KEY).sortWithinPartitions(KEY)
+            asked = dealt.mapInPandas(_asking(ask, self.journal and f"{self.journal}/{run}"), _SCHEMA)
+            asked.write.mode("append").parquet(self.table)
+            self._forget(run)
+        finally:
+            with self._lock:
+                self._running.discard(run)
         return rows.join(self.answers(), KEY, "left").drop(*REQUEST)
 
-    def _forget(self) -> None:
-        """The files of single answers, all of which the table holds."""
-        if self.journal:
-            where, fs = file_system(self.spark, self.journal)
-            fs.delete(where, True)
+    def _take_over(self) -> None:
+        """Puts into the table what runs that failed have put down."""
+        left = [r for r in self._runs() if r not in self._running]
+        if left:
+            lines = self.spark.read.option("recursiveFileLookup", True).text([f"{self.journal}/{r}" for r in left])
+            told = lines.mapInPandas(_read, _SCHEMA).dropDuplicates([KEY])
+            told.join(self.answers(), KEY, "left_anti").write.mode("append").parquet(self.table)
+            for r in left:
+                self._delete(f"{self.journal}/{r}")
+
+    def _forget(self, run: str) -> None:
+        """What a run has put down, all of which the table holds."""
+        with self._lock:
+            if run in self._runs():
+                self._delete(f"{self.journal}/{run}")
+            if self._running == {run} and self.journal and not self._runs():
+                self._delete(self.journal)
+
+    def _runs(self) -> list[str]:
+        where, fs = file_system(self.spark, self.journal) if self.journal else (None, None)
+        return [f.getPath().getName() for f in fs.listStatus(where)] if fs and fs.exists(where) else []
+
+    def _delete(self, path: str) -> None:
+        where, fs = file_system(self.spark, path)
+        fs.delete(where, True)
 
 
 def _asking(ask: Ask, journal: str | None) -> Callable:
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fs, base = afs.FileSystem.from_uri(journal) if journal else (None, "")
+        put_down = _Journal(journal) if journal else None
         keys, got, held = [], [], 0
         for f in frames:
             for key, *request in f[list(REQUEST)].itertuples(index=False):
+                one = lambda r=request: ask(*(None if pd.isna(x) else x for x in r))
                 keys.append(key)
-                got.append(_once(fs, base, key, lambda r=request: ask(*(None if pd.isna(x) else x for x in r))))
+                got.append(put_down.once(key, one) if put_down else one())
                 held += len(got[-1] or "")
                 if held > HELD:
                     yield pd.DataFrame({KEY: keys, ANSWER: got}, dtype=object)
@@ -102,18 +140,60 @@ def _asking(ask: Ask, journal: str | None) -> Callable:
     return rows
 
 
-def _once(fs: afs.FileSystem | None, base: str, key: str, ask: Callable[[], str | None]) -> str | None:
-    """An answer from the file that a task before has put down, else asked for and put down."""
-    if fs is None:
-        return ask()
-    place = f"{base}/{key[:2]}/{key}"
-    if fs.get_file_info(place).type == afs.FileType.File:
-        with fs.open_input_stream(place) as f:
-            return json.loads(f.read().decode())
-    got = ask()
-    fs.create_dir(f"{base}/{key[:2]}", recursive=True)
-    part = f"{place}.{uuid.uuid4().hex}"
-    with fs.open_output_stream(part) as f:
-        f.write(json.dumps(got).encode())
-    fs.move(part, place)
-    return got
+class _Journal:
+    """The answers of one task. Its keys come in order."""
+
+    def __init__(self, run: str):
+        where = TaskContext.get().partitionId() if TaskContext.get() else 0
+        self.fs, self.base = afs.FileSystem.from_uri(f"{run}/{where}")
+        self.fs.create_dir(self.base, recursive=True)
+        files = [i.path for i in self.fs.get_file_info(afs.FileSelector(self.base)) if i.path.endswith(".lines")]
+        self.before = heapq.merge(*[_lines(self.fs, p) for p in files], key=itemgetter(0))
+        self.next = next(self.before, None)
+        self.own = f"{self.base}/{uuid.uuid4().hex}.lines"
+        self.fs.open_output_stream(self.own).close()
+        try:
+            self.fs.open_append_stream(self.own).close()
+            self.appends = True
+        except (pa.ArrowNotImplementedError, OSError):
+            self.appends = False
+
+    def once(self, key: str, ask: Callable[[], str | None]) -> str | None:
+        """An answer that an attempt before has put down, else asked for and put down."""
+        while self.next and self.next[0] < key:
+            self.next = next(self.before, None)
+        if self.next and self.next[0] == key:
+            return self.next[1]
+        place = f"{self.base}/{key}"
+        if not self.appends and self.fs.get_file_info(place).type == afs.FileType.File:
+            return next(_lines(self.fs, place))[1]
+        got = ask()
+        line = json.dumps([key, got]).encode() + b"\n"
+        if self.appends:
+            with self.fs.open_append_stream(self.own) as f:
+                f.write(line)
+        else:
+            part = f"{place}.{uuid.uuid4().hex}"
+            with self.fs.open_output_stream(part) as f:
+                f.write(line)
+            self.fs.move(part, place)
+        return got
+
+
+def _lines(fs: afs.FileSystem, path: str) -> Iterator[list]:
+    with fs.open_input_stream(path) as f:
+        for line in io.BufferedReader(f):
+            yield from _whole(line)
+
+
+def _whole(line: str | bytes) -> list[list]:
+    """[key, answer] of a line, or nothing of one that was cut off: no part of an array is JSON."""
+    try:
+        return [json.loads(line)]
+    except ValueError:
+        return []
+
+
+def _read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for f in frames:
+        yield pd.DataFrame([x for line in f["value"] for x in _whole(line)], columns=[KEY, ANSWER], dtype=object)

@@ -6,11 +6,12 @@ from collections import Counter
 from dataclasses import dataclass, field
 from pathlib import Path
 
+import pandas as pd
 import pytest
 from pyspark.errors import PySparkException
 
 from millrace.plans import text
-from millrace.sources import openapi
+from millrace.sources import openapi, requests
 from millrace.sources.paging import Endpoint, TooManyPages
 from millrace.sources.requests import RequestLog
 
@@ -154,3 +155,70 @@ def test_the_most_pages_of_an_answer(spark, raw):
     assert got.stores["out"].scan().count() == 130
     with pytest.raises(PySparkException, match=TooManyPages.__name__):
         text.run(HEAD + body, spark, {"raw": raw}, {"API": Endpoint(Endless(), "n long")})
+
+
+def test_a_failed_run_leaves_a_file_for_each_task(spark, raw, client, tmp_path):
+    """Not one for each answer; the next run takes them over, though it deals its rows otherwise."""
+    body = 'for r in raw { get "/c/{r.id}" store { id: r.id, n: response.n } -> out { key: .id } }'
+    where = f"file://{tmp_path}/log"
+    client.fails_at = "/c/17"
+    with pytest.raises(PySparkException, match="gone"):
+        run(spark, body, raw, client, log=RequestLog(spark, where, tasks=2))
+    put_down = [p for p in (tmp_path / "log" / "journal").rglob("*") if p.is_file() and not p.name.startswith(".")]
+    assert 1 <= len(put_down) <= 2 and len(asked(client)) > 3
+    with put_down[0].open("ab") as f:
+        f.write(b'["a key", "{\\"n\\": 1')  # the task ended here
+    client.fails_at = ""
+    log = RequestLog(spark, where, tasks=3)
+    m = run(spark, body, raw, client, log=log)
+    assert m.stores["out"].scan().count() == log.answers().count() == 40
+    assert {p: n for p, n in Counter(x["path"] for x in asked(client)).items() if n > 1} == {"/c/17": 2}
+    assert not (tmp_path / "log" / "journal").exists()
+
+
+def test_a_log_goes_on_after_its_own_failed_run(spark, raw, client, tmp_path):
+    body = 'for r in raw { get "/c/{r.id}" store { id: r.id, n: response.n } -> out { key: .id } }'
+    log = RequestLog(spark, f"file://{tmp_path}/log", tasks=1)
+    client.fails_at = "/c/17"
+    with pytest.raises(PySparkException, match="gone"):
+        run(spark, body, raw, client, log=log)
+    client.fails_at = ""
+    run(spark, body, raw, client, log=log)
+    assert log.answers().count() == 40 and len(asked(client)) == 41
+
+
+class NoAppend:
+    """A storage that can't append to files."""
+
+    def __init__(self):
+        self.fs = requests.afs.LocalFileSystem()
+
+    def __getattr__(self, name):
+        return getattr(self.fs, name)
+
+    def open_append_stream(self, path):
+        raise OSError("can't append")
+
+
+@pytest.mark.parametrize("appends", [True, False])
+def test_a_task_in_place_of_a_lost_one_asks_what_is_missing(tmp_path, monkeypatch, appends):
+    if not appends:
+        monkeypatch.setattr(requests.afs, "FileSystem", type("F", (), {"from_uri": staticmethod(lambda uri: (NoAppend(), uri.removeprefix("file://")))}))
+    calls, lost_at = [], ["k03", "k07", None]
+
+    def ask(path, params, body, headers):
+        if path == lost_at[0]:
+            raise RuntimeError("lost")
+        calls.append(path)
+        return None if path == "k05" else path.upper()
+
+    rows = pd.DataFrame({c: [f"k{i:02d}" for i in range(12)] for c in requests.REQUEST})
+    for _ in range(2):
+        with pytest.raises(RuntimeError, match="lost"):
+            list(requests._asking(ask, f"file://{tmp_path}/journal")(iter([rows])))
+        lost_at.pop(0)
+    got = pd.concat(requests._asking(ask, f"file://{tmp_path}/journal")(iter([rows[:5], rows[5:]])))
+    assert calls == [f"k{i:02d}" for i in range(12)]
+    assert list(got[requests.ANSWER]) == [None if i == 5 else f"K{i:02d}" for i in range(12)]
+    again = requests._asking(ask, f"file://{tmp_path}/journal")(iter([rows]))
+    assert list(pd.concat(again)[requests.ANSWER]) == list(got[requests.ANSWER]) and len(calls) == 12
