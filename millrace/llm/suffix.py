@@ -47,6 +47,8 @@ BATCH = 1 << 20
 #: Length of the first rank.
 START = 50
 _POS = U((1 << 21) - 1)
+#: Bits for a place in a document, and places that the rounds look up in one piece.
+_PLACE, PIECE = 40, 1 << 20
 CONTEXT, SPAN, REQUEST, HEAD, TAIL = 0, 1, 2, 3, 4
 _ENTRY = "kind int, slice int, g long, c long, key long, lo long, n int"
 
@@ -104,7 +106,7 @@ def _contexts(b: np.ndarray, off: np.ndarray, whole: int) -> Iterator[tuple[np.n
 
 def _firsts(order_by: tuple[np.ndarray, ...], same: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
     """A sorting order, and where in it a new group of `same` begins."""
-    order = np.lexsort(order_by[::-1])
+    order = np.lexsort(order_by[::-1]) if len(order_by) > 1 else np.argsort(order_by[0])
     new = np.zeros(len(order), bool)
     new[:1] = True
     for c in same:
@@ -113,16 +115,26 @@ def _firsts(order_by: tuple[np.ndarray, ...], same: tuple[np.ndarray, ...]) -> t
     return order, new
 
 
+def _runs(key: np.ndarray) -> np.ndarray:
+    """The number, from 0, of the run of equal keys that each row is in."""
+    return np.append(0, np.cumsum(key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
+
+
 def _scan(whole: int) -> Callable:
     """Contexts, and spans of those that repeat inside a batch, where the texts are read."""
 
     def batch(held: list[tuple[np.ndarray, ...]]) -> Iterator[pd.DataFrame]:
         g, c, key, lo, n = (np.concatenate(x) for x in zip(*held, strict=True))
-        order, new = _firsts((g, c, key, lo), (g, c))
+        # by class alone first: what is alone there needs no order
+        by, new = _firsts((c,), (c,))
+        several = ~new | np.append(~new[1:], False)
+        alone, among = by[~several], by[several]
+        order, new = _firsts((g[among], c[among], key[among], lo[among]), (g[among], c[among]))
+        order = among[order]
         # the same document may be here twice: its copies of a first context are no repeats
         lead = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
         dup = order[~new & ((key[order] != key[lead]) | (lo[order] != lo[lead]))]
-        dup, f = np.sort(dup), np.sort(order[new])
+        dup, f = np.sort(dup), np.sort(np.concatenate([alone, order[new]]))
         yield _entries(SPAN, key=key[dup], lo=lo[dup], n=n[dup])
         yield _entries(CONTEXT, g[f], c[f], key[f], lo[f], n[f])
 
@@ -196,13 +208,18 @@ def _positions(whole: int) -> Callable:
     full = max(1, 2 * BATCH // len(at_bytes))
 
     def flush(out: list) -> Iterator[pd.DataFrame]:
+        # documents and, in them, places come in order
         *names, all_of, key, lo = (np.concatenate(x) for x in zip(*out, strict=True))
-        order, new = _firsts((names[0], all_of, key, lo), (names[0], all_of))
-        dup, go = order[~new], order[new]
+        order, new = _firsts((all_of,), (names[0], all_of))
+        lead = np.zeros(len(key), bool)
+        lead[np.minimum.reduceat(order, np.flatnonzero(new))] = True
+        dup, go = np.flatnonzero(~lead), np.flatnonzero(lead)
         yield pd.DataFrame({"kind": np.full(len(dup), SPAN), "name": 0, "key": key[dup], "lo": lo[dup]})
         name = np.concatenate([x[go] for x in names])
         keys, los = np.tile(key[go], len(names)), np.concatenate([lo[go] + x for x in at_bytes])
-        order, new = _firsts((keys, los), (keys, los))
+        # names of one place are equal, so that any of them will do
+        place = (np.tile(_runs(key)[go], len(names)) << _PLACE) + los
+        order, new = _firsts((place,), (place,))
         p = order[new]
         yield pd.DataFrame({"kind": np.full(len(p), CONTEXT), "name": name[p], "key": keys[p], "lo": los[p]})
 
@@ -261,6 +278,7 @@ def _reranked(last: bool) -> Callable:
         base = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
         held, joined, number = None, False, base  # the last row, whether the row before has its pair, its rank
         for f in frames:
+            f = f if "name" in f else f.assign(name=0)
             x = f[cols].to_numpy(np.int64).T
             if held is None:
                 if not len(f):
@@ -283,6 +301,29 @@ def _reranked(last: bool) -> Callable:
     return rows
 
 
+def _at_offset(k: int) -> Callable:
+    """(rank, rank at the offset of k bytes, key, lo) of the positions that have both. Rows come sorted
+    by key, piece and lo; those past the end of their piece are there to be looked up."""
+
+    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = np.empty((4, 0), np.int64)
+        for f in frames:
+            x = np.concatenate([held, f[["key", "piece", "lo", "rank"]].to_numpy(np.int64).T], axis=1)
+            if not x.shape[1]:
+                continue
+            key, piece, lo, rank = x
+            run = np.append(0, np.cumsum((key[1:] != key[:-1]) | (piece[1:] != piece[:-1])))
+            place = (run << _PLACE) + lo
+            at = np.minimum(np.searchsorted(place, place + k), len(place) - 1)
+            # what a row looks up may be yet to come
+            wait = (run == run[-1]) & (lo + k > lo[-1])
+            go = np.flatnonzero((place[at] == place + k) & ~wait & (lo // PIECE == piece))
+            yield pd.DataFrame({"rank": rank[go], "name": rank[at[go]], "key": key[go], "lo": lo[go]})
+            held = x[:, wait]
+
+    return rows
+
+
 def _doubled(named: DataFrame, threshold: int) -> DataFrame:
     """(key, lo) of the positions that repeat an earlier one over the whole threshold, as a settled
     table. named is settled and goes after the first round; its rows of kind CONTEXT are the
@@ -290,15 +331,18 @@ def _doubled(named: DataFrame, threshold: int) -> DataFrame:
 
     Each round sorts and reranks; a position whose rank is unique drops out, and with it every
     position that would look it up. The others look up the rank, of the same round, at the offset
-    to which the next one reaches: a join by document and place, so a long document is dealt too."""
+    to which the next one reaches: a join of the round's ranks with themselves by document and place. Both
+    sides lie in one sort by piece of a document, so a long document is dealt too; what lies within the
+    offset after a piece is there once more."""
     spark, size, positions = named.sparkSession, settled_bytes(named), named.filter(F.col("kind") == CONTEXT)
     order = ["rank", "name", "key", "lo"]
     schema = "kind int, new_rank long, first boolean, several boolean, rank long, name long, key long, lo long"
-    pairs = positions.select(F.col("name").alias("rank"), F.lit(0).cast("long").alias("name"), "key", "lo")
+    pairs = positions.select(F.col("name").alias("rank"), "key", "lo")
     cover, old = [end for _, end in pieces(threshold)], [named]
     for i, k in enumerate(cover):
         last = i + 1 == len(cover)
-        dealt = pairs.repartitionByRange(dealt_over(spark, size), *order).sortWithinPartitions(*order)
+        by = [c for c in order if c in pairs.columns]
+        dealt = pairs.repartitionByRange(dealt_over(spark, size), *by).sortWithinPartitions(*by)
         got = settle(dealt.mapInPandas(_reranked(last), schema))
         size = settled_bytes(got)
         # pairs that go on over several slices: two rows a slice, so their number follows the tasks
@@ -313,9 +357,12 @@ def _doubled(named: DataFrame, threshold: int) -> DataFrame:
             drop(got)
             return out
         left = rows.filter(F.col("several") | F.col("true_rank").isNotNull()).select(rank.alias("rank"), "key", "lo")
-        there = left.select(F.col("rank").alias("name"), F.col("key").alias("_key"), (F.col("lo") - (cover[i + 1] - k)).alias("_lo"))
+        reach = cover[i + 1] - k
+        piece = F.floor(F.col("lo") / PIECE)
+        before = F.when((F.col("lo") % PIECE < reach) & (piece > 0), F.array(piece - 1, piece)).otherwise(F.array(piece))
+        pieces_ = left.withColumn("piece", F.explode(before)).repartition(dealt_over(spark, size), "key", "piece")
         # the sort by ranges reads its input twice; the pairs are few beside what was looked up
-        pairs = settle(left.join(there.hint("merge"), (F.col("key") == F.col("_key")) & (F.col("lo") == F.col("_lo"))).select(*order))
+        pairs = settle(pieces_.sortWithinPartitions("key", "piece", "lo").mapInPandas(_at_offset(reach), "rank long, name long, key long, lo long"))
         size = settled_bytes(pairs)
         drop(got)
         old = [pairs]
@@ -342,42 +389,36 @@ def cut_text(text: str, gone: np.ndarray) -> str:
 def _apply(whole: int, columns: list[str]) -> Callable:
     """Cuts the texts. Rows come sorted by key, the spans of a document before its rows."""
 
-    def of(f: pd.DataFrame, lo: np.ndarray, n: np.ndarray) -> pd.DataFrame:
-        out = []
-        for text in f["_text"]:
-            raw = (text or "").encode("utf-8", "surrogatepass")
-            gone = removed_bytes(len(raw), lo, n, whole) if len(lo) else np.zeros(len(raw), bool)
-            b = np.frombuffer(raw, np.uint8)
-            runs = int(np.count_nonzero(gone & ~np.concatenate([[False], gone[:-1]]))) if len(lo) else 0
-            kept = b[~gone].tobytes() if runs else raw
-            clean = None if text is None else cut_text(text, gone) if runs else text
-            out.append((len(raw), int(gone.sum()) if runs else 0, runs, hashlib.sha256(kept).hexdigest(), clean))
-        got = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"], index=f.index)
-        return pd.concat([f, got], axis=1)[columns]
-
-    none = np.empty(0, np.int64)
+    def of(text: str | None, lo: np.ndarray | None, n: np.ndarray | None) -> tuple:
+        raw = (text or "").encode("utf-8", "surrogatepass")
+        gone = None if lo is None else removed_bytes(len(raw), lo, n, whole)
+        if gone is None or not gone.any():
+            return len(raw), 0, 0, hashlib.sha256(raw).hexdigest(), text
+        kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
+        runs = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1]))
+        clean = kept.decode() if len(raw) == len(text) else cut_text(text, gone)
+        return len(raw), len(raw) - len(kept), runs, hashlib.sha256(kept).hexdigest(), clean
 
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, spans = None, []
         for f in frames:
             keys, kind = f["_key"].to_numpy(np.int64), f["kind"].to_numpy()
-            los, ns = f["lo"].to_numpy(np.int64), f["n"].to_numpy(np.int64)
+            los, ns, texts = f["lo"].to_numpy(np.int64), f["n"].to_numpy(np.int64), f["_text"].to_numpy()
             cut = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (kind[1:] != kind[:-1])) if len(f) else [])
-            plain = []  # documents without spans go through together
-            out = []
+            at, out = [], []
             for a, e in zip(cut, np.append(cut[1:], len(f)), strict=True):
                 if keys[a] != key:
                     key, spans = keys[a], []
                 if kind[a] == SPAN:
                     spans.append((los[a:e], ns[a:e]))
-                elif spans:
-                    out.append(of(f.iloc[a:e], *(np.concatenate(x) for x in zip(*spans, strict=True))))
-                else:
-                    plain.append(np.arange(a, e))
-            if plain:
-                out.append(of(f.iloc[np.concatenate(plain)], none, none))
-            if out:
-                yield pd.concat(out)
+                    continue
+                lo, n = (np.concatenate(x) for x in zip(*spans, strict=True)) if spans else (None, None)
+                at.extend(range(a, e))
+                out.extend(of(text, lo, n) for text in texts[a:e])
+            if at:
+                given = f.iloc[at]
+                got = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"], index=given.index)
+                yield pd.concat([given, got], axis=1)[columns]
 
     return rows
 
@@ -437,8 +478,6 @@ def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", thres
     repeats = _doubled(named, threshold)
     singles = here.unionByName(repeats)
     spans = first.filter(F.col("kind") == SPAN).select("key", "lo", "n").unionByName(singles.withColumn("n", F.lit(1)))
-    spans = settle(spans)
-    drop(first, here, repeats)
 
     schema = T.StructType([T.StructField("_id", T.StringType()), *[T.StructField(n, through[c]) for c, n in carried.items()]])
     for name, kind in (("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept_sha256", "string"), ("kept_text", "string")):

@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from millrace.llm import suffix
@@ -99,3 +101,20 @@ def test_text_is_cut_between_characters():
     t = "aébéc"
     gone = np.array([0, 0, 1, 1, 1, 1, 0], bool)
     assert suffix.cut_text(t, gone) == "aéc"
+
+
+def test_ranks_at_an_offset_over_batches_and_pieces():
+    """Rows of a piece over many batches; those past its end are looked up but look up nothing."""
+    rnd, k, end = np.random.default_rng(3), 50, suffix.PIECE
+    rows = []
+    for key in (-7, 4, 9):
+        los = sorted({int(x) for x in rnd.integers(end - 400, end + 400, 300)})
+        rows += [(key, lo // end, lo, 1000 * key + lo % 97) for lo in los]
+        rows += [(key, 0, lo, 1000 * key + lo % 97) for lo in los if end <= lo < end + k]
+    rows.sort()
+    table = pd.DataFrame(rows, columns=["key", "piece", "lo", "rank"])
+    rank = {(key, lo): r for key, _, lo, r in rows}
+    want = sorted((r, rank[key, lo + k], key, lo) for (key, lo), r in rank.items() if (key, lo + k) in rank)
+    for step in (1, 7, 64, 5000):
+        got = pd.concat(suffix._at_offset(k)(table[i : i + step] for i in range(0, len(table), step)))
+        assert sorted(got[["rank", "name", "key", "lo"]].itertuples(index=False, name=None)) == want and len(want) > 200
